@@ -62,16 +62,16 @@ def _sends_hot(slots: DataFrame, cache: DataFrame, window: int) -> DataFrame:
     sliced.repartition("slice", F.pmod(F.xxhash64("fp", "t"), F.lit(16))).write.partitionBy("slice").parquet(path)
     table = spark.read.schema("fp string, t bigint, slice bigint").parquet(path)
     steps = [r["slice"] for r in table.select("slice").distinct().orderBy("slice").toLocalIterator()]
-    state, sends = cache, None
+    known = cache.select("fp", F.col("last").alias("sent"))
+    sends = known.limit(0)
     for i, step in enumerate(steps):
-        here = table.filter(F.col("slice") == step).join(state, "fp", "left")
+        last = known.unionByName(sends).groupBy("fp").agg(F.max("sent").alias("last"))
+        here = table.filter(F.col("slice") == step).join(last, "fp", "left")
         free = F.col("last").isNull() | (F.col("t") - F.col("last") >= window)
-        hit = here.filter(free).groupBy("fp").agg(F.min("t").alias("sent"))
-        sends = hit if sends is None else sends.unionByName(hit)
-        newest = state.unionByName(hit.select("fp", F.col("sent").alias("last")))
-        state = newest.groupBy("fp").agg(F.max("last").alias("last"))
-        if i % 8 == 7:
-            state, sends = cut_lineage(state), cut_lineage(sends)
+        # Materialised once: later steps and the result read it.
+        sends = sends.unionByName(cut_lineage(here.filter(free).groupBy("fp").agg(F.min("t").alias("sent"))))
+        if i % 16 == 15:
+            sends = cut_lineage(sends)
     return sends
 
 
@@ -185,6 +185,7 @@ def route_notifications(alerts: DataFrame, routes: DataFrame, salts: int = 32) -
     severities would mean few join keys, so pairs are spread over ``salts`` and
     the (configuration-sized) routes repeated per salt.
     """
+    channel = F.explode("channels").alias("channel")
     pairs = alerts.select("severity", "agent_id").distinct().withColumn(
         "salt", F.pmod(F.xxhash64("agent_id"), F.lit(salts)).cast("int")
     )
@@ -193,8 +194,8 @@ def route_notifications(alerts: DataFrame, routes: DataFrame, salts: int = 32) -
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
     )
     whole = F.concat(F.lit("^(?:"), F.col("agent_pattern"), F.lit(")$"))
-    hits = pairs.join(live, ["severity", "salt"]).filter(F.col("agent_id").rlike(whole))
-    hits = hits.select("severity", "agent_id", "team_name", F.explode("channels").alias("channel"))
+    hits = pairs.join(live, ["severity", "salt"]).filter(F.rlike("agent_id", whole))
+    hits = hits.select("severity", "agent_id", "team_name", channel)
     return alerts.join(hits, ["severity", "agent_id"])
 
 
@@ -234,7 +235,7 @@ def rule_windows(events: DataFrame, width: str = "300 seconds") -> DataFrame:
     return long.filter("value IS NOT NULL")
 
 
-def rule_alerts(breaches: DataFrame) -> DataFrame:
+def rule_alerts(breaches: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """Breaches with ``sent``: a rule stays silent for its cooldown after firing for an agent."""
     rows = breaches.withColumns(
         {
@@ -244,7 +245,7 @@ def rule_alerts(breaches: DataFrame) -> DataFrame:
         }
     )
     waits = [r[0] for r in rows.select("cooldown_minutes").distinct().limit(1000).collect()]
-    done = [dedup_alerts(rows.filter(F.col("cooldown_minutes").eqNullSafe(w)), hours=(w or 0) / 60) if w else
+    done = [dedup_alerts(rows.filter(F.col("cooldown_minutes").eqNullSafe(w)), hours=w / 60, cache=cache) if w else
             rows.filter(F.coalesce("cooldown_minutes", F.lit(0)) == 0).withColumns({"sent": F.lit(True), "sent_by": F.col("ts")})
             for w in waits]
     out = done[0] if done else dedup_alerts(rows)

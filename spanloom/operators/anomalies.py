@@ -83,20 +83,12 @@ def windowed_anomalies(events: DataFrame, window: str = "5 minutes", slide: str
         F.count_if(is_err).alias("error_count"), F.avg(dur).alias("avg_latency_ms"),
         F.max(dur).alias("max_latency_ms"), F.count(dur).alias("sample_count"),
     )
-    burst = F.when(
-        F.col("error_count") >= errors_at,
-        F.struct(
-            F.lit("high_error_rate").alias("anomaly_type"),
-            severity_by_multiple(F.col("error_count"), errors_at).alias("severity"),
-            F.col("error_count").cast("double").alias("value"),
-        ),
-    )
-    slow = F.when(
-        F.col("avg_latency_ms") > latency_at,
-        F.struct(
-            F.lit("high_latency"), severity_by_multiple(F.col("avg_latency_ms"), latency_at), F.round("avg_latency_ms", 2)
-        ),
+    finding = lambda kind, severity, value: F.struct(
+        F.lit(kind).alias("anomaly_type"), severity.alias("severity"), value.cast("double").alias("value")
     )
+    n, mean = F.col("error_count"), F.col("avg_latency_ms")
+    burst = F.when(n >= errors_at, finding("high_error_rate", severity_by_multiple(n, errors_at), n))
+    slow = F.when(mean > latency_at, finding("high_latency", severity_by_multiple(mean, latency_at), F.round(mean, 2)))
     hits = stats.withColumn("hit", F.explode(F.array_compact(F.array(burst, slow))))
     return hits.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "agent_id", "hit.*"

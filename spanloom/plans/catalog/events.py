@@ -199,13 +199,13 @@ def rejected_events(spark, d):
 
 
 @query("F-03", """
-SELECT event_id, round(CAST(coalesce(input_tokens, 0) * p.i + coalesce(output_tokens, 0) * p.o AS DOUBLE) / 1000, 6) AS cost
+SELECT event_id, round(CAST(coalesce(input_tokens, 0) * p.i + coalesce(output_tokens, 0) * p.o AS DOUBLE) / 1000, 10) AS cost
 FROM (SELECT *, CASE WHEN model LIKE '%claude-3-opus%' THEN {'i': 0.015, 'o': 0.075} WHEN model LIKE '%claude-3-haiku%' THEN {'i': 0.00025, 'o': 0.00125}
   WHEN model LIKE '%gpt-4%' THEN {'i': 0.03, 'o': 0.06} WHEN model LIKE '%gpt-3.5-turbo%' THEN {'i': 0.0005, 'o': 0.0015} ELSE {'i': 0.0, 'o': 0.0} END AS p
   FROM ev WHERE event_type = 'llm_call_end')""")
 def cost_by_family(spark, d):
     c = M.cost_substring(F.col("model"), F.col("input_tokens"), F.col("output_tokens"))
-    return P.of_types(_ev(spark, d), "llm_call_end").select("event_id", F.round(c.cast("double"), 6).alias("cost"))
+    return P.of_types(_ev(spark, d), "llm_call_end").select("event_id", c.alias("cost"))
 
 
 @query("F-04", r"""
