@@ -30,7 +30,7 @@ def with_topic(alerts: DataFrame) -> DataFrame:
 # ---- deduplication: send, then suppress for a window counted from the last one sent ----
 
 
-def _greedy_sends(times: Column, window: int, last: Column) -> Column:
+def _greedy_sends(times: Column, window: Column, last: Column) -> Column:
     """Times sent out of a sorted array: each at least ``window`` after the one before."""
 
     def step(acc: Column, t: Column) -> Column:
@@ -42,10 +42,10 @@ def _greedy_sends(times: Column, window: int, last: Column) -> Column:
     return F.aggregate(times, start, step, lambda acc: acc["sent"])
 
 
-def _sends_small(slots: DataFrame, cache: DataFrame, window: int) -> DataFrame:
-    rows = slots.groupBy("fp").agg(F.array_sort(F.collect_list("t")).alias("times"))
+def _sends_small(slots: DataFrame, cache: DataFrame) -> DataFrame:
+    rows = slots.groupBy("fp", "w").agg(F.array_sort(F.collect_list("t")).alias("times"))
     rows = rows.join(cache, "fp", "left")
-    return rows.select("fp", F.explode(_greedy_sends(F.col("times"), window, F.col("last"))).alias("sent"))
+    return rows.select("fp", "w", F.explode(_greedy_sends(F.col("times"), F.col("w"), F.col("last"))).alias("sent"))
 
 
 def _sends_hot(slots: DataFrame, cache: DataFrame, window: int) -> DataFrame:
@@ -58,8 +58,8 @@ def _sends_hot(slots: DataFrame, cache: DataFrame, window: int) -> DataFrame:
     """
     spark = slots.sparkSession
     path = scratch_path(spark, "dedup")
-    sliced = slots.withColumn("slice", F.floor(F.col("t") / window))
-    sliced.repartition("slice", F.pmod(F.xxhash64("fp", "t"), F.lit(16))).write.partitionBy("slice").parquet(path)
+    sliced = slots.select("fp", "t", F.floor(F.col("t") / window).alias("slice"))
+    sliced.hint("rebalance", F.col("slice")).write.partitionBy("slice").parquet(path)
     table = spark.read.schema("fp string, t bigint, slice bigint").parquet(path)
     steps = [r["slice"] for r in table.select("slice").distinct().orderBy("slice").toLocalIterator()]
     known = cache.select("fp", F.col("last").alias("sent"))
@@ -72,60 +72,63 @@ def _sends_hot(slots: DataFrame, cache: DataFrame, window: int) -> DataFrame:
         sends = sends.unionByName(cut_lineage(here.filter(free).groupBy("fp").agg(F.min("t").alias("sent"))))
         if i % 16 == 15:
             sends = cut_lineage(sends)
-    return sends
+    return sends.select("fp", F.lit(window).cast("bigint").alias("w"), "sent")
 
 
 def dedup_alerts(
-    alerts: DataFrame, hours: float = 24, cache: DataFrame | None = None, ts: str = "ts", tie: str = "alert_id", hot: int = 50_000
+    alerts: DataFrame, hours: float | Column = 24, cache: DataFrame | None = None, ts: str = "ts", tie: str = "alert_id", hot: int = 50_000
 ) -> DataFrame:
     """Each alert with ``sent`` and, if suppressed, the send that suppressed it.
 
-    ``cache`` (alert_fingerprint, last_sent) carries state from earlier runs.
-    An alert exactly one window after the last send is sent again.  Fingerprints
-    with at most ``hot`` distinct alert times are folded in one expression; more
-    frequent ones go through time slices.  Both ways give the same result.
+    ``hours`` may be a column that is constant per fingerprint.  ``cache``
+    (alert_fingerprint, last_sent) carries state from earlier runs.  An alert
+    exactly one window after the last send is sent again.  Fingerprints with at
+    most ``hot`` distinct alert times are folded in one expression; more frequent
+    ones go through time slices.  Both ways give the same result.
     """
     spark = alerts.sparkSession
-    window = int(hours * 3_600_000_000)
-    rows = alerts.withColumns({"fp": F.col("alert_fingerprint"), "t": F.unix_micros(ts)})
-    slots = rows.select("fp", "t").distinct()
+    span = hours if isinstance(hours, Column) else F.lit(float(hours))
+    window = F.greatest((span * 3_600_000_000).cast("bigint"), F.lit(1).cast("bigint"))
+    rows = alerts.withColumns({"fp": F.col("alert_fingerprint"), "t": F.unix_micros(ts), "w": window})
+    slots = cut_lineage(rows.select("fp", "t", "w").distinct())
     if cache is None:
-        seen = spark.createDataFrame([], "fp string, last bigint")
+        seen = spark.range(0).select(F.lit("").alias("fp"), F.col("id").alias("last"))
     else:
-        seen = cache.groupBy(F.col("alert_fingerprint").alias("fp")).agg(
-            F.max(F.unix_micros("last_sent")).alias("last")
-        )
-    busy = slots.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("fp")
-    if busy.isEmpty():
-        sends = _sends_small(slots, seen, window)
+        seen = cache.groupBy(F.col("alert_fingerprint").alias("fp")).agg(F.max(F.unix_micros("last_sent")).alias("last"))
+    busy = slots.groupBy("fp", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("fp", "w")
+    widths = [r["w"] for r in busy.select("w").distinct().toLocalIterator()]
+    if not widths:
+        sends = _sends_small(slots, seen)
     else:
         busy = cut_lineage(busy)
-        sends = _sends_small(slots.join(busy, "fp", "left_anti"), seen, window).unionByName(
-            _sends_hot(slots.join(busy, "fp", "left_semi"), seen, window)
-        )
-    return _mark_sent(rows, sends, seen, window, tie).drop("fp", "t")
+        sends = _sends_small(slots.join(busy, ["fp", "w"], "left_anti"), seen)
+        for width in widths:
+            mine = slots.join(busy.filter(F.col("w") == width), ["fp", "w"], "left_semi")
+            sends = sends.unionByName(_sends_hot(mine, seen, width))
+    return _mark_sent(rows, sends, seen, tie).drop("fp", "t", "w")
 
 
-def _mark_sent(rows: DataFrame, sends: DataFrame, seen: DataFrame, window: int, tie: str) -> DataFrame:
+def _mark_sent(rows: DataFrame, sends: DataFrame, seen: DataFrame, tie: str) -> DataFrame:
     """Assign every alert the latest send not after it.
 
     That send lies less than one window back, so an equality join on window-sized
     slices finds it; a cached last send can only cover the first window after it.
     """
-    at = sends.unionByName(seen.select("fp", F.col("last").alias("sent")))
-    slots = at.select("fp", "sent", F.explode(F.array(F.floor(F.col("sent") / window), F.floor(F.col("sent") / window) + 1)).alias("slice"))
-    # At most two sends touch a slice (its own and the one carried into it): keep them side by side.
-    per_slice = slots.groupBy("fp", "slice").agg(F.array_sort(F.collect_set("sent")).alias("near"))
-    keyed = rows.withColumn("slice", F.floor(F.col("t") / window))
-    joined = keyed.join(per_slice, ["fp", "slice"], "left")
-    by = F.array_max(F.filter("near", lambda s: s <= F.col("t")))
-    marked = joined.withColumn("by", by)
+    widths = rows.select("fp", "w").distinct()
+    carried = seen.join(widths, "fp").select("fp", "w", F.col("last").alias("sent"))
+    slice_of = lambda c: F.floor(F.col(c) / F.col("w"))
+    slots = sends.unionByName(carried).select(
+        "fp", "w", "sent", F.explode(F.array(slice_of("sent"), slice_of("sent") + 1)).alias("slice")
+    )
+    # At most three sends touch a slice: its own, the one before and a cached one.
+    per_slice = slots.groupBy("fp", "w", "slice").agg(F.array_sort(F.collect_set("sent")).alias("near"))
+    joined = rows.withColumn("slice", slice_of("t")).join(per_slice, ["fp", "w", "slice"], "left")
+    marked = joined.withColumn("by", F.array_max(F.filter("near", lambda s: s <= F.col("t"))))
+    # Of alerts at the very moment of a send, the first by id is the one sent.
     first = marked.filter(F.col("by") == F.col("t")).groupBy("fp", "t").agg(F.min(tie).alias("winner"))
     out = marked.join(first, ["fp", "t"], "left")
     sent = F.coalesce(F.col("winner") == F.col(tie), F.lit(False))
-    return out.withColumns(
-        {"sent": sent, "sent_by": F.timestamp_micros("by")}
-    ).drop("slice", "near", "by", "winner")
+    return out.withColumns({"sent": sent, "sent_by": F.timestamp_micros("by")}).drop("slice", "near", "by", "winner")
 
 
 def alert_cache(deduped: DataFrame, days: int = 7) -> DataFrame:
@@ -244,14 +247,7 @@ def rule_alerts(breaches: DataFrame, cache: DataFrame | None = None) -> DataFram
             "alert_id": F.concat_ws("|", "rule_id", "agent_id", F.unix_seconds("window_start").cast("string")),
         }
     )
-    waits = [r[0] for r in rows.select("cooldown_minutes").distinct().limit(1000).collect()]
-    done = [dedup_alerts(rows.filter(F.col("cooldown_minutes").eqNullSafe(w)), hours=w / 60, cache=cache) if w else
-            rows.filter(F.coalesce("cooldown_minutes", F.lit(0)) == 0).withColumns({"sent": F.lit(True), "sent_by": F.col("ts")})
-            for w in waits]
-    out = done[0] if done else dedup_alerts(rows)
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return dedup_alerts(rows, F.coalesce("cooldown_minutes", F.lit(0)) / 60, cache)
 
 
 # ---- notification rows ----

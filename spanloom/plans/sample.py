@@ -14,8 +14,8 @@ from ..functions.keys import key_hash
 from ..operators.cost import costed_calls, cost_by
 from ..operators.events import to_error_records, to_metric_points
 from ..operators.traces import pair_spans, reconstruct_traces
+from ..schema import EVENT
 from ..session import prepare
-from ..sources.files import to_event_schema
 
 MODELS = [
     "claude-3-opus-20240229",
@@ -41,96 +41,88 @@ def pick(values: list, i: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
 
 
+EVENTS_TABLE = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "events"))
+    prepare(spark)
+    return derive(spark.read.schema(EVENTS_TABLE).parquet(f"{sf_dir}/events.parquet"))
+
+
+def literals(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
 def derive(raw: DataFrame) -> DataFrame:
     """Row-wise fields shared by all derived events; also works on a stream."""
-    ts = F.col("ts").cast("timestamp")
-    k = F.get_json_object("props", "$.k").cast("int")
-    user = F.col("user_id")
-    return raw.select(
-        F.col("event_id").alias("id"),
-        "user_id",
-        F.col("event_type").alias("kind"),
-        "value",
-        k.alias("k"),
-        ts.alias("at"),
-        F.floor(F.col("value") * 100).cast("bigint").alias("dur"),
-        F.concat(F.lit("agent-"), (user % 20).cast("string")).alias("agent_id"),
-        F.concat(user.cast("string"), F.lit("-"), F.date_format(F.date_trunc("week", ts), "yyyyMMdd")).alias("trace_id"),
-        pick(AGENT_TYPES, user % 20 % 3).alias("agent_type"),
-        pick(ENVIRONMENTS, user % 3).alias("environment"),
-        F.concat(F.lit("1.0."), (user % 4).cast("string")).alias("agent_version"),
+    rows = raw.selectExpr(
+        "event_id AS id", "user_id", "event_type AS kind", "value", "CAST(ts AS timestamp) AS at",
+        "CAST(get_json_object(props, '$.k') AS int) AS k",
     )
+    return rows.selectExpr(
+        "*",
+        "CAST(floor(value * 100) AS bigint) AS dur",
+        "concat('agent-', user_id % 20) AS agent_id",
+        "concat(user_id, '-', date_format(date_trunc('week', at), 'yyyyMMdd')) AS trace_id",
+        f"get({literals(AGENT_TYPES)}, CAST(user_id % 20 % 3 AS int)) AS agent_type",
+        f"get({literals(ENVIRONMENTS)}, CAST(user_id % 3 AS int)) AS environment",
+        "concat('1.0.', user_id % 4) AS agent_version",
+    )
+
+
+# Canonical event columns as expressions over a derived row, its family and its phase.
+_LLM, _TOOL, _MCP, _RUN, _ERR = (f"family = '{f}'" for f in ("llm_call", "tool_call", "mcp_call", "execution", "error"))
+_END, _START = "phase = 'end'", "phase = 'start'"
+_MODEL = f"get({literals(MODELS)}, k % 6)"
+_TOKENS = f"{_LLM} AND {_END} AND k % 25 <> 24"
+_FAILED = f"{_END} AND k % 10 = 0"
+_EVENT = {
+    "event_id": f"concat(id, if({_START}, 's', 'e'))",
+    "event_type": f"if({_ERR}, 'error', concat_ws('_', family, phase))",
+    "ts": f"if({_START} AND NOT {_RUN}, timestamp_micros(unix_micros(at) - dur * 1000), at)",
+    "agent_id": "agent_id",
+    "execution_id": "concat('run-', user_id)",
+    "trace_id": "trace_id",
+    "span_id": f"CASE WHEN {_ERR} THEN concat('sp', id - 1 - k % 3) WHEN {_RUN} THEN concat('ex', id) ELSE concat('sp', id) END",
+    "parent_span_id": f"CASE WHEN NOT {_RUN} THEN concat(trace_id, '-root') END",
+    "name": f"CASE WHEN {_RUN} THEN concat('run-', k % 5) WHEN {_TOOL} THEN concat('call tool-', k % 7)"
+    f" WHEN {_LLM} THEN concat('ask ', {_MODEL}) WHEN {_MCP} THEN 'mcp request' ELSE 'error' END",
+    "agent_type": "agent_type",
+    "agent_version": "agent_version",
+    "environment": "environment",
+    "model": f"CASE WHEN {_LLM} THEN {_MODEL} END",
+    "provider": f"CASE WHEN {_LLM} AND k % 6 < 2 THEN 'anthropic' WHEN {_LLM} AND k % 6 < 5 THEN 'openai' END",
+    "input_tokens": f"CASE WHEN {_TOKENS} THEN CAST(k * 10 AS bigint) END",
+    "output_tokens": f"CASE WHEN {_TOKENS} THEN CAST(floor(value) AS bigint) END",
+    "total_tokens": f"CASE WHEN {_TOKENS} THEN k * 10 + CAST(floor(value) AS bigint) END",
+    "duration_ms": f"CASE WHEN {_END} THEN CAST(dur AS double) END",
+    "cost": f"CASE WHEN {_TOKENS} AND k % 3 = 0 THEN CAST(k * 10 AS double) / 1000 END",
+    "success": f"CASE WHEN {_END} THEN NOT ({_FAILED}) END",
+    "status": f"CASE WHEN {_ERR} OR ({_FAILED}) THEN 'error' WHEN {_END} THEN 'success' END",
+    "tool_name": f"CASE WHEN {_TOOL} THEN concat('tool-', k % 7) END",
+    "server_name": f"CASE WHEN {_MCP} THEN concat('mcp-', k % 3) END",
+    "method": f"CASE WHEN {_MCP} THEN if(k % 2 = 0, 'call', 'list') END",
+    "severity": f"CASE WHEN {_ERR} THEN get(array('warning', 'error', 'critical'), k % 4) END",
+    "error_type": f"CASE WHEN {_ERR} THEN get({literals(ERROR_TYPES)}, k % 5) WHEN {_FAILED} THEN 'CallError' END",
+    "error_message": f"""CASE WHEN {_ERR} THEN CASE k % 4
+        WHEN 0 THEN concat('Request ', id, ' failed after ', k, ' retries')
+        WHEN 1 THEN concat('Timeout on ', date_format(at, 'yyyy-MM-dd'), ' for job ', k)
+        WHEN 2 THEN concat('Record 123e4567-e89b-12d3-a456-4266', lpad(CAST(id AS string), 8, '0'), ' not found') END
+      WHEN {_FAILED} THEN concat('call failed with code ', k) END""",
+}
 
 
 def expand(rows: DataFrame) -> DataFrame:
     """Canonical events of derived rows."""
-    k, kind, idt = F.col("k"), F.col("kind"), F.col("id").cast("string")
-    family = (
-        F.when(kind == "view", "llm_call")
-        .when((kind == "click") & (k % 7 == 6), "mcp_call")
-        .when(kind == "click", "tool_call")
-        .when(kind.isin("signup", "purchase"), "execution")
-        .otherwise("error")
-    )
-    phases = (
-        F.when(kind.isin("view", "click"), F.array(F.lit("start"), F.lit("end")))
-        .when(kind == "signup", F.array(F.lit("start")))
-        .when(kind == "purchase", F.array(F.lit("end")))
-        .otherwise(F.array(F.lit("error")))
-    )
-    r = rows.withColumn("family", family).withColumn("phase", F.explode(phases))
-    family, phase = F.col("family"), F.col("phase")
-    end, start = phase == "end", phase == "start"
-    llm, tool, mcp, run, err = (family == f for f in ("llm_call", "tool_call", "mcp_call", "execution", "error"))
-    model = pick(MODELS, k % 6)
-    has_tokens = llm & end & (k % 25 != 24)
-    inp, out = (k * 10).cast("bigint"), F.floor("value").cast("bigint")
-    failed = end & (k % 10 == 0)
-    message = (
-        F.when(k % 4 == 0, F.concat(F.lit("Request "), idt, F.lit(" failed after "), k.cast("string"), F.lit(" retries")))
-        .when(k % 4 == 1, F.concat(F.lit("Timeout on "), F.date_format("at", "yyyy-MM-dd"), F.lit(" for job "), k.cast("string")))
-        .when(k % 4 == 2, F.concat(F.lit("Record 123e4567-e89b-12d3-a456-4266"), F.lpad(idt, 8, "0"), F.lit(" not found")))
+    phased = rows.selectExpr(
+        "*",
+        "CASE WHEN kind = 'view' THEN 'llm_call' WHEN kind = 'click' AND k % 7 = 6 THEN 'mcp_call' WHEN kind = 'click' THEN 'tool_call'"
+        " WHEN kind IN ('signup', 'purchase') THEN 'execution' ELSE 'error' END AS family",
+        "explode(CASE WHEN kind IN ('view', 'click') THEN array('start', 'end') WHEN kind = 'signup' THEN array('start')"
+        " WHEN kind = 'purchase' THEN array('end') ELSE array('error') END) AS phase",
     )
-    cols = {
-        "event_id": F.concat(idt, F.when(start, "s").otherwise("e")),
-        "event_type": F.when(err, "error").otherwise(F.concat_ws("_", family, phase)),
-        "ts": F.when(start & ~run, F.timestamp_micros(F.unix_micros("at") - F.col("dur") * 1000)).otherwise(F.col("at")),
-        "agent_id": F.col("agent_id"),
-        "execution_id": F.concat(F.lit("run-"), F.col("user_id").cast("string")),
-        "trace_id": F.col("trace_id"),
-        "span_id": F.when(err, F.concat(F.lit("sp"), (F.col("id") - 1 - k % 3).cast("string")))
-        .when(run, F.concat(F.lit("ex"), idt))
-        .otherwise(F.concat(F.lit("sp"), idt)),
-        "parent_span_id": F.when(~run, F.concat(F.col("trace_id"), F.lit("-root"))),
-        "name": F.when(run, F.concat(F.lit("run-"), (k % 5).cast("string")))
-        .when(tool, F.concat(F.lit("call tool-"), (k % 7).cast("string")))
-        .when(llm, F.concat(F.lit("ask "), model))
-        .when(mcp, F.lit("mcp request"))
-        .otherwise(F.lit("error")),
-        "agent_type": F.col("agent_type"),
-        "agent_version": F.col("agent_version"),
-        "environment": F.col("environment"),
-        "model": F.when(llm, model),
-        "provider": F.when(llm & (k % 6 < 2), "anthropic").when(llm & (k % 6 < 5), "openai"),
-        "input_tokens": F.when(has_tokens, inp),
-        "output_tokens": F.when(has_tokens, out),
-        "total_tokens": F.when(has_tokens, inp + out),
-        "duration_ms": F.when(end, F.col("dur").cast("double")),
-        "cost": F.when(has_tokens & (k % 3 == 0), inp.cast("double") / 1000),
-        "success": F.when(end, ~failed),
-        "status": F.when(err | failed, "error").when(end, "success"),
-        "tool_name": F.when(tool, F.concat(F.lit("tool-"), (k % 7).cast("string"))),
-        "server_name": F.when(mcp, F.concat(F.lit("mcp-"), (k % 3).cast("string"))),
-        "method": F.when(mcp, F.when(k % 2 == 0, "call").otherwise("list")),
-        "severity": F.when(err, pick(["warning", "error", "critical"], k % 4)),
-        "error_type": F.when(err, pick(ERROR_TYPES, k % 5)).when(failed, "CallError"),
-        "error_message": F.when(err, message).when(failed, F.concat(F.lit("call failed with code "), k.cast("string"))),
-    }
-    return to_event_schema(r.select(*[c.alias(n) for n, c in cols.items()]))
+    absent = lambda f: f"CAST(NULL AS {f.dataType.simpleString()})"
+    return phased.selectExpr(*[f"{_EVENT.get(f.name) or absent(f)} AS {f.name}" for f in EVENT.fields])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

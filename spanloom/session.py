@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs a stack walk per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,7 +36,7 @@ def build_session(app: str = "spanloom", master: str | None = None, **extra) ->
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else built."""
     for key, value in SETTINGS.items():
-        if key.startswith("spark.sql."):
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
