@@ -163,22 +163,24 @@ def alerts_with_investigation(alerts: DataFrame, investigations: DataFrame) -> D
     return out.withColumn("has_investigation", F.col("investigation").isNotNull())
 
 
+def _exact(agent: Column) -> Column:
+    return F.concat(F.lit("="), agent)
+
+
 def route_to_subscriptions(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(message, subscription) pairs: same type, and the same agent or no agent filter.
 
     A message without an agent goes to every subscription of its type.  The
-    wildcard and the exact match are separate equality joins, so no theta join
-    over a whole type is needed.
+    three cases become match keys, so one equality join covers them and no theta
+    join over a whole type is needed.
     """
-    m = messages.select("message_id", "message_type", "agent_id")
-    s = subscriptions.select("connection_id", F.col("subscription_type").alias("message_type"), "agent_filter")
-    exact = m.filter("agent_id IS NOT NULL").join(
-        s.filter("agent_filter IS NOT NULL").withColumnRenamed("agent_filter", "agent_id"), ["message_type", "agent_id"]
-    )
-    wild = m.filter("agent_id IS NOT NULL").join(s.filter("agent_filter IS NULL"), "message_type")
-    every = m.filter("agent_id IS NULL").join(s, "message_type")
-    cols = ["message_id", "message_type", "agent_id", "connection_id"]
-    return exact.select(cols).unionByName(wild.select(cols)).unionByName(every.select(cols))
+    agent, only = F.col("agent_id"), F.col("agent_filter")
+    wild, every = F.lit("*"), F.lit("?")
+    asks = F.when(agent.isNull(), F.array(every)).otherwise(F.array(_exact(agent), wild))
+    takes = F.array(F.when(only.isNull(), wild).otherwise(_exact(only)), every)
+    m = messages.select("message_id", "message_type", "agent_id", F.explode(asks).alias("match"))
+    s = subscriptions.select("connection_id", F.col("subscription_type").alias("message_type"), F.explode(takes).alias("match"))
+    return m.join(s, ["message_type", "match"]).select("message_id", "message_type", "agent_id", "connection_id")
 
 
 def route_notifications(alerts: DataFrame, routes: DataFrame, salts: int = 32) -> DataFrame:
@@ -208,19 +210,17 @@ def route_notifications(alerts: DataFrame, routes: DataFrame, salts: int = 32) -
 def evaluate_rules(windows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rule breaches: (window_start, agent_id, rule_type, value) against thresholds.
 
-    A rule without an agent applies to all agents; the two kinds are separate
-    equality joins.
+    A rule without an agent applies to all agents: each window row asks under
+    its own agent and under the wildcard, in one equality join.
     """
     limit = rule_threshold(F.col("rule_type"), F.col("threshold"))
+    key = F.when(F.col("agent_id").isNull(), F.lit("*")).otherwise(_exact(F.col("agent_id")))
     live = rules.filter("is_active").select(
-        "rule_id", "rule_type", F.col("agent_id").alias("rule_agent"), "severity", "cooldown_minutes", limit.alias("threshold")
+        "rule_id", "rule_type", key.alias("match"), "severity", "cooldown_minutes", limit.alias("threshold")
     )
-    named = live.filter("rule_agent IS NOT NULL").withColumn("agent_id", F.col("rule_agent"))
-    general = live.filter("rule_agent IS NULL")
-    a = windows.join(named, ["rule_type", "agent_id"])
-    b = windows.join(general, "rule_type")
+    asks = windows.withColumn("match", F.explode(F.array(_exact(F.col("agent_id")), F.lit("*"))))
     cols = ["rule_id", "rule_type", "agent_id", "window_start", "value", "threshold", "severity", "cooldown_minutes"]
-    return a.select(cols).unionByName(b.select(cols)).filter(F.col("value") > F.col("threshold"))
+    return asks.join(live, ["rule_type", "match"]).filter(F.col("value") > F.col("threshold")).select(cols)
 
 
 def rule_windows(events: DataFrame, width: str = "300 seconds") -> DataFrame:
@@ -240,7 +240,8 @@ def rule_windows(events: DataFrame, width: str = "300 seconds") -> DataFrame:
 
 def rule_alerts(breaches: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """Breaches with ``sent``: a rule stays silent for its cooldown after firing for an agent."""
-    rows = breaches.withColumns(
+    # Breaches are few next to the events they come from: compute them once.
+    rows = cut_lineage(breaches).withColumns(
         {
             "alert_fingerprint": F.sha2(F.concat_ws("|", "rule_id", "agent_id"), 256),
             "ts": F.col("window_start"),

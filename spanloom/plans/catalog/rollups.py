@@ -442,3 +442,41 @@ def agents_from_sketches(spark, d):
 SELECT agent_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id) AS r FROM er) WHERE r <= 3""")
 def latest_errors_per_agent(spark, d):
     return O.latest_per(S.errors(spark, d), "agent_id", 3).select("agent_id", "event_id")
+
+
+@query("A-47", """
+SELECT '2024-01-15' AS date, count(*) AS total_traces, round(count(*) FILTER (status = 'success') / count(*), 6) AS success_rate, round(sum(total_cost_usd), 6) AS total_cost,
+  count(DISTINCT agent_id) AS active_agents, round(avg(duration_ms), 2) AS avg_latency_ms, quantile_disc(duration_ms, 0.95) AS p95_latency_ms,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, (SELECT count(*) FROM al WHERE strftime(ts, '%Y-%m-%d') = '2024-01-15') AS total_alerts,
+  (SELECT count(*) FROM al WHERE strftime(ts, '%Y-%m-%d') = '2024-01-15' AND lower(severity) = 'critical') AS critical_alerts,
+  (SELECT count(*) FROM ev WHERE strftime(ts, '%Y-%m-%d') = '2024-01-15' AND event_type = 'llm_call_end') AS llm_calls
+FROM tr WHERE strftime(start_time, '%Y-%m-%d') = '2024-01-15'""")
+def daily_report(spark, d):
+    from datetime import date
+
+    from ..daily import daily_report as report
+
+    out = report(S.traces(spark, d), S.alerts(spark, d), S.events(spark, d), date(2024, 1, 15))
+    return out.withColumn("avg_latency_ms", F.round("avg_latency_ms", 2))
+
+
+@query("A-51 S-06 S-08 S-21", """
+SELECT 'events' AS mart, count(*) AS n FROM ev UNION ALL
+SELECT 'traces_archive', count(*) FROM tr UNION ALL
+SELECT 'cost_by_team_daily', count(*) FROM (SELECT DISTINCT team_id FROM call) UNION ALL
+SELECT 'tool_transitions', count(*) FROM (SELECT DISTINCT agent_id, strftime(ts, '%Y-%m-%d'), prev, tool_name FROM (
+  SELECT *, lag(tool_name) OVER (PARTITION BY trace_id ORDER BY ts, event_id) AS prev FROM ev WHERE event_type = 'tool_call_start') WHERE prev IS NOT NULL)""")
+def daily_run(spark, d):
+    """The whole batch over raw JSON files, kept as one load day."""
+    from datetime import date
+
+    from ...session import scratch_path
+    from ..daily import load_day, run_daily
+
+    base, store, day = scratch_path(spark, "raw"), scratch_path(spark, "store"), date(2024, 1, 30)
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp")
+    S.events(spark, d).select("*", stamp).drop("ts", "ingestion_ts").write.json(f"{base}/raw/events/{day:%Y/%m/%d}/00")
+    events = load_day(spark, base, store, day)
+    run_daily(spark, events, S.agents(spark, d), S.budgets(spark, d), store, day, ASOF)
+    size = lambda t: spark.read.parquet(f"{store}/{t}").agg(F.lit(t).alias("mart"), F.count(F.lit(1)).alias("n"))
+    return size("events").unionByName(size("traces_archive")).unionByName(size("cost_by_team_daily")).unionByName(size("tool_transitions"))

@@ -66,15 +66,16 @@ def to_json_rows(df: DataFrame, out: str = "value") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(out))
 
 
+def parse_json(texts: DataFrame, text: Column) -> DataFrame:
+    """Raw event columns of JSON texts; a malformed text is kept whole in the corrupt column."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return texts.select(F.from_json(text, RAW_WITH_CORRUPT, options).alias("e")).select("e.*")
+
+
 def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     """Raw JSON lines below ``path``, malformed lines kept in a side column."""
-    return (
-        spark.read.schema(RAW_WITH_CORRUPT)
-        .option("recursiveFileLookup", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return parse_json(lines.filter(F.length(F.trim("value")) > 0), F.col("value"))
 
 
 def read_raw_events(spark: SparkSession, base: str, day: date) -> DataFrame:
