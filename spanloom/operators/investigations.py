@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import executive_summary, jaccard, map_status, safe_ratio, trigrams
-from ..session import fits
+from ..session import cut_lineage, fits
 from .ordered import top_per
 
 
@@ -65,40 +65,74 @@ _PAIR = ["q_type", "q_message", "error_type", "error_message", "ids", "similarit
 def _scan_pairs(texts: DataFrame, forms: DataFrame, min_sim: float) -> DataFrame:
     """Each distinct text is compared with the few query texts shipped to it."""
     hit, score = _score(min_sim)
+    # Few bytes but much work per row, so the texts are spread over all cores.
+    spread = texts.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism)
     # ``forms`` passed the row-count check, so the broadcast is bounded.
-    return texts.join(F.broadcast(forms), hit).withColumn("similarity_score", score).select(_PAIR)
+    return spread.join(F.broadcast(forms), hit).withColumn("similarity_score", score).select(_PAIR)
 
 
-def _keyed_pairs(texts: DataFrame, forms: DataFrame, min_sim: float, top_n: int) -> DataFrame:
-    """Key-based form for many queries.
+# Similarity levels tried in turn, highest first; the caller's minimum ends the list.
+_LEVELS = (0.8, 0.6, 0.45)
 
-    Similarity above ``min_sim`` needs a shared trigram among the rarest
-    ``n - ceil(min_sim * n) + 1`` of each side, so only those are joined; frequent
-    trigrams fall outside.  The remaining same-type cases score at most
-    0.5 + min_sim / 2, and only queries still short of ``top_n`` better ones
-    look at them.
-    """
-    both = texts.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
 
-    def prefix(df: DataFrame, key: list[str], grams: str) -> DataFrame:
-        tagged = df.select(*key, F.size(grams).alias("n"), F.explode(grams).alias("g")).join(both, "g", "left")
-        order = [F.asc_nulls_first("df"), F.asc("g")]
-        ranked = tagged.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-        return ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(min_sim)) + 1).select(*key, "g")
+def _rarest_first(df: DataFrame, key: str, grams: str, freq: DataFrame) -> DataFrame:
+    """Adds ``by_rarity``: the row's trigrams from rare to frequent."""
+    tagged = df.select(key, F.explode(grams).alias("g")).join(freq, "g", "left")
+    rank = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")
+    lists = tagged.groupBy(key).agg(F.array_sort(F.collect_list(rank)).alias("r"))
+    return df.join(lists.select(key, F.col("r.g").alias("by_rarity")), key, "left")
+
+
+def _prefix(df: DataFrame, key: str, level: float) -> DataFrame:
+    """The trigrams of which two texts share at least one if their similarity reaches ``level``."""
+    n = F.size("by_rarity")
+    keep = n - F.ceil(n * level - F.lit(1e-9)).cast("int") + 1
+    return df.filter(n > 0).select(key, F.explode(F.slice("by_rarity", F.lit(1), keep)).alias("g"))
+
 
+def _keyed_pairs(texts: DataFrame, forms: DataFrame, min_sim: float, top_n: int) -> DataFrame:
+    """Key-based form for many queries, exact without comparing all pairs.
+
+    Texts as similar as ``level`` share one of their rarest trigrams, so a high
+    level joins on few, rare keys.  A query that finds ``top_n`` cases no unseen
+    case can beat is finished; only the others go on to the next lower level.
+    What is left at the end lacks similar cases of its type altogether and takes
+    the remaining same-type cases.
+    """
     t = texts.withColumn("tid", F.sha2(F.to_json(F.struct("error_type", "error_message")), 256))
     q = forms.withColumn("qid", F.sha2(F.to_json(F.struct("q_type", "q_message")), 256))
-    keys = prefix(t, ["tid"], "grams").join(prefix(q, ["qid"], "q_grams"), "g").select("tid", "qid").distinct()
+    freq = t.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    t = cut_lineage(_rarest_first(t, "tid", "grams", freq))
+    types = t.select(F.col("error_type").alias("q_type")).distinct().withColumn("typed", F.lit(True))
+    q = _rarest_first(q, "qid", "q_grams", freq).join(types, "q_type", "left")
+    todo = cut_lineage(q.withColumn("typed", F.coalesce("typed", F.lit(False))))
     _, score = _score(min_sim)
-    near = keys.join(t, "tid").join(q, "qid").filter(jaccard(F.col("grams"), F.col("q_grams")) > min_sim)
-    near = near.withColumn("similarity_score", score)
-    strong = near.filter(F.coalesce(F.col("error_type") == F.col("q_type"), F.lit(False)))
-    enough = strong.groupBy("qid").agg(F.sum(F.size("ids")).alias("have")).filter(F.col("have") >= top_n)
-    short = q.join(enough, "qid", "left_anti")
-    rest = short.join(t, short["q_type"] == t["error_type"]).withColumn("similarity_score", score)
-    rest = rest.filter(jaccard(F.col("grams"), F.col("q_grams")) <= min_sim)
-    rest = top_per(rest, ["qid"], [F.desc("similarity_score"), F.asc(F.col("ids")[0])], top_n)
-    return near.select(_PAIR).unionByName(rest.select(_PAIR))
+    sim = jaccard(F.col("grams"), F.col("q_grams"))
+    best = [F.desc("similarity_score"), F.asc(F.col("ids")[0])]
+    cases = t.drop("by_rarity")
+    found: list[DataFrame] = []
+    levels = [x for x in _LEVELS if x > min_sim] + [min_sim]
+    for level in levels:
+        keys = _prefix(todo, "qid", level).join(_prefix(t, "tid", level), "g").select("tid", "qid").distinct()
+        near = keys.join(cases, "tid").join(todo.drop("by_rarity"), "qid")
+        near = near.filter(sim > level if level == min_sim else sim >= level).withColumn("similarity_score", score)
+        near = cut_lineage(top_per(near, ["qid"], best, top_n))
+        beaten = F.when(F.col("typed"), 0.5).otherwise(0.0) + level * 0.5
+        enough = near.filter(F.col("similarity_score") >= beaten).groupBy("qid").agg(F.sum(F.size("ids")).alias("have"))
+        enough = enough.filter(F.col("have") >= top_n).select("qid")
+        if level == min_sim:
+            found.append(near)
+        else:
+            found.append(near.join(enough, "qid", "left_semi"))
+        todo = cut_lineage(todo.join(enough, "qid", "left_anti"))
+        if todo.isEmpty():
+            break
+    rest = todo.filter("typed").join(cases, F.col("q_type") == F.col("error_type")).filter(sim <= min_sim)
+    found.append(top_per(rest.withColumn("similarity_score", score), ["qid"], best, top_n))
+    out = found[0].select(_PAIR)
+    for f in found[1:]:
+        out = out.unionByName(f.select(_PAIR))
+    return out
 
 
 def similar_incidents(anomalies: DataFrame, investigations: DataFrame, top_n: int = 5) -> DataFrame:
