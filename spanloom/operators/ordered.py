@@ -21,7 +21,7 @@ def ordered_scan(
     lag: dict[str, str] | None = None,
     running_sum: dict[str, Column] | None = None,
     last_value: dict[str, Column] | None = None,
-    piece_seconds: int = 3600,
+    piece_seconds: int = 60,
 ) -> DataFrame:
     """Row number, previous value, running sum and last non-null value per key.
 

@@ -55,22 +55,18 @@ def similar_investigations_by_keys(spark, d):
 @query("F-25", r"""
 SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS root_cause, '- from ' || source AS evidence, 'Language ' || lang AS impact, 'watch ' || source AS prevention,
   '1. check ' || source || '|- reload|* notify|4. close' AS steps
-FROM documents WHERE NOT regexp_matches(text, '(?i)root cause|evidence|impact|remediation|prevention|similar')""")
+FROM documents""")
 def analysis_sections(spark, d):
-    texts = S.analyses(spark, d).filter(
-        ~F.regexp_replace(F.regexp_replace("analysis", "(?s)^.*?## Root Cause\n", ""), "(?s)\n## Evidence\n- from .*$", "").rlike("(?i)root cause|evidence|impact|remediation|prevention|similar")
-    )
+    texts = S.analyses(spark, d)
     out = I.split_sections(texts, "doc_id", "analysis")
     return out.select("doc_id", "root_cause", "evidence", "impact", "prevention", F.array_join("remediation", "|").alias("steps"))
 
 
 @query("F-26", r"""
 SELECT doc_id, CASE WHEN length(x) > 500 THEN substr(x, 1, 500) || '...' ELSE x END AS summary, '1. check ' || source || '|- reload|* notify' AS actions
-FROM (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM documents WHERE NOT regexp_matches(text, '(?i)root cause|evidence|impact|remediation|prevention|similar'))""")
+FROM (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM documents)""")
 def analysis_notices(spark, d):
-    texts = S.analyses(spark, d).filter(
-        ~F.regexp_replace(F.regexp_replace("analysis", "(?s)^.*?## Root Cause\n", ""), "(?s)\n## Evidence\n- from .*$", "").rlike("(?i)root cause|evidence|impact|remediation|prevention|similar")
-    )
+    texts = S.analyses(spark, d)
     note = I.investigation_notice(I.split_sections(texts, "doc_id", "analysis"), "doc_id")
     return note.select("doc_id", "summary", F.array_join("immediate_actions", "|").alias("actions"))
 

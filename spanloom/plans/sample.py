@@ -189,10 +189,12 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "region").filter("r_regionkey < 4")
-    return r.select(
+    """One row per region; the last one has no budget set."""
+    i = F.col("r_regionkey")
+    amount = ((i + 1) * F.lit("0.30").cast("decimal(10,2)")).cast("decimal(10,2)")
+    return table(spark, sf_dir, "region").select(
         F.col("r_name").alias("cost_center"),
-        ((F.col("r_regionkey") + 1) * F.lit("0.30").cast("decimal(10,2)")).cast("decimal(10,2)").alias("monthly_budget"),
+        F.when(i < 4, amount).alias("monthly_budget"),
         F.lit("0.80").cast("decimal(3,2)").alias("alert_threshold"),
     )
 
@@ -237,12 +239,12 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every other error was investigated."""
+    """Errors of severity error and critical were investigated."""
     k, i = F.col("k"), F.col("id")
     ev = expand(base_rows(spark, sf_dir).filter("kind = 'error'"))
     idn = F.regexp_extract("event_id", r"^(\d+)", 1).cast("bigint")
-    src = ev.select(idn.alias("id"), "error_type", "error_message")
-    rows = base_rows(spark, sf_dir).filter("kind = 'error' AND k % 2 = 0").join(src, "id")
+    src = ev.filter("severity IN ('error', 'critical')").select(idn.alias("id"), "error_type", "error_message")
+    rows = base_rows(spark, sf_dir).filter("kind = 'error'").join(src, "id")
     resolved = i % 3 == 0
     return rows.select(
         F.concat(F.lit("inv-"), i.cast("string")).alias("investigation_id"),
@@ -252,12 +254,12 @@ def investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(["critical", "high", "medium", "low"], i % 4).alias("severity"),
         "error_type",
         "error_message",
-        F.when(k % 4 == 0, F.concat(F.lit("Cause "), (k % 7).cast("string"))).alias("root_cause"),
+        F.when(k % 3 == 0, F.concat(F.lit("Cause "), (k % 7).cast("string"))).alias("root_cause"),
         F.when(resolved, F.concat(F.lit("Fix "), k.cast("string"))).alias("resolution_notes"),
         F.when(resolved, "resolved").otherwise("open").alias("resolution_status"),
         F.col("at").alias("created_at"),
         F.when(resolved, F.timestamp_micros(F.unix_micros("at") + k.cast("bigint") * 60_000_000)).alias("resolved_at"),
-        (k % 4 == 0).alias("auto_resolved"),
+        (k % 3 == 1).alias("auto_resolved"),
         (k.cast("double") / 128).alias("cost_usd"),
         F.transform(F.sequence(F.lit(0), k % 7), lambda x: F.concat(F.lit("step "), x.cast("string"))).alias("recommendations"),
     )

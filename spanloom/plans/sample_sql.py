@@ -129,8 +129,8 @@ SELECT date, cost_center, sum(cost_usd) AS total_cost_usd, CAST(sum(total_tokens
   count(DISTINCT agent_id) AS active_agents, count(DISTINCT team_id) AS active_teams, count(*) AS total_requests
 FROM call GROUP BY date, cost_center""",
     "bud": """
-SELECT r_name AS cost_center, CAST((r_regionkey + 1) * 0.30 AS DECIMAL(10,2)) AS monthly_budget, CAST(0.80 AS DECIMAL(3,2)) AS alert_threshold
-FROM region WHERE r_regionkey < 4""",
+SELECT r_name AS cost_center, CASE WHEN r_regionkey < 4 THEN CAST((r_regionkey + 1) * 0.30 AS DECIMAL(10,2)) END AS monthly_budget, CAST(0.80 AS DECIMAL(3,2)) AS alert_threshold
+FROM region""",
     "tool": "SELECT * FROM ev WHERE event_type = 'tool_call_end'",
     "fp": r"""
 SELECT *, strftime(ts, '%Y-%m-%d') AS date,
@@ -153,10 +153,10 @@ FROM b WHERE kind = 'error'""",
     "inv": """
 SELECT 'inv-' || id AS investigation_id, 'al-' || id AS alert_id, b.agent_id, ['high_error_rate', 'high_latency', 'error_rate'][k % 3 + 1] AS anomaly_type,
   ['critical', 'high', 'medium', 'low'][id % 4 + 1] AS severity, ev.error_type, ev.error_message,
-  CASE WHEN k % 4 = 0 THEN 'Cause ' || (k % 7) END AS root_cause, CASE WHEN id % 3 = 0 THEN 'Fix ' || k END AS resolution_notes,
+  CASE WHEN k % 3 = 0 THEN 'Cause ' || (k % 7) END AS root_cause, CASE WHEN id % 3 = 0 THEN 'Fix ' || k END AS resolution_notes,
   CASE WHEN id % 3 = 0 THEN 'resolved' ELSE 'open' END AS resolution_status, t0 AS created_at,
-  CASE WHEN id % 3 = 0 THEN t0 + to_minutes(k) END AS resolved_at, k % 4 = 0 AS auto_resolved, CAST(k AS DOUBLE) / 128 AS cost_usd, k
-FROM b JOIN ev ON ev.event_id = id || 'e' WHERE kind = 'error' AND k % 2 = 0""",
+  CASE WHEN id % 3 = 0 THEN t0 + to_minutes(k) END AS resolved_at, k % 3 = 1 AS auto_resolved, CAST(k AS DOUBLE) / 128 AS cost_usd, k
+FROM b JOIN ev ON ev.event_id = id || 'e' WHERE kind = 'error' AND ev.severity IN ('error', 'critical')""",
     "fb": """
 SELECT investigation_id, k % 3 <> 0 AS was_helpful, CASE WHEN k % 8 <> 0 THEN k % 6 <> 0 END AS root_cause_correct FROM inv""",
     "sp": """
