@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import packing, tokenfile
+from . import chat, packing, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,20 @@ def token_orc(spark, d):
     path = scratch_path(spark, "token-orc")
     tokenfile.write_tokens(table(spark, d, "documents"), path, word_bpe(), end_id=2)
     return tokenfile.with_checksum(tokenfile.read_tokens(spark, path))
+
+
+@register("op1_chat_format", """
+WITH t AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, text) AS l
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY conv_id),
+w AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_logs FROM t GROUP BY l),
+k AS (
+  SELECT * FROM w WHERE NOT EXISTS (
+    SELECT 1 FROM w o WHERE len(o.l) > len(w.l) AND list_slice(o.l, 1, len(w.l)) = w.l)),
+e AS (SELECT conv_id, n_logs, unnest(l) AS x, unnest(range(len(l))) AS i FROM k)
+SELECT conv_id, CAST(i // 256 AS INTEGER) AS chunk, n_logs, count(*) AS n_turns,
+  string_agg('<|im_start|>' || replace(coalesce(x.role, ''), '<|', '< |') || chr(10)
+    || replace(coalesce(x.text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY i) AS text
+FROM e GROUP BY ALL""")
+def chat_format(spark, d):
+    return chat.format_chats(table(spark, d, "conversations"))
