@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, packing, tokenfile
+from . import chat, decontaminate, packing, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,7 +48,7 @@ def token_orc(spark, d):
 
 @register("op1_chat_format", """
 WITH t AS (
-  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, text) AS l
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l
   FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY conv_id),
 w AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_logs FROM t GROUP BY l),
 k AS (
@@ -61,3 +61,24 @@ SELECT conv_id, CAST(i // 256 AS INTEGER) AS chunk, n_logs, count(*) AS n_turns,
 FROM e GROUP BY ALL""")
 def chat_format(spark, d):
     return chat.format_chats(table(spark, d, "conversations"))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+@register("op10_decontaminate", f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, unnest(list_transform(range(0, greatest(1, len(w) - 12)), lambda s: list_slice(w, s + 1, s + least(13, len(w))))) AS x FROM i WHERE len(w) > 0),
+p AS (SELECT doc_id, n, s, list_slice(w, s + 1, s + n) AS x FROM (
+  SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)),
+h AS (SELECT doc_id, item_id, s, v.n AS n FROM p JOIN v ON p.x = v.x),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def decontaminate_documents(spark, d):
+    rows = decontaminate.score_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    listed = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return rows.select("doc_id", "n_words", F.col("n_hit").cast("long"), F.col("n_items").cast("long"), listed.alias("items_sha256"), "contaminated")
