@@ -1,14 +1,16 @@
 """Fast, exact use of the `tokenizers` library inside tasks.
 
-The public vocabulary drops white space and never merges across it, so a text's ids are the ids of its
-space-separated chunks in a row.  Texts are split with Arrow kernels, each distinct chunk of a slice is encoded
-once by the library, and the ids of a slice are gathered with numpy.  Special-token strings in a text are
-treated as the library treats them by default.
+The public vocabulary drops white space, lower-cases, and splits letters from signs before merging, so a text's ids are
+the ids of its space-separated chunks in a row, and a chunk of letters with signs after it is the two in a row.  Texts
+are split with Arrow kernels, each distinct part is encoded once by the library, and ids are gathered with numpy.
+Special-token strings in a text are treated as the library treats them by default.
 """
 
 from __future__ import annotations
 
+import os
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
+from .wordhash import text_bytes
+
 SLICE_BYTES = 2 << 20
-MEMORY_CHUNKS = 200_000
-LONGEST_REMEMBERED = 64
+MEMORY_PARTS = 400_000
+LONGEST_REMEMBERED = 48
+SIGNS = ".,;:?!#$%&*|"  # no apostrophe: "'s" and its like are parts of their own
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -33,45 +38,85 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+SAME = np.arange(256, dtype=np.uint8)
+SAME[10] = 32  # a line's end is white space like any other
+LOWERED = SAME.copy()
+LOWERED[65:91] = np.arange(97, 123)
+
+
+def _simple(letters: str) -> bool:
+    """Letters whose class no Unicode version disputes."""
+    return letters.isalpha() and (letters.isascii() or max(letters) < "\u0250")
+
+
+class Memory:
+    """Ids of parts seen by this process, one after another in ``pool``."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {"": 0}
+        self.first, self.size, self.pool = array("q", [0]), array("q", [0]), array("I")
+
+    def add(self, part: str, ids: list[int]) -> None:
+        self.at[part] = len(self.first)
+        self.first.append(len(self.pool))
+        self.size.append(len(ids))
+        self.pool.extend(ids)
+
+
+def _of_this_process(path: str):
+    """The library's tokenizer and the memory, kept between the tasks of a worker."""
+    kept = sys.__dict__.setdefault("_corpus_tokenizers", {})
+    if path not in kept:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark fills the cores already
+        from tokenizers import Tokenizer
+
+        kept[path] = [Tokenizer.from_file(path), Memory()]
+    if len(kept[path][1].at) > MEMORY_PARTS:
+        kept[path][1] = Memory()
+    return kept[path]
+
+
+def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``pool[first : first + size]`` in a row, and their n + 1 offsets."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return pool[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 class Encoder:
-    """Texts to ids, with a bounded memory of chunks already seen."""
+    """Texts to ids, with a bounded memory of parts already seen."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        self.path = path
 
-        self.library = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {"": np.empty(0, np.uint32)}
-
-    def _ids_of(self, chunks: list[str]) -> list[np.ndarray]:
-        new = [c for c in chunks if c not in self.known]
-        fresh: dict[str, np.ndarray] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                fresh[c] = np.array(e.ids, np.uint32)
-        out = [fresh[c] if c in fresh else self.known[c] for c in chunks]
-        if len(self.known) > MEMORY_CHUNKS:
-            self.known = {"": np.empty(0, np.uint32)}
-        self.known.update((c, i) for c, i in fresh.items() if len(c) <= LONGEST_REMEMBERED)
-        return out
+    def _ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        library, memory = _of_this_process(self.path)
+        stems = [c.rstrip(SIGNS) for c in chunks]
+        pairs = [(s, c[len(s) :]) if len(s) < len(c) and _simple(s) else (c, "") for s, c in zip(stems, chunks, strict=True)]
+        known = memory.at
+        new = list(dict.fromkeys(p for pair in pairs for p in pair if p not in known))
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            for p, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                memory.add(p, e.ids)
+        which = np.array([known[p] for pair in pairs for p in pair], np.int64)
+        first, size = np.array(memory.first), np.array(memory.size)
+        ids, ends = _gather(np.array(memory.pool, np.uint32), first[which], size[which])
+        for p in new:
+            if len(p) > LONGEST_REMEMBERED:
+                del known[p]
+        return ids, ends[::2]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, n + 1 offsets); a null text has none."""
-        texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        data, at = text_bytes(texts)
+        plain = not pc.any(pc.match_substring(texts, "<|")).as_py()  # else a special token's case would matter
+        data = (LOWERED if plain else SAME)[data]
+        texts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(data))
+        parts = pc.split_pattern(texts, " ")
         coded = parts.flatten().dictionary_encode()
+        pool, runs = self._ids_of(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy(zero_copy_only=False)
-        per_chunk = self._ids_of(coded.dictionary.to_pylist())
-        if not per_chunk:
-            return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        sizes = np.array([len(x) for x in per_chunk], np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        pool = np.concatenate(per_chunk)
-        n = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        ids, ends = _gather(pool, runs[:-1][which], np.diff(runs)[which])
         return ids, ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
 
 
