@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, decontaminate, packing, tokenfile
+from . import chat, decontaminate, packing, quality, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,10 @@ def decontaminate_documents(spark, d):
     rows = decontaminate.score_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
     listed = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
     return rows.select("doc_id", "n_words", F.col("n_hit").cast("long"), F.col("n_items").cast("long"), listed.alias("items_sha256"), "contaminated")
+
+
+@register("op9_quality_pu")
+def quality_pu(spark, d):
+    docs = table(spark, d, "documents")
+    rows = quality.score(docs, quality.train(docs, table(spark, d, "labels")))
+    return rows.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
