@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, decontaminate, packing, quality, tokenfile
+from . import chat, decontaminate, packing, pii, quality, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -89,3 +89,12 @@ def quality_pu(spark, d):
     docs = table(spark, d, "documents")
     rows = quality.score(docs, quality.train(docs, table(spark, d, "labels")))
     return rows.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+
+
+@register("op3_pii_boosted")
+def pii_boosted(spark, d):
+    docs = table(spark, d, "documents")
+    found = pii.detect(docs.select("doc_id", "text"), pii.train(docs))
+    counts = [pii.count_of("__base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[: pii.BASE_KINDS])]
+    digest = F.sha2(pii.listed(F.col("__base")).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.listed(F.col("__spans")).alias("spans"))
