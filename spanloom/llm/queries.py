@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, decontaminate, packing, pii, quality, tokenfile
+from . import chat, decontaminate, minhash, packing, pii, quality, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,9 @@ def pii_boosted(spark, d):
     counts = [pii.count_of("__base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[: pii.BASE_KINDS])]
     digest = F.sha2(pii.listed(F.col("__base")).cast("binary"), 256)
     return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.listed(F.col("__spans")).alias("spans"))
+
+
+@register("op5_hyperminhash")
+def hyperminhash(spark, d):
+    rows = minhash.near_duplicates(table(spark, d, "documents"), threshold=85)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
