@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, decontaminate, minhash, packing, pii, quality, tokenfile
+from . import chat, decontaminate, html, minhash, packing, pii, quality, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,9 @@ def pii_boosted(spark, d):
 def hyperminhash(spark, d):
     rows = minhash.near_duplicates(table(spark, d, "documents"), threshold=85)
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op8_html_crf")
+def html_crf(spark, d):
+    pages = table(spark, d, "pages")
+    return html.extract(pages, html.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
