@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, decontaminate, html, minhash, packing, pii, quality, tokenfile
+from . import chat, decontaminate, html, minhash, mtree, packing, pii, quality, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -110,3 +110,16 @@ def hyperminhash(spark, d):
 def html_crf(spark, d):
     pages = table(spark, d, "pages")
     return html.extract(pages, html.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register("op6_mtree_topk", """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def mtree_topk(spark, d):
+    return mtree.top_k(table(spark, d, "embeddings"))
