@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, decontaminate, html, minhash, mtree, packing, pii, quality, tokenfile
+from . import chat, decontaminate, html, minhash, mtree, packing, pii, quality, suffix, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
 def mtree_topk(spark, d):
     return mtree.top_k(table(spark, d, "embeddings"))
+
+
+@register("op2_suffix_repeats")
+def suffix_repeats(spark, d):
+    rows = suffix.remove_repeats(table(spark, d, "documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return rows.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
