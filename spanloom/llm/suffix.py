@@ -12,9 +12,10 @@ positions would multiply the corpus by a hundred; only some suffixes are needed:
    first are covered.  What reaches a bucket's border is compared across the borders.
 3. Tokens left with different stretches are the ends of repeats.  The suffixes that begin at each of their windows are
    sorted by multikey quicksort, eight bytes at a time, and equal neighbours compared; of equal windows all but the first
-   are covered.  Tokens with very many different stretches are compared by window hash in an aggregation instead.
+   are covered.  Before that, a token with very many different stretches is replaced by longer ones, each shared by a part
+   of its windows, and step 2 is done for these parts; should one still be crowded, windows are compared by hash in an aggregation.
 
-Equality is that of two 64-bit hashes in 1 and 2, and in 3 for the very frequent tokens; of all bytes in 3 otherwise.
+Equality is that of two 64-bit hashes in 1 and 2, and of the crowded windows; of all bytes otherwise.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; the order of documents is that of doc_id
 (null first; rows with one doc_id and different texts by a hash of the text); rows equal in doc_id and text are one document,
@@ -38,7 +39,7 @@ from .wordhash import BASE, TABLE, UNBASE, mix, text_bytes
 TOKEN = 32
 PIECE = 1 << 20  # bytes handled at once
 CROWDED = 1000  # different stretches of one token that are compared in one task
-BROADCAST_ENTRIES = 1_000_000
+PARTS = 4  # of the stretches of crowded tokens
 NO_ID = -(1 << 63)
 COVERED, OPEN, BORDER = 0, 1, 2
 ROWS = "kind byte, token long, stretch long, doc long, place long"
@@ -197,17 +198,36 @@ def equal_parts(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return part
 
 
-def _window_words(contexts: list[bytes], lo: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    """The windows of all contexts in a row, as big-endian eight-byte words, zero-padded alike."""
-    wide = -(-length // 8) * 8
-    data = np.frombuffer(b"".join(contexts) + bytes(wide), np.uint8)
-    at = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1]
-    start = np.repeat(at - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
-    view = np.lib.stride_tricks.sliding_window_view(data, wide)[start].copy()
-    view[:, length:] = 0
+def _words_at(data: np.ndarray, start: np.ndarray, width: int, size: np.ndarray | int) -> np.ndarray:
+    """``size`` bytes from each start as big-endian eight-byte words, zero-padded to ``width``."""
+    wide = -(-width // 8) * 8
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(wide, np.uint8)]), wide)[start].copy()
+    if np.ndim(size):
+        view[np.arange(wide)[None, :] >= np.asarray(size)[:, None]] = 0
+    else:
+        view[:, size:] = 0
     return view.view(">u8").astype(np.uint64)
 
 
+def _joined(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes in a row, where each context starts)."""
+    return np.frombuffer(b"".join(contexts), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1].astype(np.int64)
+
+
+def _window_words(contexts: list[bytes], count: np.ndarray, length: int) -> np.ndarray:
+    """The windows of all contexts in a row."""
+    data, at = _joined(contexts)
+    start = np.repeat(at - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
+    return _words_at(data, start, length, length)
+
+
+def _hash_words(words: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = seed.astype(np.uint64)
+    for w in range(words.shape[1]):
+        h = mix(h * UNBASE + words[:, w] + np.uint64(w + 1))
+    return h
+
+
 def _runs(doc: np.ndarray, place: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
     """Covered windows to (doc, version, lo, hi), neighbours joined; rows sorted by occurrence and start."""
     new = _first_of(doc, place)
@@ -225,7 +245,7 @@ def _sort_windows(length: int, most: int = 4000):
         token, doc, place = (rows.column(c).to_numpy() for c in ("token", "doc", "place"))
         lo = ((place >> 16) & 0xFFFFFFF) - ((place >> 8) & 255)
         count = (place & 255) + 1
-        words = _window_words(rows.column("context").to_pylist(), lo, count, length)
+        words = _window_words(rows.column("context").to_pylist(), count, length)
         owner = np.repeat(np.arange(len(token)), count)
         start = np.repeat(lo - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(len(owner))
         offset = (((place >> 16) & 0xFFFFFFF)[owner] - start).astype(np.uint64)
@@ -272,18 +292,52 @@ def _hash_windows(length: int):
                 token, doc, place = (b.column(c).to_numpy() for c in ("token", "doc", "place"))
                 p = (place >> 16) & 0xFFFFFFF
                 lo, count = p - ((place >> 8) & 255), (place & 255) + 1
-                words = _window_words(b.column("context").to_pylist(), lo, count, length)
+                words = _window_words(b.column("context").to_pylist(), count, length)
                 owner = np.repeat(np.arange(len(token)), count)
                 start = np.repeat(lo - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(len(owner))
-                h = np.zeros(len(owner), np.uint64)
-                for w in range(words.shape[1]):
-                    h = mix(h * UNBASE + words[:, w] + np.uint64(w + 1))
+                h = _hash_words(words, np.zeros(len(owner)))
                 cols = token[owner], p[owner] - start, h.view(np.int64), doc[owner], place[owner], start
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "offset", "window", "doc", "place", "start"])
 
     return run
 
 
+def _split_stretches(length: int):
+    """Stretches of crowded tokens to parts, keyed by all bytes that the windows of a part share.
+
+    The windows whose anchor lies at one of ``step`` neighbouring offsets have ``length`` - ``step`` + 1 bytes in common,
+    so what equal windows share is a far longer token, which few other stretches have.
+    """
+    step = -(-(length - TOKEN + 1) // PARTS)
+    core = length - step + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                b = whole.slice(at, 4000)
+                token, doc, place = (b.column(c).to_numpy() for c in ("token", "doc", "place"))
+                data, base = _joined(b.column("context").to_pylist())
+                raw = data.tobytes()
+                p, most = (place >> 16) & 0xFFFFFFF, (place >> 8) & 255  # the first window has the largest offset
+                least = most - (place & 255)
+                for part in range(PARTS):
+                    low, high = np.maximum(least, part * step), np.minimum(most, part * step + step - 1)
+                    own = np.flatnonzero(low <= high)
+                    if not len(own):
+                        continue
+                    # Where the part's windows, and the bytes common to all windows that a part can have, begin.
+                    first = base[own] + most[own] - high[own]
+                    size = high[own] - low[own] + length
+                    shared = base[own] + most[own] - part * step
+                    key = _hash_words(_words_at(data, shared, core, core), token[own].view(np.uint64) + np.uint64(part))
+                    same = _hash_words(_words_at(data, first, length + step, size), (high[own] << 8 | low[own]).astype(np.uint64))
+                    cut = [raw[x : x + n] for x, n in zip(first.tolist(), size.tolist(), strict=True)]
+                    cols = key.view(np.int64), same.view(np.int64), doc[own], (place[own] >> 16 << 16) | high[own] << 8 | (high[own] - low[own])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(cut, pa.binary())], names=["token", "stretch", "doc", "place", "context"])
+
+    return run
+
+
 def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=4 * PIECE):
@@ -330,11 +384,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), "text", F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 19)).alias("version"))
 
 
-def _join_lists(texts: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
-    """Texts with the lists of their document: broadcast if they were counted small, else by a shuffle."""
-    return texts.join(F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists, ["doc", "version"], how)
-
-
 def _intervals(rows: DataFrame, length: int) -> DataFrame:
     place = F.col("place")
     lo = F.shiftright(place, 16).bitwiseAND(F.lit(0xFFFFFFF)) - F.shiftright(place, 8).bitwiseAND(F.lit(255))
@@ -363,14 +412,23 @@ def covered_intervals(docs: DataFrame, length: int = 100) -> DataFrame:
 
     version = F.shiftright("place", 44).alias("version")
     wanted = ends.groupBy("doc", version).agg(F.collect_list(F.struct("token", "place", "crowded")).alias("wanted"))
-    contexts = _join_lists(texts.select("doc", "version", "text"), wanted, ends.count(), "inner").mapInArrow(
+    contexts = texts.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(
         _contexts(length), "token long, doc long, place long, crowded boolean, context binary"
     )
     contexts = stored(contexts, "contexts")
-    few = contexts.filter("not crowded").drop("crowded").repartition("token").sortWithinPartitions("token")
+    # Crowded tokens are replaced by longer ones, and equal parts of stretches reduced to the first again.
+    kind = "token long, stretch long, doc long, place long, context binary"
+    parts = stored(contexts.filter("crowded").mapInArrow(_split_stretches(length), kind), "parts")
+    heads = parts.groupBy("token", "stretch").agg(F.min(F.struct("doc", "place", "context")).alias("leader"))
+    again = parts.join(heads, ["token", "stretch"]).filter(at != F.struct("leader.doc", "leader.place")).select("doc", "place")
+    several = heads.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    longer = stored(heads.join(several, "token").select("token", "leader.*", (F.col("n") > CROWDED).alias("crowded")), "longer")
+
+    few = contexts.filter("not crowded").union(longer.select("token", "doc", "place", "crowded", "context").filter("not crowded"))
+    few = few.select("token", "doc", "place", "context").repartition("token").sortWithinPartitions("token")
     settled = few.mapInArrow(_sort_windows(length), "doc long, version long, lo long, hi long")
 
-    windows = stored(contexts.filter("crowded").mapInArrow(_hash_windows(length), "token long, offset long, window long, doc long, place long, start long"), "windows")
+    windows = stored(longer.filter("crowded").mapInArrow(_hash_windows(length), "token long, offset long, window long, doc long, place long, start long"), "windows")
     same, where = ["token", "offset", "window"], F.struct("doc", F.shiftright("place", 44), "start")
     repeated = windows.groupBy(*same).agg(F.min(where).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = windows.join(repeated, same).filter(where != F.col("leader")).select("doc", "place", "start").distinct()
@@ -380,7 +438,7 @@ def covered_intervals(docs: DataFrame, length: int = 100) -> DataFrame:
         .agg(F.min("start").alias("lo"), (F.max("start") + length).alias("hi"))
         .select("doc", version, "lo", "hi")
     )
-    whole = _intervals(anchors.filter(F.col("kind") == COVERED).select("doc", "place").union(compared.filter(F.col("kind") == COVERED).select("doc", "place")).union(later), length)
+    whole = _intervals(anchors.filter(F.col("kind") == COVERED).select("doc", "place").union(compared.filter(F.col("kind") == COVERED).select("doc", "place")).union(later).union(again), length)
     return whole.union(settled).union(runs)
 
 
@@ -389,8 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     packed: Column = F.shiftleft("lo", 8).bitwiseOR(F.col("hi") - F.col("lo")).alias("c")
     rows = covered_intervals(docs, length).select("doc", "version", packed)
     lists = stored(rows.groupBy("doc", "version").agg(F.collect_set("c").alias("covered")), "covered")
-    entries = lists.agg(F.coalesce(F.sum(F.size("covered")), F.lit(0))).first()[0]
-    texts = _join_lists(_keyed(docs), lists, entries, "left").select("doc_id", "text", "covered")
+    texts = _keyed(docs).join(lists, ["doc", "version"], "left").select("doc_id", "text", "covered")
     return texts.mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
