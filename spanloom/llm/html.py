@@ -4,8 +4,9 @@ A page is cut into leaf blocks, runs of text between the borders of block elemen
 labels, content and rest, are scored by features of the open elements, of their class and id words and of the text, and by
 the step from one block to the next; Viterbi decoding gives the page's labels.  The model is fitted on a bounded sample of
 labelled pages (``MAX_PAGES``, by hash of page_id).  Where no labels are given, ``structural_labels`` marks the sample by
-the elements that name their role; for every third page the fit doesn't see those names, so that the other features learn
-to stand in for them.
+the elements that name their role.  For every third page the fit doesn't see those names, so that the other features learn
+to stand in for them; into the others it mixes content that is wrapped up as comments, forms, notices and so on, since a
+sample may lack some of these.
 
 Defined cases: a null or empty page, and one without content blocks, gives an empty text; end tags may be missing, as may
 the rest of a tag at the page's end (it is markup); scripts, styles and comments are never text; white space, also a
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import math
+import random
 import re
 import sys
 import zlib
@@ -156,6 +158,24 @@ def structural_labels(page: list[Block]) -> list[int]:
     return out
 
 
+def wrapped(page: list[Block], rng: random.Random, groups: int = 4) -> list[Block]:
+    """``page`` with some of its content repeated inside elements, or under class names, that mark the rest of a page."""
+    content = [b for b, y in zip(page, structural_labels(page), strict=True) if y]
+    out = list(page)
+    for _ in range(groups if content else 0):
+        path, roles = [t for t in rng.choice(content).path if t not in INLINE][:-1], frozenset()
+        if rng.random() < 0.5:
+            path = [t for t in path if t not in GOOD_TAGS]
+        if rng.random() < 0.5:
+            path.append(rng.choice(sorted(BAD_TAGS)))
+        else:
+            path.append(rng.choice(("div", "section", "ul")))
+            roles = frozenset({rng.choice(sorted(set(ROLE_WORDS) - {"good"}))})
+        at = rng.randrange(len(out) + 1)
+        out[at:at] = [Block(b.text, (*path, rng.choice(("p", "div", "li"))), roles, b.linked) for b in rng.choices(content, k=rng.randrange(1, 4))]
+    return out
+
+
 def describe(page: list[Block], hide: bool = False) -> list[list[str]]:
     """Feature names of each block; ``hide`` leaves out the elements that name their role."""
     rows = []
@@ -281,8 +301,11 @@ def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Field:
     # Bounded by max_pages; a page_id that many rows share can't make it more.
     labelled = []
     for row in sample.limit(2 * max_pages).toLocalIterator():
-        page = blocks(row["html"])
-        labelled.append((describe(page, hide=zlib.crc32(str(row["page_id"]).encode()) % 3 == 0), structural_labels(page)))
+        page, place = blocks(row["html"]), zlib.crc32(str(row["page_id"]).encode())
+        hide = place % 3 == 0
+        if not hide:
+            page = wrapped(page, random.Random(place))
+        labelled.append((describe(page, hide), structural_labels(page)))
     return fit(labelled)
 
 
