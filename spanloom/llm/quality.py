@@ -120,8 +120,8 @@ def _push(model: Model, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Smallest ratio of upper tails, among cuts that keep at least half of the positives."""
-    cuts = np.quantile(positive, np.linspace(0.0, 0.5, 101))
+    """Smallest ratio of upper tails, among cuts that keep at least four fifths of the positives."""
+    cuts = np.quantile(positive, np.linspace(0.0, 0.2, 41))
     p = (np.sort(positive), len(positive))
     u = (np.sort(unlabelled), len(unlabelled))
     tail = lambda g: 1 - np.searchsorted(g[0], cuts, side="left") / g[1]
@@ -136,18 +136,19 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     size = len(edges) * (BINS + 1) + 1
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    first = Model(edges, np.zeros(size), 0.5)
-    p, u = first.design(positive), first.design(unlabelled)
     logits = lambda w, rows: w[rows].sum(axis=1) + w[-1]
+    if prior is None:  # fitted on one half, estimated on the other
+        first = Model(edges, np.zeros(size), 0.5)
+        p, u = first.design(positive[::2]), first.design(unlabelled[::2])
 
-    def plain(w):
-        return _push(first, p, (sigmoid(logits(w, p)) - 1) / len(p)) + _push(first, u, sigmoid(logits(w, u)) / len(u))
+        def plain(w):
+            return _push(first, p, (sigmoid(logits(w, p)) - 1) / len(p)) + _push(first, u, sigmoid(logits(w, u)) / len(u))
 
-    if prior is None:
         _descend(first, plain, steps, ridge)
-        prior = estimate_prior(logits(first.weights, p), logits(first.weights, u))
+        prior = estimate_prior(first.logit(positive[-1::-2]), first.logit(unlabelled[-1::-2]))
 
     model = Model(edges, np.zeros(size), prior)
+    p, u = model.design(positive), model.design(unlabelled)
 
     def risk(w):
         zp, zu = logits(w, p), logits(w, u)
