@@ -15,7 +15,12 @@ def pii_job(df: DataFrame, mode: str = "redact", col: str = "record", rules: P.R
 
     Matches are counted over the whole serialised record before redaction.
     """
-    found = df.withColumn("matches", P.detect_pii(F.col(col), rules)).withColumn("pii_count", F.size("matches"))
+    if mode in ("detect", "validate") or dry_run:
+        found = df.withColumn("matches", P.detect_pii(F.col(col), rules))
+    else:
+        scanned = df.withColumn("__scan", P.scan_records(F.col(col), rules, P.JOB_SENSITIVE_KEYS, all_strings))
+        found = scanned.withColumn("matches", F.col("__scan.matches"))
+    found = found.withColumn("pii_count", F.size("matches"))
     if mode == "detect":
         return found
     types = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["type"])))
@@ -23,7 +28,7 @@ def pii_job(df: DataFrame, mode: str = "redact", col: str = "record", rules: P.R
         return found.withColumns({"valid": F.col("pii_count") == 0, "types_found": types}).drop("matches")
     if dry_run:
         return found.withColumn("dry_run", F.lit(True)).drop("matches")
-    clean = P.redact_json(F.col(col), rules, P.JOB_SENSITIVE_KEYS, all_strings)
+    clean = P.redacted_record(F.col(col), F.col("__scan.segments"), rules)
     at = as_ts(asof) if asof is not None else F.current_timestamp()
     note = F.struct(
         F.lit(True).alias("redacted"), F.col("pii_count"), at.alias("redacted_at"), F.lit(rules.strategy).alias("strategy")
@@ -31,10 +36,11 @@ def pii_job(df: DataFrame, mode: str = "redact", col: str = "record", rules: P.R
     return found.withColumns(
         {
             "redacted_record": clean,
+            "redaction_map": P.redaction_map(F.col("__scan.segments"), rules),
             "_pii_redaction": F.when(F.col("pii_count") > 0, note),
             "result": F.when(clean.isNull(), "ProcessingFailed").otherwise("Ok"),
         }
-    ).drop("matches")
+    ).drop("matches", "__scan")
 
 
 def redact_columns(df: DataFrame, cols: list[str], rules: P.Rules = P.Rules(), sensitive: list[str] | None = None) -> DataFrame:

@@ -70,12 +70,36 @@ def test_custom_patterns_types_and_fakes(spark):
     assert df.select(V.redact_pii(F.col("text"), rules)).first()[0] == "id EMP-0000 mail a@b.co"
 
 
-def test_native_partial_masks_equal_the_helper(spark):
-    cases = [("email", "ann@x.org"), ("email", "a@b@c"), ("phone_number", "(555) 123-4567"), ("credit_card", "4111-1111-1111-1111"),
-             ("ssn", "123-45-6789"), ("ip_address", "10.1.2.3"), ("ip_address", "fe80:0:0:0:1:2:3:4"), ("passport", "C12345678"), ("passport", "C1")]
-    for kind, value in cases:
-        got = spark.createDataFrame([(value,)], "v string").select(V.partial_mask(F.col("v"), kind)).first()[0]
-        assert got == V.partial_value(kind, value), (kind, value)
+def test_partial_masks(spark):
+    cases = [
+        ("email", "ann@x.org", "a**@x.org"), ("email", "a@b@c", "a***c"), ("phone_number", "(555) 123-4567", "******4567"),
+        ("credit_card", "4111-1111-1111-1111", "4111********1111"), ("ssn", "123-45-6789", "***-**-6789"), ("ip_address", "10.1.2.3", "10.1.2.*"),
+        ("ip_address", "fe80:0:0:0:1:2:3:4", "fe80**********:3:4"), ("passport", "C12345678", "C1*****78"), ("passport", "C1", "**"),
+    ]
+    for kind, value, want in cases:
+        assert spark.createDataFrame([(value,)], "v string").select(V.partial_mask(F.col("v"), kind)).first()[0] == want
+
+
+def test_salted_masks_and_redaction_map(spark):
+    import base64
+
+    rules = V.Rules(strategy="encrypt", by_type={"ip_address": "type_mask", "ssn": "hash"}, salt=b"s")
+    df = spark.createDataFrame([("a@b.co 10.0.0.1 123-45-6789",)], "text string").withColumn("s", V.cut_text(F.col("text"), rules))
+    want = base64.urlsafe_b64encode(hashlib.sha256(b"sa@b.co").digest()).decode()[:32]
+    row = df.select(V.redact_pii(F.col("text"), rules).alias("t"), V.redaction_map(F.col("s"), rules).alias("m")).first()
+    assert row["t"] == f"[ENC:{want}] [IP_ADDRESS_REDACTED] [HASH:{hashlib.sha256(b'123-45-6789').hexdigest()}]"
+    assert [tuple(x) for x in row["m"]] == [("[IP_ADDRESS_REDACTED]", "10.0.0.1")]
+
+
+def test_json_escapes_nesting_and_types(spark):
+    record = {"a": [{"text": 'say "hi\\" to a@b.co\nnow é'}, ["a@b.co"]], "token": "t", "body": {"x": None, "y": ["a@b.co", {"z": "1.2.3.4 end"}]}, "k": "a@b.co"}
+    df = spark.createDataFrame([(json.dumps(record),), (json.dumps(record, ensure_ascii=False),), ('"a@b.co"',), ("[]",), (None,)], "record string")
+    out = [r[0] for r in df.select(V.redact_json(F.col("record"), V.Rules(strategy="partial"), ["token"])).collect()]
+    want = {
+        "a": [{"text": 'say "hi\\" to a@b.co\nnow é'}, ["a@b.co"]], "token": "[REDACTED]", "body": {"x": None, "y": ["a@b.co", {"z": "1.2.3.* end"}]}, "k": "a@b.co",
+    }
+    assert [json.loads(text) for text in out[:2]] == [want, want]
+    assert out[2:] == ['"a@b.co"', "[]", None]
 
 
 def test_json_redaction_by_key_and_path(spark):
