@@ -85,16 +85,28 @@ def dedup_alerts(
     exactly one window after the last send is sent again.  Fingerprints with at
     most ``hot`` distinct alert times are folded in one expression; more frequent
     ones go through time slices.  Both ways give the same result.
+
+    An alert older than the cached last send is ``late``.  Less than a window older,
+    it is suppressed by that send.  Otherwise it is decided among the late ones alone,
+    as it would have been without the cache, and doesn't move the cache.
     """
     spark = alerts.sparkSession
     span = hours if isinstance(hours, Column) else F.lit(float(hours))
     window = F.greatest((span * 3_600_000_000).cast("bigint"), F.lit(1).cast("bigint"))
     rows = alerts.withColumns({"fp": F.col("alert_fingerprint"), "t": F.unix_micros(ts), "w": window})
-    slots = cut_lineage(rows.select("fp", "t", "w").distinct())
     if cache is None:
         seen = spark.range(0).select(F.lit("").alias("fp"), F.col("id").alias("last"))
+        rows = rows.withColumns({"late": F.lit(False), "covered_by": F.lit(None).cast("bigint")})
     else:
         seen = cache.groupBy(F.col("alert_fingerprint").alias("fp")).agg(F.max(F.unix_micros("last_sent")).alias("last"))
+        late = F.coalesce(F.col("t") < F.col("last"), F.lit(False))
+        apart = late & (F.col("last") - F.col("t") >= F.col("w"))
+        rows = rows.join(seen, "fp", "left").withColumns({
+            "late": late,
+            "covered_by": F.when(late & ~apart, F.col("last")),
+            "fp": F.when(apart, F.concat("fp", F.lit("|late"))).otherwise(F.col("fp")),
+        }).drop("last")
+    slots = cut_lineage(rows.filter("covered_by IS NULL").select("fp", "t", "w").distinct())
     busy = slots.groupBy("fp", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("fp", "w")
     widths = [r["w"] for r in busy.select("w").distinct().toLocalIterator()]
     if not widths:
@@ -127,8 +139,9 @@ def _mark_sent(rows: DataFrame, sends: DataFrame, seen: DataFrame, tie: str) ->
     # Of alerts at the very moment of a send, the first by id is the one sent.
     first = marked.filter(F.col("by") == F.col("t")).groupBy("fp", "t").agg(F.min(tie).alias("winner"))
     out = marked.join(first, ["fp", "t"], "left")
-    sent = F.coalesce(F.col("winner") == F.col(tie), F.lit(False))
-    return out.withColumns({"sent": sent, "sent_by": F.timestamp_micros("by")}).drop("slice", "near", "by", "winner")
+    sent = F.coalesce(F.col("winner") == F.col(tie), F.lit(False)) & F.isnull("covered_by")
+    by = F.timestamp_micros(F.coalesce("covered_by", "by"))
+    return out.withColumns({"sent": sent, "sent_by": by}).drop("slice", "near", "by", "winner", "covered_by")
 
 
 def alert_cache(deduped: DataFrame, days: int = 7) -> DataFrame:
@@ -273,11 +286,14 @@ def _text_block(text: Column) -> Column:
     return F.struct(F.lit("section").alias("type"), body.alias("text"))
 
 
-def notification_payloads(alerts: DataFrame, channel: str, dashboard_url: str = "", source: str = "agent telemetry") -> DataFrame:
+def notification_payloads(
+    alerts: DataFrame, channel: str, dashboard_url: str = "", source: str = "agent telemetry", head_chars: int = 150, cause_chars: int = 500, actions_shown: int = 3
+) -> DataFrame:
     """(alert_id, channel, payload JSON) rows for ``slack``, ``pagerduty``, ``teams`` or ``email``.
 
     Uses agent_id, anomaly_type, severity, ts, metrics and, where the frame has
-    them, root_cause and immediate_actions.
+    them, root_cause and immediate_actions.  A chat message shows ``head_chars`` of
+    its head, ``cause_chars`` of the cause and ``actions_shown`` actions.
     """
     has = set(alerts.columns)
     cause = F.col("root_cause") if "root_cause" in has else F.lit(None).cast("string")
@@ -291,13 +307,13 @@ def notification_payloads(alerts: DataFrame, channel: str, dashboard_url: str =
     if channel == "slack":
         head = F.concat(lookup(EMOJI, sev, ":bell:"), F.lit(" "), F.upper(sev), F.lit(": "), kind)
         blocks = F.array(
-            _text_block(F.substring(head, 1, 150)),
+            _text_block(F.substring(head, 1, head_chars)),
             _text_block(F.concat(F.lit("*Agent:*\n"), agent, F.lit("\n*Time:*\n"), fmt_ts(F.col("ts")))),
             F.when(F.size("metrics") > 0, _text_block(F.concat(F.lit("*Metrics:*\n"), _metric_lines("• ")))),
-            F.when(F.length(cause) > 0, _text_block(F.concat(F.lit("*Root Cause:*\n"), truncate(cause, 500)))),
+            F.when(F.length(cause) > 0, _text_block(F.concat(F.lit("*Root Cause:*\n"), truncate(cause, cause_chars)))),
             F.when(
                 F.size(actions) > 0,
-                _text_block(F.concat(F.lit("*Immediate Actions:*\n• "), F.array_join(F.slice(actions, 1, 3), "\n• "))),
+                _text_block(F.concat(F.lit("*Immediate Actions:*\n• "), F.array_join(F.slice(actions, 1, actions_shown), "\n• "))),
             ),
         )
         payload = F.struct(lookup(CHAT_COLORS, sev, "#808080").alias("color"), F.array_compact(blocks).alias("blocks"))

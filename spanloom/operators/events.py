@@ -179,8 +179,10 @@ def sample_events(df: DataFrame, rate: float, seed: int = 0, by: str = "trace")
     """Keep a fraction of events; ``by='trace'`` keeps or drops whole traces."""
     if by == "event":
         return df.sample(fraction=rate, seed=seed)
-    slot = F.pmod(F.xxhash64(F.col("trace_id"), F.lit(seed)), F.lit(10_000))
-    return df.filter(slot < int(rate * 10_000))
+    # The bucket comes from a digest that other engines have too.
+    digest = F.md5(F.concat_ws("|", "trace_id", F.lit(str(seed))).cast("binary"))
+    slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000
+    return df.filter(slot < round(rate * 10_000))
 
 
 # Payload columns hidden by each policy flag.

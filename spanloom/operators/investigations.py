@@ -270,11 +270,11 @@ def split_sections(texts: DataFrame, key: str, text: str) -> DataFrame:
     return staged.select(key, *columns, steps)
 
 
-def investigation_notice(sections: DataFrame, key: str) -> DataFrame:
-    """Summary (first 500 characters of the root cause) and the first three actions."""
+def investigation_notice(sections: DataFrame, key: str, actions_shown: int = 3) -> DataFrame:
+    """Summary (first 500 characters of the root cause), the first actions and, next to them, all."""
     return sections.select(
         key, executive_summary(F.col("root_cause")).alias("summary"), "impact",
-        F.slice("remediation", 1, 3).alias("immediate_actions"), "prevention",
+        F.slice("remediation", 1, actions_shown).alias("immediate_actions"), "prevention", "root_cause", "remediation",
     )
 
 

@@ -34,7 +34,8 @@ def ordered_scan(
     order = F.struct(ts, tie)
     work = (
         df.withColumn("__key", F.struct(*keys))
-        .withColumn("__piece", F.floor(F.unix_seconds(ts) / piece_seconds))
+        # Rows without a time come first, in a piece of their own.
+        .withColumn("__piece", F.coalesce(F.floor(F.unix_seconds(ts) / piece_seconds), F.lit(-(1 << 62))))
         .withColumns({f"__sum_{o}": e for o, e in running_sum.items()})
         .withColumns({f"__val_{o}": e for o, e in last_value.items()})
     )
@@ -140,10 +141,12 @@ def latest_per(df: DataFrame, key: str, n: int, ts: str = "ts", tie: str = "even
     return top_per(df, [key], [F.desc(ts), F.asc(tie)], n)
 
 
-def latest_quota(df: DataFrame, agents: list[str], limit: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """At most five agents share ``limit``; each gets an equal whole number of newest rows."""
-    chosen = agents[:5]
-    return latest_per(df.filter(F.col("agent_id").isin(chosen)), "agent_id", limit // max(len(agents), 1), ts, tie)
+def latest_quota(df: DataFrame, agents: list[str], limit: int, ts: str = "ts", tie: str = "event_id", max_agents: int | None = None) -> DataFrame:
+    """The agents share ``limit``; each gets an equal whole number of newest rows.  More than ``max_agents`` are an error."""
+    chosen = sorted(set(agents))
+    if max_agents is not None and len(chosen) > max_agents:
+        raise ValueError(f"{len(chosen)} agents, at most {max_agents}")
+    return latest_per(df.filter(F.col("agent_id").isin(chosen)), "agent_id", limit // max(len(chosen), 1), ts, tie)
 
 
 def for_agents(df: DataFrame, agents: list[str]) -> DataFrame:

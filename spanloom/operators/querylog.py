@@ -72,14 +72,13 @@ def tag_questions(queries: DataFrame, text: str = "query") -> DataFrame:
     )
 
 
-def suggest_followups(tagged: DataFrame) -> DataFrame:
-    """At most four follow-up questions by type and time range."""
-    table = {k: v for k, v in SUGGESTIONS.items()}
-    cells = [x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))]
+def suggest_followups(tagged: DataFrame, limit: int = 4) -> DataFrame:
+    """The first ``limit`` follow-up questions by type and time range."""
+    cells = [x for k, v in SUGGESTIONS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))]
     base = F.coalesce(F.try_element_at(F.create_map(*cells), F.col("query_type")), F.array().cast("array<string>"))
     extra = lookup(WIDER, F.col("time_range"))
     more = F.when(extra.isNotNull(), F.array(extra)).otherwise(F.array().cast("array<string>"))
-    return tagged.withColumn("suggestions", F.slice(F.concat(base, more), 1, 4))
+    return tagged.withColumn("suggestions", F.slice(F.concat(base, more), 1, limit))
 
 
 def contextual_suggestions(col: Column) -> Column:

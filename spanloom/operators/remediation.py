@@ -31,10 +31,11 @@ def requires_approval(actions: Column, severity: Column) -> Column:
     return ~F.lower(severity).isin(AUTO_APPROVE) & F.coalesce(risky, F.lit(False))
 
 
-def fallback_plan(recommendations: Column) -> Column:
-    """Up to five manual actions made from recommendations."""
+def fallback_plan(recommendations: Column, limit: int | None = None) -> Column:
+    """Manual actions made from recommendations: all, or the first ``limit``."""
+    listed = F.coalesce(recommendations, F.array().cast("array<string>"))
     return F.transform(
-        F.slice(F.coalesce(recommendations, F.array().cast("array<string>")), 1, 5),
+        listed if limit is None else F.slice(listed, 1, limit),
         lambda r: F.struct(
             F.lit("custom_script").alias("type"),
             r.alias("description"),

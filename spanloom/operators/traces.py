@@ -203,43 +203,59 @@ def span_count(col: str = "spans"):
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
-    """Depth, root and path of every span.
+    """Depth, root and path of every span within its trace, and whether its line of parents is a cycle.
 
     Pointer doubling: each round every unfinished span jumps to its pointer's
     pointer, so a tree of depth d needs about log2(d) joins.  A parent that is
-    not in the table makes the span a root.
+    not in the trace makes the span a root.  Of repeated span ids the least parent
+    counts, and every row gets the result.  A line longer than its trace has spans is
+    a cycle: it ends there, with null root, depth and path, as for rows without a span id.
     """
-    ids = spans.select("span_id").distinct()
-    nodes = spans.select("span_id", "parent_span_id")
-    known = nodes.join(ids.select(F.col("span_id").alias("parent_span_id"), F.lit(True).alias("ok")), "parent_span_id", "left")
+    key = ["trace_id", "span_id"]
+    given = spans if "trace_id" in spans.columns else spans.withColumn("trace_id", F.lit(""))
+    nodes = (
+        given.filter("span_id IS NOT NULL")
+        .groupBy(F.coalesce("trace_id", F.lit("")).alias("trace_id"), "span_id")
+        .agg(F.min("parent_span_id").alias("parent_span_id"))
+    )
+    sizes = nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("size"))
+    ids = nodes.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("ok"))
+    known = nodes.join(ids, ["trace_id", "parent_span_id"], "left").join(sizes, "trace_id")
     state = known.select(
-        "span_id",
+        *key, "size",
         F.when(F.col("ok"), F.col("parent_span_id")).alias("up"),
-        F.when(F.col("ok"), F.col("parent_span_id")).alias("root"),
+        F.coalesce(F.when(F.col("ok"), F.col("parent_span_id")), "span_id").alias("root"),
         F.when(F.col("ok"), 1).otherwise(0).cast("long").alias("depth"),
         F.col("span_id").alias("path"),
-    ).withColumn("root", F.coalesce("root", "span_id"))
+    )
+    looped = F.col("depth") >= F.col("size")
     while True:
-        state = cut_lineage(state)
+        state = cut_lineage(state.withColumn("up", F.when(~looped, F.col("up"))).withColumn("path", F.when(~looped, F.col("path"))))
         if state.filter("up IS NOT NULL").isEmpty():
             break
         hop = state.select(
-            F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"),
+            "trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"),
             F.col("depth").alias("depth2"), F.col("path").alias("path2"),
         )
-        going = state.filter("up IS NOT NULL").join(hop, "up")
+        going = state.filter("up IS NOT NULL").join(hop, ["trace_id", "up"])
         done = state.filter("up IS NULL")
         state = done.unionByName(
             going.select(
-                "span_id",
+                *key, "size",
                 F.col("up2").alias("up"),
                 F.coalesce("root2", "root").alias("root"),
                 (F.col("depth") + F.col("depth2")).alias("depth"),
                 F.concat_ws("/", "path2", "path").alias("path"),
             )
         )
-    tree = state.select("span_id", F.col("root").alias("root_span_id"), "depth", "path")
-    return spans.join(tree, "span_id")
+    tree = state.select(
+        F.col("trace_id").alias("__trace"), F.col("span_id").alias("__span"),
+        F.when(~looped, F.col("root")).alias("root_span_id"), F.when(~looped, F.col("depth")).alias("depth"),
+        F.when(~looped, F.col("path")).alias("path"), looped.alias("cycle"),
+    )
+    same = (F.coalesce(given["trace_id"], F.lit("")) == F.col("__trace")) & (given["span_id"] == F.col("__span"))
+    out = given.join(tree, same, "left").drop("__trace", "__span").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
+    return out if "trace_id" in spans.columns else out.drop("trace_id")
 
 
 def list_traces(traces: DataFrame, limit: int = 100, start=None, end=None, **equal) -> DataFrame:

@@ -380,7 +380,7 @@ def approval_rule(spark, d):
 
 @query("F-30", "SELECT investigation_id, CAST(least(k % 7 + 1, 5) AS BIGINT) AS n, 'step 0' AS first FROM inv")
 def fallback_plans(spark, d):
-    p = Z.fallback_plan(F.col("recommendations"))
+    p = Z.fallback_plan(F.col("recommendations"), limit=5)
     return S.investigations(spark, d).select("investigation_id", F.size(p).alias("n"), p[0]["description"].alias("first"))
 
 

@@ -163,7 +163,7 @@ def storage_tiers(spark, d):
     return o.select("o_orderkey", TM.storage_tier(F.to_date("o_orderdate"), "1999-01-01").alias("tier"))
 
 
-@query("P-18")
+@query("P-18", "SELECT event_id, trace_id FROM ev WHERE CAST('0x' || substr(md5(trace_id || '|7'), 1, 8) AS BIGINT) % 10000 < 2500")
 def sampled_traces(spark, d):
     return P.sample_events(_ev(spark, d), 0.25, seed=7).select("event_id", "trace_id")
 

@@ -78,10 +78,10 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     return parse_json(lines.filter(F.length(F.trim("value")) > 0), F.col("value"))
 
 
-def read_raw_events(spark: SparkSession, base: str, day: date) -> DataFrame:
-    """One day of raw events under ``base/raw/events/YYYY/MM/DD``, canonical."""
-    good, _ = split_bad_records(read_raw_json(spark, f"{base}/raw/events/{day:%Y/%m/%d}"))
-    return canonical(good)
+def read_raw_events(spark: SparkSession, base: str, day: date) -> tuple[DataFrame, DataFrame]:
+    """(canonical events, malformed lines) of one day under ``base/raw/events/YYYY/MM/DD``."""
+    good, bad = split_bad_records(read_raw_json(spark, f"{base}/raw/events/{day:%Y/%m/%d}"))
+    return canonical(good), bad
 
 
 def split_bad_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,19 +97,22 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WRAPPER).option("recursiveFileLookup", True).option("multiLine", True).json(path)
 
 
-def validate_batches(batches: DataFrame, max_events: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with a reason): empty and oversized batches are rejected."""
+def validate_batches(batches: DataFrame, max_events: int | None = 1000) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with a reason): empty and oversized batches are rejected; no limit if None."""
     n = F.size(F.coalesce("events", F.array().cast(WRAPPER["events"].dataType)))
-    reason = F.when(n == 0, "No events provided").when(
-        n > max_events, F.lit(f"Too many events (max {max_events})")
-    )
+    reason = F.when(n == 0, "No events provided")
+    if max_events is not None:
+        reason = reason.when(n > max_events, F.lit(f"Too many events (max {max_events})"))
     tagged = batches.withColumn("reason", reason)
     return tagged.filter("reason IS NULL").drop("reason"), tagged.filter("reason IS NOT NULL")
 
 
-def read_wrapped_batches(spark: SparkSession, path: str, max_events: int = 1000) -> DataFrame:
-    """Events of wrapped batch files, with the wrapper's metadata filled in."""
-    ok, _ = validate_batches(read_batches(spark, path), max_events)
+def read_wrapped_batches(spark: SparkSession, path: str, max_events: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events with the wrapper's metadata filled in, rejected batches) of stored batch files.
+
+    The limit belongs to admission; what has been stored is read whole unless ``max_events`` is given.
+    """
+    ok, rejected = validate_batches(read_batches(spark, path), max_events)
     rows = ok.select(
         F.struct("agent_id", "environment", "agent_type", "agent_version", "global_tags").alias("w"),
         F.explode("events").alias("e"),
@@ -121,7 +124,7 @@ def read_wrapped_batches(spark: SparkSession, path: str, max_events: int = 1000)
             for f in RAW_EVENT.fields
         ]
     )
-    return canonical(raw)
+    return canonical(raw), rejected
 
 
 # Microseconds survive the round trip only with an explicit format.
@@ -156,8 +159,9 @@ def read_hive_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def day_ready(spark: SparkSession, base: str, day: date, min_events: int = 1) -> DataFrame:
-    """One row: day, events found, ready flag."""
-    found = read_raw_events(spark, base, day).agg(F.count("*").alias("events"))
+    """One row: day, events found, malformed lines, ready flag."""
+    raw = read_raw_json(spark, f"{base}/raw/events/{day:%Y/%m/%d}")
+    found = raw.agg(F.count_if(F.col(CORRUPT).isNull()).alias("events"), F.count(CORRUPT).alias("malformed"))
     return found.select(
-        F.lit(day).alias("date"), "events", (F.col("events") >= min_events).alias("ready")
+        F.lit(day).alias("date"), "events", "malformed", (F.col("events") >= min_events).alias("ready")
     )

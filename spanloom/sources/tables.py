@@ -19,11 +19,18 @@ def read_query(spark: SparkSession, source: dict, sql: str) -> DataFrame:
     return spark.read.format("jdbc").options(**{**source, "query": sql}).load()
 
 
-def write_mart(df: DataFrame, path: str, partition: str = "date") -> None:
-    """Replace exactly the partitions present in ``df``; a rerun does not double rows.
+def write_mart(df: DataFrame, path: str, partition: str = "date", values: list | None = None) -> None:
+    """Replace partitions; a rerun does not double rows.
 
-    An empty frame replaces nothing, so no count is needed before writing.
+    With ``values`` exactly these partitions are replaced, also by nothing: a correcting rerun that finds no rows leaves
+    none behind.  Without them the partitions present in ``df`` are.
     """
+    if values is not None:
+        kind = df.schema[partition].dataType
+        for v in values:
+            own = df.filter(F.col(partition) == F.lit(v).cast(kind)).drop(partition)
+            own.write.mode("overwrite").parquet(f"{path}/{partition}={v}")
+        return
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -47,9 +54,13 @@ def counted(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, Observation
     return df.observe(seen, *exprs), seen
 
 
-def write_observed(df: DataFrame, path: str, name: str, partition: str = "date") -> Observation:
+def write_observed(df: DataFrame, path: str, name: str, partition: str = "date", value=None) -> Observation:
+    """Write one partition, or those present, counting the rows on the way."""
     out, seen = counted(df, name)
-    write_mart(out, path, partition)
+    if value is None:
+        write_mart(out, path, partition)
+    else:
+        out.drop(partition).write.mode("overwrite").parquet(f"{path}/{partition}={value}")
     return seen
 
 
@@ -94,10 +105,7 @@ def compact(spark: SparkSession, src: str, dst: str, sort: list[str], target_mb:
     The rebalance hint lets AQE size the output partitions from real shuffle
     statistics, splitting big ones and merging small ones.
     """
-    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", f"{target_mb}m")
-    try:
-        rows = spark.read.parquet(src)
-        rows.hint("rebalance").sortWithinPartitions(*sort).write.mode("overwrite").parquet(dst)
-    finally:
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    # A session of its own: the target size must not reach jobs that run meanwhile.
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", f"{target_mb}m")
+    own.read.parquet(src).hint("rebalance").sortWithinPartitions(*sort).write.mode("overwrite").parquet(dst)

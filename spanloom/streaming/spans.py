@@ -16,21 +16,22 @@ def stream_pair_spans(events: DataFrame, max_duration: str = "1 hour", late: str
     """Start events joined with their end within ``max_duration``.
 
     An end without a start never appears; a start without an end appears, still
-    open, once the watermark has passed its limit.
+    open, once the watermark has passed its limit.  Of repeated starts or ends of a
+    span the first to arrive counts; an end that doesn't say so has succeeded.
     """
     keyed = events.filter(F.col("span_id").isNotNull())
     starts = keyed.filter(F.col("event_type").isin(START_EVENTS)).select(
         "span_id", "trace_id", "agent_id", "name", F.col("event_type").alias("start_event_type"), F.col("ts").alias("start_time")
-    ).withWatermark("start_time", late)
+    ).withWatermark("start_time", late).dropDuplicatesWithinWatermark(["span_id"])
     ends = keyed.filter(F.col("event_type").isin(END_EVENTS)).select(
         F.col("span_id").alias("end_span_id"), F.col("ts").alias("end_time"), "duration_ms", "success", "error_message"
-    ).withWatermark("end_time", late)
+    ).withWatermark("end_time", late).dropDuplicatesWithinWatermark(["end_span_id"])
     on = (
         (F.col("span_id") == F.col("end_span_id"))
         & (F.col("end_time") >= F.col("start_time"))
         & (F.col("end_time") <= F.col("start_time") + F.expr(f"INTERVAL {max_duration}"))
     )
-    status = F.when(F.col("end_time").isNull(), "running").when(F.col("success"), "success").otherwise("error")
+    status = F.when(F.col("end_time").isNull(), "running").when(F.coalesce("success", F.lit(True)), "success").otherwise("error")
     return starts.join(ends, on, "left_outer").withColumn("status", status).drop("end_span_id", "success")
 
 

@@ -15,12 +15,14 @@ def test_raw_day_with_malformed_line(spark, tmp_path):
     folder = tmp_path / "raw/events/2024/01/01/10"
     folder.mkdir(parents=True)
     (folder / "x.json").write_text(json.dumps(EVENT) + "\n{broken\n\n" + json.dumps({**EVENT, "unknown_key": 1}) + "\n")
-    rows = files.read_raw_events(spark, str(tmp_path), date(2024, 1, 1)).collect()
+    events, malformed = files.read_raw_events(spark, str(tmp_path), date(2024, 1, 1))
+    rows = events.collect()
+    assert malformed.count() == 1
     assert [(r["event_type"], r["total_tokens"], r["status"], r["ts"]) for r in rows] == [("llm_call_end", 7, "success", datetime(2024, 1, 1, 10))] * 2
     _, bad = files.split_bad_records(files.read_raw_json(spark, str(tmp_path / "raw")))
     assert [r["record"] for r in bad.collect()] == ["{broken"]
     ready = files.day_ready(spark, str(tmp_path), date(2024, 1, 1), 3).first()
-    assert (ready["events"], ready["ready"]) == (2, False)
+    assert (ready["events"], ready["malformed"], ready["ready"]) == (2, 1, False)
 
 
 def test_wrapped_batches(spark, tmp_path):
@@ -31,7 +33,9 @@ def test_wrapped_batches(spark, tmp_path):
     put("ok.json", 2)
     put("empty.json", 0)
     put("big.json", 6)
-    got = files.read_wrapped_batches(spark, str(tmp_path), max_events=5)
+    got, refused = files.read_wrapped_batches(spark, str(tmp_path), max_events=5)
+    whole, empty = files.read_wrapped_batches(spark, str(tmp_path))
+    assert refused.count() == 2 and empty.count() == 1 and whole.count() > got.count()
     assert [(r["agent_id"], r["environment"]) for r in got.collect()] == [("w", "prod")] * 2
     _, rejected = files.validate_batches(files.read_batches(spark, str(tmp_path)), 5)
     assert {r["reason"] for r in rejected.collect()} == {"No events provided", "Too many events (max 5)"}
