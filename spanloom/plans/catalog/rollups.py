@@ -463,7 +463,7 @@ def daily_report(spark, d):
 @query("A-51 S-06 S-08 S-21", """
 SELECT 'events' AS mart, count(*) AS n FROM ev UNION ALL
 SELECT 'traces_archive', count(*) FROM tr UNION ALL
-SELECT 'cost_by_team_daily', count(*) FROM (SELECT DISTINCT team_id FROM call) UNION ALL
+SELECT 'cost_by_team_daily', count(*) FROM (SELECT DISTINCT team_id, strftime(ts, '%Y-%m-%d') FROM call) UNION ALL
 SELECT 'tool_transitions', count(*) FROM (SELECT DISTINCT agent_id, strftime(ts, '%Y-%m-%d'), prev, tool_name FROM (
   SELECT *, lag(tool_name) OVER (PARTITION BY trace_id ORDER BY ts, event_id) AS prev FROM ev WHERE event_type = 'tool_call_start') WHERE prev IS NOT NULL)""")
 def daily_run(spark, d):
