@@ -1,9 +1,14 @@
-"""Region health from check logs (region_id, ts, check_id, ok, latency_ms)."""
+"""Region health from check logs (region_id, ts, check_id, ok, latency_ms).
+
+An ordered scan uses its input twice (rows, and one summary per piece), so scans that follow one another are
+separated by a checkpoint: the log is read twice at most, not twice for every scan.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .ordered import blocked_frame, ordered_scan
 
 # Defaults of the health rules.
@@ -28,7 +33,7 @@ def with_run_length(checks: DataFrame) -> DataFrame:
     rows = ordered_scan(checks, ["region_id"], "ts", "check_id", row_number="seq", lag={"prev_ok": "ok"})
     begins = F.col("prev_ok").isNull() | (F.col("prev_ok") != F.col("ok"))
     rows = ordered_scan(
-        rows, ["region_id"], "ts", "check_id", last_value={"run_start": F.when(begins, F.col("seq"))}
+        cut_lineage(rows), ["region_id"], "ts", "check_id", last_value={"run_start": F.when(begins, F.col("seq"))}
     )
     return rows.withColumn("run_length", F.col("seq") - F.col("run_start") + 1).drop("prev_ok", "run_start")
 
@@ -46,7 +51,7 @@ def health_timeline(checks: DataFrame, fail: int = FAILURES_UNHEALTHY, recover:
         .when(~ok & (n >= fail), "unhealthy")
         .when(~ok & (n >= max(fail // 2, 1)), "degraded")
     )
-    rows = ordered_scan(with_run_length(checks), ["region_id"], "ts", "check_id", last_value={"status": verdict})
+    rows = ordered_scan(cut_lineage(with_run_length(checks)), ["region_id"], "ts", "check_id", last_value={"status": verdict})
     return rows.withColumn("status", F.coalesce("status", F.lit("unknown"))).drop("seq")
 
 
@@ -58,11 +63,11 @@ def circuit_intervals(checks: DataFrame, fails: int = FAILURES_OPEN, secs: int =
     """
     opens = with_run_length(checks).filter(~F.col("ok") & (F.col("run_length") >= fails))
     ends = F.col("ts") + F.make_dt_interval(secs=F.lit(secs))
-    opens = opens.select("region_id", "check_id", F.col("ts"), ends.alias("until"))
+    opens = cut_lineage(opens.select("region_id", "check_id", F.col("ts"), ends.alias("until")))
     # All intervals have one length, so one overlaps an earlier one exactly when it overlaps its predecessor.
     rows = ordered_scan(opens, ["region_id"], "ts", "check_id", lag={"prev_until": "until"})
     fresh = F.when(F.col("prev_until").isNull() | (F.col("ts") > F.col("prev_until")), 1).otherwise(0)
-    rows = ordered_scan(rows, ["region_id"], "ts", "check_id", running_sum={"island": fresh})
+    rows = ordered_scan(cut_lineage(rows), ["region_id"], "ts", "check_id", running_sum={"island": fresh})
     return rows.groupBy("region_id", "island").agg(
         F.min("ts").alias("open_from"), F.max("until").alias("open_until"), F.count(F.lit(1)).alias("failures")
     ).drop("island")

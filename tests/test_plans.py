@@ -36,3 +36,8 @@ def test_one_grouped_shuffle(spark, sf, tmp_path):
 
 def test_top_k_per_key_limits_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan_of(ENTRIES["latest_traces_per_agent"].run(spark, sf))
+
+
+def test_scans_in_a_row_read_the_log_twice_at_most(spark, sf):
+    for name in ("region_health", "circuit_intervals", "rolling_region_latency"):
+        assert plan_of(ENTRIES[name].run(spark, sf)).count("Scan parquet") <= 2
