@@ -19,7 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(prepare(spark), sf_dir)
+            # Texts are long: smaller batches bound what a task's two processes hold at once.
+            prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+            return fn(spark, sf_dir)
 
         run.__name__ = name
         QUERIES[name] = run
