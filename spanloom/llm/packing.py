@@ -11,9 +11,13 @@ an empty table gives no rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import logging
 import sys
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,7 @@ from .tokens import Encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
+DIVES = 4  # steps of the search per length: a dive takes about one
 
 
 # ---- the solver: lengths and counts in, patterns out -------------------------------------------------------------
@@ -47,106 +52,176 @@ def lower_bound(counts: dict[int, int], size: int) -> int:
 def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, Filling]]:
     """Best-fit decreasing over whole length classes; the incumbent of the search."""
     open_: dict[int, list[list]] = {}  # room left -> [how many sequences, filling]
+    rooms: list[int] = []  # the keys of open_, sorted
+
+    def add(room: int, group: list) -> None:
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append(group)
+
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            room = min((r for r in open_ if r >= length), default=None)
-            if room is None:
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
                 room, groups = size, [[left, ()]]
             else:
+                room = rooms[at]
                 groups = open_[room]
             times, filling = groups.pop()
-            if not groups and room in open_:
-                del open_[room]
+            if not groups and at < len(rooms):
+                del open_[room], rooms[at]
             k = min(room // length, left)
             use = min(times, left // k)
             if times > use and filling:
-                open_.setdefault(room, []).append([times - use, filling])
-            open_.setdefault(room - k * length, []).append([use, (*filling, (length, k))])
+                add(room, [times - use, filling])
+            add(room - k * length, [use, (*filling, (length, k))])
             left -= use * k
     return [(times, filling) for groups in open_.values() for times, filling in groups]
 
 
-def completions(counts: dict[int, int], room: int, most: int, tries: int) -> list[Filling]:
-    """Undominated fillings of ``room``, least waste first, at most ``most`` found in ``tries`` steps.
+def completions(counts: dict[int, int], room: int, most: int, tries: int) -> tuple[list[Filling], bool]:
+    """Undominated fillings of ``room``, least waste first, and whether these are all: at most ``most`` are found in ``tries`` steps.
 
     A filling is dominated if a further piece still fits, or if one of its pieces could be replaced by a longer unused
     one that fits: whatever can be packed after the dominated filling can be packed after the other.
     """
-    lengths = sorted((n for n in counts if n <= room and counts[n]), reverse=True)
+    lengths = sorted(n for n in counts if n <= room and counts[n])
     found: dict[Filling, int] = {}
-    steps = 0
+    greedy: Filling | None = None
+    steps, whole = 0, True
 
-    def undominated(filling: list[tuple[int, int]], waste: int) -> bool:
+    def undominated(filling: Filling, waste: int) -> bool:
+        if not waste:
+            return True
         used = dict(filling)
-        spare = [n for n in lengths if counts[n] > used.get(n, 0)]
-        if any(n <= waste for n in spare):
-            return False
-        return not any(length < n <= length + waste for n in spare for length, _ in filling)
-
-    def grow(at: int, left: int, filling: list[tuple[int, int]]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > tries or len(found) >= most:
-            return
-        while at < len(lengths) and lengths[at] > left:
-            at += 1
-        if at == len(lengths) or left == 0:
+
+        def least_spare(at: int) -> int:
+            while at < len(lengths) and counts[lengths[at]] <= used.get(lengths[at], 0):
+                at += 1
+            return lengths[at] if at < len(lengths) else room + waste + 1
+
+        return least_spare(0) > waste and all(least_spare(bisect_right(lengths, n)) > n + waste for n, _ in filling)
+
+    def grow(below: int, left: int, filling: Filling) -> None:
+        """Go on with pieces among the ``below`` shortest lengths."""
+        nonlocal steps, whole, greedy
+        below = min(below, bisect_right(lengths, left))
+        if not below:
+            if greedy is None:
+                greedy = filling
             if undominated(filling, left):
-                found[tuple(filling)] = left
+                found[filling] = left
             return
-        n = lengths[at]
-        for k in range(min(counts[n], left // n), -1, -1):
-            grow(at + 1, left - k * n, [*filling, (n, k)] if k else filling)
-            if steps > tries or len(found) >= most:
-                return
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, len(lengths) + 1000))
-    try:
-        grow(0, room, [])
-    finally:
-        sys.setrecursionlimit(limit)
-    return sorted(found, key=found.get) or [()]
-
-
-def bin_completion(counts: dict[int, int], size: int, max_nodes: int = 200, width: int = 8, tries: int = 4000) -> list[tuple[int, Filling]]:
-    """Patterns ``(how many sequences, filling)`` that use every piece once.
-
-    Depth first: the longest piece left is completed by each undominated filling in turn, used as often as the counts
-    allow; a branch ends once its waste leaves no room for fewer sequences than the incumbent.  The search ends with a
-    proof (the lower bound is met, or all branches are done) or after ``max_nodes`` nodes with the incumbent.
+        for at in range(below - 1, -1, -1):
+            n = lengths[at]
+            for k in range(min(counts[n], left // n), 0, -1):
+                if steps >= tries or len(found) >= most:
+                    whole = False
+                    return
+                steps += 1
+                grow(at, left - k * n, (*filling, (n, k)))
+
+    grow(len(lengths), room, ())
+    return sorted(found, key=found.get) or [greedy or ()], whole
+
+
+@dataclass(frozen=True)
+class Packing:
+    """Patterns ``(how many sequences, filling)``, how many sequences these are, a bound that none can be below, and whether
+    the number is proven to be the least."""
+
+    patterns: list[tuple[int, Filling]]
+    sequences: int
+    bound: int
+    proven: bool
+
+
+def search(counts: dict[int, int], size: int, max_nodes: int | None = None, width: int = 8, tries: int = 4000) -> Packing:
+    """Bin completion: the longest piece left is completed by each undominated filling in turn.
+
+    A filling is used as often as the counts allow, or else once, so that all packings can be reached.  A dive takes the
+    first choice down to the last piece; the next dive leaves the one with the fewest later choices so far, as early as
+    possible.  A branch ends once its waste leaves no room for fewer sequences than the incumbent.
+
+    ``max_nodes``, by default ``DIVES`` for each length, which are as many dives (a step uses up about one length), ends the search
+    without a proof.  ``width`` fillings found in ``tries`` steps are tried at a node; if that left any out and all branches
+    are done, the search is repeated with eight times as many.  So there is a proof if the lower bound is met or if a
+    repetition ends that left out nothing.
     """
+    counts = {n: c for n, c in counts.items() if c}
     best = best_fit(counts, size)
     n_best, least = sum(t for t, _ in best), lower_bound(counts, size)
-    total, nodes = sum(n * c for n, c in counts.items()), 0
-    stack: list[tuple[dict[int, int], list[tuple[int, Filling]], int]] = [(dict(counts), [], 0)]
-    while stack and n_best > least and nodes < max_nodes:
-        left, done, waste = stack.pop()
-        nodes += 1
-        if waste > (n_best - 1) * size - total:
-            continue
-        if not left:
-            n_best, best = sum(t for t, _ in done), done
-            continue
-        # The incumbent's rule finishes this branch at once; often that is already better.
-        tail = best_fit(left, size)
-        if (n := sum(t for t, _ in done) + sum(t for t, _ in tail)) < n_best:
-            n_best, best = n, done + tail
-        longest = max(left)
-        rest = {**left, longest: left[longest] - 1}
-        for filling in reversed(completions(rest, size - longest, width, tries)):
-            need = Counter({longest: 1})
-            for n, k in filling:
-                need[n] += k
-            times = min(left[n] // k for n, k in need.items())
-            now = {n: c - times * need.get(n, 0) for n, c in left.items()}
-            stack.append((
-                {n: c for n, c in now.items() if c},
-                [*done, (times, tuple(sorted(need.items(), reverse=True)))],
-                waste + times * (size - sum(n * k for n, k in need.items())),
-            ))
-    return best
+    total = sum(n * c for n, c in counts.items())
+    nodes = max(200, DIVES * len(counts)) if max_nodes is None else max_nodes
+    done = False
+    while n_best > least and nodes > 0 and not done:
+        whole, number = True, 0
+        # Later choices, depth, order; waste, sequences, and the way here as (way before, times, filling).
+        heap: list[tuple] = [(0, 0, 0, 0, 0, None)]
+        while heap and n_best > least and nodes > 0:
+            later, depth, _, waste, used, way = heappop(heap)
+            left = dict(counts)
+            for times, filling in _patterns(way):
+                _take(left, times, filling)
+            while waste <= (n_best - 1) * size - total and n_best > least:
+                if nodes <= 0:
+                    heappush(heap, (later, depth, -1, waste, used, way))
+                    break
+                nodes -= 1
+                if not left:
+                    n_best, best = used, _patterns(way)
+                    break
+                # The incumbent's rule finishes this branch at once; often that is already better.
+                tail = best_fit(left, size)
+                if (n := used + sum(t for t, _ in tail)) < n_best:
+                    n_best, best = n, _patterns(way) + tail
+                longest = max(left)
+                rest = {**left, longest: left[longest] - 1}
+                fillings, all_ = completions(rest, size - longest, width, tries)
+                whole &= all_
+                choices, once = [], []
+                for filling in fillings:
+                    need = Counter({longest: 1})
+                    for n, k in filling:
+                        need[n] += k
+                    pattern = tuple(sorted(need.items(), reverse=True))
+                    times = min(left[n] // k for n, k in pattern)
+                    lost = size - sum(n * k for n, k in pattern)
+                    choices.append((times, pattern, lost))
+                    if times > 1:
+                        once.append((1, pattern, lost))
+                for i, (times, pattern, lost) in enumerate(choices + once):
+                    if i:
+                        number += 1
+                        heappush(heap, (later + i, depth + 1, number, waste + times * lost, used + times, (way, times, pattern)))
+                times, pattern, lost = choices[0]
+                _take(left, times, pattern)
+                waste, used, way, depth = waste + times * lost, used + times, (way, times, pattern), depth + 1
+        done = not heap and whole
+        width, tries = 8 * width, 8 * tries
+    return Packing(best, n_best, least, n_best <= least or done)
+
+
+def _patterns(way: tuple | None) -> list[tuple[int, Filling]]:
+    out = []
+    while way:
+        way, times, filling = way
+        out.append((times, filling))
+    return out[::-1]
+
+
+def _take(left: dict[int, int], times: int, filling: Filling) -> None:
+    for n, k in filling:
+        left[n] -= times * k
+        if not left[n]:
+            del left[n]
+
+
+def bin_completion(counts: dict[int, int], size: int, max_nodes: int | None = None, width: int = 8, tries: int = 4000) -> list[tuple[int, Filling]]:
+    """Patterns ``(how many sequences, filling)`` that use every piece once, as ``search`` finds them."""
+    return search(counts, size, max_nodes, width, tries).patterns
 
 
 def places(patterns: list[tuple[int, Filling]]) -> dict[str, np.ndarray]:
@@ -222,14 +297,17 @@ def _look_up(spark: SparkSession, plan: dict[str, np.ndarray]):
     return run
 
 
-def place_pieces(pieces: DataFrame, size: int = 2048, **search) -> DataFrame:
+def place_pieces(pieces: DataFrame, size: int = 2048, **limits) -> DataFrame:
     """``pieces`` without their ids, with sequence_id and offset.
 
     The broadcast plan has at most sqrt(2 * size) intervals for each pattern, and each step of the search uses up a
     length class or leaves less of it than a pattern needs, so it is bounded by the number of lengths.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = places(bin_completion(histogram, size, **search))
+    found = search(histogram, size, **limits)
+    said = "proven to be the least" if found.proven else f"not proven to be the least, lower bound {found.bound}"
+    logging.getLogger(__name__).log(logging.INFO if found.proven else logging.WARNING, "packed into %d sequences, %s", found.sequences, said)
+    plan = places(found.patterns)
     keys = ["length", "part"]
     own = Window.partitionBy(*keys).orderBy("doc_id", "piece")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -246,9 +324,9 @@ def place_pieces(pieces: DataFrame, size: int = 2048, **search) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, **search) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, **limits) -> DataFrame:
     """Tokenise, cut and place all documents; one row per piece."""
-    return place_pieces(token_pieces(docs, tokenizer, size, end_id), size, **search)
+    return place_pieces(token_pieces(docs, tokenizer, size, end_id), size, **limits)
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

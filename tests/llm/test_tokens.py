@@ -124,6 +124,33 @@ def test_best_fit_alone_is_beaten():
     assert sum(t for t, _ in packing.bin_completion(counts, 10)) == 3
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_a_proof_is_one(seed):
+    rng = random.Random(100 + seed)
+    lengths = [rng.randrange(4, 31) for _ in range(rng.randrange(4, 12))]
+    counts = {n: lengths.count(n) for n in lengths}
+    found = packing.search(counts, 30, max_nodes=20_000, width=1)
+    assert found.proven and found.bound <= found.sequences == sum(t for t, _ in found.patterns) == brute_bins(lengths, 30)
+
+
+def test_search_with_many_lengths_and_its_own_limits():
+    rng = random.Random(0)
+    lengths = [min(2048, max(300, int(rng.lognormvariate(6.3, 0.6)))) for _ in range(9000)] + [rng.randrange(690, 1001) for _ in range(4500)]
+    counts = {}
+    for n in lengths:
+        counts[n] = counts.get(n, 0) + 1
+    found = packing.search(counts, 2048)
+    used = {}
+    for times, filling in found.patterns:
+        assert sum(n * k for n, k in filling) <= 2048
+        for n, k in filling:
+            used[n] = used.get(n, 0) + times * k
+    least = sum(t for t, _ in packing.best_fit(counts, 2048))
+    print("lengths", len(counts), "best fit", least, "found", found.sequences, "bound", found.bound)
+    assert used == counts and found.bound <= found.sequences < least
+    assert not found.proven or found.sequences == found.bound
+
+
 def test_token_files(spark, frame, vocabulary, docs):
     path = scratch_path(spark, "tokens")
     tokenfile.write_tokens(frame(docs, part=F.lit(1), ids=F.lit("x")), path, vocabulary, end_id=2, index_rows=1000)
