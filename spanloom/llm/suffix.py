@@ -18,7 +18,7 @@ positions would multiply the corpus by a hundred; only some suffixes are needed:
 Equality is that of two 64-bit hashes in 1 and 2, and of the crowded windows; of all bytes otherwise.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; the order of documents is that of doc_id
-(null first; rows with one doc_id and different texts by a hash of the text); rows equal in doc_id and text are one document,
+(null first; rows with one doc_id and different texts by a 64-bit hash of the text); rows equal in doc_id and text are one document,
 and get the same result each; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored
+from .common import BROADCAST_ROWS, stored
 from .tokens import slices
 from .wordhash import BASE, TABLE, UNBASE, mix, text_bytes
 
@@ -42,7 +42,7 @@ CROWDED = 1000  # different stretches of one token that are compared in one task
 PARTS = 4  # of the stretches of crowded tokens
 NO_ID = -(1 << 63)
 COVERED, OPEN, BORDER = 0, 1, 2
-ROWS = "kind byte, token long, stretch long, doc long, place long"
+ROWS = "kind byte, token long, stretch long, doc long, version long, place long"
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -89,9 +89,9 @@ def _pieces(b: pa.RecordBatch, length: int):
         yield part, np.array([0, len(part)]), np.zeros(1, np.int64), at
 
 
-def _place(version: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """One number that sorts by version of the text and position: version, anchor, anchor - first window, windows - 1."""
-    return version << 44 | p << 16 | (p - lo) << 8 | (hi - lo)
+def _place(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """One number that sorts by position in the text: anchor, anchor - first window, windows - 1."""
+    return p << 16 | (p - lo) << 8 | (hi - lo)
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -103,16 +103,16 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _not_first(token: np.ndarray, stretch: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first rows of equal stretches, rows at other places than the first); rows are sorted by all four."""
+def _not_first(token: np.ndarray, stretch: np.ndarray, doc: np.ndarray, version: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first rows of equal stretches, rows at other places than the first); rows are sorted by all five."""
     first = _first_of(token, stretch)
     leader = np.flatnonzero(first)[np.cumsum(first) - 1]
-    return first, (doc != doc[leader]) | (place != place[leader])
+    return first, (doc != doc[leader]) | (version != version[leader]) | (place != place[leader])
 
 
 def _batch(kind: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int8()), *(pa.array(c.view(np.int64)) for c in cols)], names=["kind", "token", "stretch", "doc", "place"]
+        [pa.array(kind, pa.int8()), *(pa.array(c.view(np.int64)) for c in cols)], names=["kind", "token", "stretch", "doc", "version", "place"]
     )
 
 
@@ -124,9 +124,9 @@ def _anchor_rows(length: int):
             for data, ends, rows, at in _pieces(b, length):
                 text, p, lo, hi, token, whole = stretches(data, ends, length, up, down)
                 row = rows[text]
-                place = _place(versions[row], p + at, lo + at, hi + at)
-                order = np.lexsort((place, docs[row], whole, token))
-                cols = token[order], whole[order], docs[row][order], place[order]
+                place = _place(p + at, lo + at, hi + at)
+                order = np.lexsort((place, versions[row], docs[row], whole, token))
+                cols = token[order], whole[order], docs[row][order], versions[row][order], place[order]
                 first, covered = _not_first(*cols)
                 kept = first | covered
                 yield _batch(np.where(covered, COVERED, OPEN)[kept], *(c[kept] for c in cols))
@@ -135,7 +135,7 @@ def _anchor_rows(length: int):
 
 
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, stretch, doc, place: covered ones, and the firsts of tokens with several stretches.
+    """Rows sorted by token, stretch, doc, version, place: covered ones, and the firsts of tokens with several stretches.
 
     The bucket's first and last token may go on in its neighbours; their rows are handed on as they are.
     """
@@ -152,7 +152,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(c).to_numpy() for c in ("token", "stretch", "doc", "place")]
+        cols = [b.column(c).to_numpy() for c in ("token", "stretch", "doc", "version", "place")]
         token = cols[0]
         if border is None:
             border = token[0]
@@ -228,13 +228,13 @@ def _hash_words(words: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return h
 
 
-def _runs(doc: np.ndarray, place: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
+def _runs(doc: np.ndarray, version: np.ndarray, place: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
     """Covered windows to (doc, version, lo, hi), neighbours joined; rows sorted by occurrence and start."""
-    new = _first_of(doc, place)
+    new = _first_of(doc, version, place)
     new[1:] |= start[1:] != start[:-1] + 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1 if len(start) else first
-    cols = doc[first], place[first] >> 44, start[first], start[last] + length
+    cols = doc[first], version[first], start[first], start[last] + length
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "version", "lo", "hi"])
 
 
@@ -242,7 +242,7 @@ def _sort_windows(length: int, most: int = 4000):
     """Open stretches, sorted by token, to covered intervals; whole tokens are compared at once."""
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
-        token, doc, place = (rows.column(c).to_numpy() for c in ("token", "doc", "place"))
+        token, doc, version, place = (rows.column(c).to_numpy() for c in ("token", "doc", "version", "place"))
         lo = ((place >> 16) & 0xFFFFFFF) - ((place >> 8) & 255)
         count = (place & 255) + 1
         words = _window_words(rows.column("context").to_pylist(), count, length)
@@ -252,12 +252,12 @@ def _sort_windows(length: int, most: int = 4000):
         number = np.unique(token, return_inverse=True)[1].astype(np.uint64)
         part = equal_parts(number[owner] * np.uint64(256) + offset, words)
         # The least (doc, version, start) of each class stays.
-        order = np.lexsort((start, place[owner] >> 44, doc[owner], part))
+        order = np.lexsort((start, version[owner], doc[owner], part))
         leader = order[np.flatnonzero(_first_of(part[order]))[np.cumsum(_first_of(part[order])) - 1]]
-        later = (doc[owner[order]] != doc[owner[leader]]) | (place[owner[order]] >> 44 != place[owner[leader]] >> 44) | (start[order] != start[leader])
+        later = (doc[owner[order]] != doc[owner[leader]]) | (version[owner[order]] != version[owner[leader]]) | (start[order] != start[leader])
         gone = order[later]
-        gone = gone[np.lexsort((start[gone], place[owner[gone]], doc[owner[gone]]))]
-        return _runs(doc[owner[gone]], place[owner[gone]], start[gone], length)
+        gone = gone[np.lexsort((start[gone], place[owner[gone]], version[owner[gone]], doc[owner[gone]]))]
+        return _runs(doc[owner[gone]], version[owner[gone]], place[owner[gone]], start[gone], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -289,15 +289,15 @@ def _hash_windows(length: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                token, doc, place = (b.column(c).to_numpy() for c in ("token", "doc", "place"))
+                token, doc, version, place = (b.column(c).to_numpy() for c in ("token", "doc", "version", "place"))
                 p = (place >> 16) & 0xFFFFFFF
                 lo, count = p - ((place >> 8) & 255), (place & 255) + 1
                 words = _window_words(b.column("context").to_pylist(), count, length)
                 owner = np.repeat(np.arange(len(token)), count)
                 start = np.repeat(lo - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(len(owner))
                 h = _hash_words(words, np.zeros(len(owner)))
-                cols = token[owner], p[owner] - start, h.view(np.int64), doc[owner], place[owner], start
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "offset", "window", "doc", "place", "start"])
+                cols = token[owner], p[owner] - start, h.view(np.int64), doc[owner], version[owner], place[owner], start
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "offset", "window", "doc", "version", "place", "start"])
 
     return run
 
@@ -315,7 +315,7 @@ def _split_stretches(length: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 b = whole.slice(at, 4000)
-                token, doc, place = (b.column(c).to_numpy() for c in ("token", "doc", "place"))
+                token, doc, version, place = (b.column(c).to_numpy() for c in ("token", "doc", "version", "place"))
                 data, base = _joined(b.column("context").to_pylist())
                 raw = data.tobytes()
                 p, most = (place >> 16) & 0xFFFFFFF, (place >> 8) & 255  # the first window has the largest offset
@@ -332,8 +332,8 @@ def _split_stretches(length: int):
                     key = _hash_words(_words_at(data, shared, core, core), token[own].view(np.uint64) + np.uint64(part))
                     same = _hash_words(_words_at(data, first, length + step, size), (high[own] << 8 | low[own]).astype(np.uint64))
                     cut = [raw[x : x + n] for x, n in zip(first.tolist(), size.tolist(), strict=True)]
-                    cols = key.view(np.int64), same.view(np.int64), doc[own], (place[own] >> 16 << 16) | high[own] << 8 | (high[own] - low[own])
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(cut, pa.binary())], names=["token", "stretch", "doc", "place", "context"])
+                    cols = key.view(np.int64), same.view(np.int64), doc[own], version[own], (place[own] >> 16 << 16) | high[own] << 8 | (high[own] - low[own])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(cut, pa.binary())], names=["token", "stretch", "doc", "version", "place", "context"])
 
     return run
 
@@ -349,10 +349,10 @@ def _contexts(length: int):
             token, place, crowded = (rows.field(c).to_numpy(zero_copy_only=False)[at[0] : at[-1]] for c in ("token", "place", "crowded"))
             lo = ends[owner] + ((place >> 16) & 0xFFFFFFF) - ((place >> 8) & 255)
             hi = lo + (place & 255) + length
-            doc = b.column("doc").to_numpy()[owner]
+            doc, version = (b.column(c).to_numpy()[owner] for c in ("doc", "version"))
             cut = [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-            cols = [pa.array(token), pa.array(doc), pa.array(place), pa.array(crowded, pa.bool_()), pa.array(cut, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["token", "doc", "place", "crowded", "context"])
+            cols = [pa.array(token), pa.array(doc), pa.array(version), pa.array(place), pa.array(crowded, pa.bool_()), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["token", "doc", "version", "place", "crowded", "context"])
 
     return run
 
@@ -380,74 +380,82 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, doc, version: rows that share a doc_id are told apart by their text's hash, others have version 0."""
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), "text", F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 19)).alias("version"))
+    rows = docs.select(doc_id.alias("doc_id"), "text", F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"))
+    shared = stored(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", F.lit(True).alias("shared")), "shared-ids")
+    if shared.count() > BROADCAST_ROWS:  # no join of all texts: every row carries its hash
+        return rows.withColumn("version", F.xxhash64("text"))
+    version = F.when(F.col("shared"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return rows.join(F.broadcast(shared), "doc", "left").select("doc_id", "text", "doc", version.alias("version"))
 
 
 def _intervals(rows: DataFrame, length: int) -> DataFrame:
     place = F.col("place")
     lo = F.shiftright(place, 16).bitwiseAND(F.lit(0xFFFFFFF)) - F.shiftright(place, 8).bitwiseAND(F.lit(255))
-    return rows.select("doc", F.shiftright(place, 44).alias("version"), lo.alias("lo"), (lo + place.bitwiseAND(F.lit(255)) + length).alias("hi"))
+    return rows.select("doc", "version", lo.alias("lo"), (lo + place.bitwiseAND(F.lit(255)) + length).alias("hi"))
 
 
-def covered_intervals(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc, version, lo, hi) of all stretches and windows that also start earlier; bytes, ends exclusive."""
+def covered_intervals(texts: DataFrame, length: int = 100) -> DataFrame:
+    """(doc, version, lo, hi) of all stretches and windows that also start earlier; bytes, ends exclusive.
+
+    ``texts``: rows of ``_keyed``.
+    """
     if not TOKEN < length < TOKEN + 220:
         raise ValueError("length must lie between 33 and 251")
-    texts = _keyed(docs)
     anchors = stored(texts.select("doc", "version", "text").mapInArrow(_anchor_rows(length), ROWS), "anchors")
-    key = ["token", "stretch", "doc", "place"]
+    key = ["token", "stretch", "doc", "version", "place"]
     compared = stored(
         anchors.filter(F.col("kind") == OPEN).select(*key).repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_compare_neighbours, ROWS),
         "compared",
     )
     # Across the borders of buckets.
     border = compared.filter(F.col("kind") == BORDER).select(*key)
-    at = F.struct("doc", "place")
+    at = F.struct("doc", "version", "place")
     leaders = border.groupBy("token", "stretch").agg(F.min(at).alias("leader"))
-    later = border.join(leaders, ["token", "stretch"]).filter(at != F.col("leader")).select("doc", "place")
-    opened = leaders.select("token", "leader.doc", "leader.place").union(compared.filter(F.col("kind") == OPEN).select("token", "doc", "place"))
+    later = border.join(leaders, ["token", "stretch"]).filter(at != F.col("leader")).select("doc", "version", "place")
+    opened = leaders.select("token", "leader.doc", "leader.version", "leader.place").union(compared.filter(F.col("kind") == OPEN).select("token", "doc", "version", "place"))
     sizes = opened.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ends = stored(opened.join(sizes, "token").select("token", "doc", "place", (F.col("n") > CROWDED).alias("crowded")), "open-ends")
+    ends = stored(opened.join(sizes, "token").select("token", "doc", "version", "place", (F.col("n") > CROWDED).alias("crowded")), "open-ends")
 
-    version = F.shiftright("place", 44).alias("version")
-    wanted = ends.groupBy("doc", version).agg(F.collect_list(F.struct("token", "place", "crowded")).alias("wanted"))
+    wanted = ends.groupBy("doc", "version").agg(F.collect_list(F.struct("token", "place", "crowded")).alias("wanted"))
     contexts = texts.select("doc", "version", "text").join(wanted, ["doc", "version"]).mapInArrow(
-        _contexts(length), "token long, doc long, place long, crowded boolean, context binary"
+        _contexts(length), "token long, doc long, version long, place long, crowded boolean, context binary"
     )
     contexts = stored(contexts, "contexts")
     # Crowded tokens are replaced by longer ones, and equal parts of stretches reduced to the first again.
-    kind = "token long, stretch long, doc long, place long, context binary"
+    kind = "token long, stretch long, doc long, version long, place long, context binary"
     parts = stored(contexts.filter("crowded").mapInArrow(_split_stretches(length), kind), "parts")
-    heads = parts.groupBy("token", "stretch").agg(F.min(F.struct("doc", "place", "context")).alias("leader"))
-    again = parts.join(heads, ["token", "stretch"]).filter(at != F.struct("leader.doc", "leader.place")).select("doc", "place")
+    heads = parts.groupBy("token", "stretch").agg(F.min(F.struct("doc", "version", "place", "context")).alias("leader"))
+    again = parts.join(heads, ["token", "stretch"]).filter(at != F.struct("leader.doc", "leader.version", "leader.place")).select("doc", "version", "place")
     several = heads.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     longer = stored(heads.join(several, "token").select("token", "leader.*", (F.col("n") > CROWDED).alias("crowded")), "longer")
 
-    few = contexts.filter("not crowded").union(longer.select("token", "doc", "place", "crowded", "context").filter("not crowded"))
-    few = few.select("token", "doc", "place", "context").repartition("token").sortWithinPartitions("token")
+    few = contexts.filter("not crowded").union(longer.select("token", "doc", "version", "place", "crowded", "context").filter("not crowded"))
+    few = few.select("token", "doc", "version", "place", "context").repartition("token").sortWithinPartitions("token")
     settled = few.mapInArrow(_sort_windows(length), "doc long, version long, lo long, hi long")
 
-    windows = stored(longer.filter("crowded").mapInArrow(_hash_windows(length), "token long, offset long, window long, doc long, place long, start long"), "windows")
-    same, where = ["token", "offset", "window"], F.struct("doc", F.shiftright("place", 44), "start")
+    windows = stored(longer.filter("crowded").mapInArrow(_hash_windows(length), "token long, offset long, window long, doc long, version long, place long, start long"), "windows")
+    same, where = ["token", "offset", "window"], F.struct("doc", "version", "start")
     repeated = windows.groupBy(*same).agg(F.min(where).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    gone = windows.join(repeated, same).filter(where != F.col("leader")).select("doc", "place", "start").distinct()
-    run = F.col("start") - F.row_number().over(Window.partitionBy("doc", "place").orderBy("start"))
+    gone = windows.join(repeated, same).filter(where != F.col("leader")).select("doc", "version", "place", "start").distinct()
+    run = F.col("start") - F.row_number().over(Window.partitionBy("doc", "version", "place").orderBy("start"))
     runs = (
-        gone.withColumn("run", run).groupBy("doc", "place", "run")
+        gone.withColumn("run", run).groupBy("doc", "version", "place", "run")
         .agg(F.min("start").alias("lo"), (F.max("start") + length).alias("hi"))
-        .select("doc", version, "lo", "hi")
+        .select("doc", "version", "lo", "hi")
     )
-    whole = _intervals(anchors.filter(F.col("kind") == COVERED).select("doc", "place").union(compared.filter(F.col("kind") == COVERED).select("doc", "place")).union(later).union(again), length)
+    whole = _intervals(anchors.filter(F.col("kind") == COVERED).select("doc", "version", "place").union(compared.filter(F.col("kind") == COVERED).select("doc", "version", "place")).union(later).union(again), length)
     return whole.union(settled).union(runs)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, spans (removed, maximal), kept (the remaining bytes) of every row."""
     packed: Column = F.shiftleft("lo", 8).bitwiseOR(F.col("hi") - F.col("lo")).alias("c")
-    rows = covered_intervals(docs, length).select("doc", "version", packed)
+    keyed = _keyed(docs)
+    rows = covered_intervals(keyed, length).select("doc", "version", packed)
     lists = stored(rows.groupBy("doc", "version").agg(F.collect_set("c").alias("covered")), "covered")
-    texts = _keyed(docs).join(lists, ["doc", "version"], "left").select("doc_id", "text", "covered")
+    texts = keyed.join(lists, ["doc", "version"], "left").select("doc_id", "text", "covered")
     return texts.mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
 
 

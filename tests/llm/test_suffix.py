@@ -67,6 +67,21 @@ def test_repeated_rows_and_empty_table(spark, frame):
     assert found(frame([]), 100) == []
 
 
+@pytest.mark.parametrize("crowded", [1000, 1])
+def test_texts_without_ids_whose_short_hashes_collide(spark, frame, monkeypatch, crowded):
+    monkeypatch.setattr(suffix, "CROWDED", crowded)
+    # Two texts that agree in 19 bits of their hash, each with a repeat of the same string at another place.
+    rng = random.Random(5)
+    line = "".join(rng.choices("abcdef", k=150))
+    texts = spark.createDataFrame([(f"{i} " + line + str(i) * 60,) for i in range(4000)], "text string")
+    short = texts.groupBy(F.pmod(F.xxhash64("text"), F.lit(1 << 19))).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").first().t[:2]
+    for doc_id in (None, 7):
+        rows = found(frame([(doc_id, t) for t in short]), 100)
+        hashed = spark.createDataFrame([(t,) for t in short], "text string").orderBy(F.xxhash64("text"))
+        want = brute({i: r.text for i, r in enumerate(hashed.collect())}, 100)
+        assert sorted(r[1] for r in rows) == sorted(want.values())
+
+
 def test_long_texts_are_cut_into_pieces():
     data = np.frombuffer(bytes(random.Random(3).choices(b"abcd", k=9000)), np.uint8)
     up, down = suffix._powers(suffix.BASE, 20_000), suffix._powers(suffix.UNBASE, 20_000)
