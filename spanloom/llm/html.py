@@ -9,7 +9,9 @@ to stand in for them; into the others it mixes content that is wrapped up as com
 sample may lack some of these.
 
 Defined cases: a null or empty page, and one without content blocks, gives an empty text; end tags may be missing, as may
-the rest of a tag at the page's end (it is markup); scripts, styles and comments are never text; white space, also a
+the rest of a tag at the page's end (it is markup); scripts, styles and comments are never text, nor are a drawing's labels,
+a formula's source annotation, templates, frames, text areas and the title; formulas and objects are part of the text around
+them; what noscript and select hold is taught as rest; white space, also a
 no-break space or a line break element, becomes one space; equal pages give equal texts; an empty table gives no rows.
 """
 
@@ -32,13 +34,17 @@ from pyspark.sql import DataFrame, functions as F
 from .tokens import slices
 
 MAX_PAGES = 600
-MAX_TRAIN_BLOCKS = 400  # blocks of one labelled page that the fit sees
+MAX_TRAIN_BLOCKS = 400  # blocks in a row that the fit takes at once; longer pages come in several such parts
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s>/]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object select title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style template textarea iframe title".split())
+FOREIGN = frozenset("svg math foreignobject annotation annotation-xml".split())
+UNSEEN = frozenset("svg annotation annotation-xml".split())
+# Start tags that end a drawing or formula left open.
+BREAKS = frozenset("address article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr li main menu nav ol p pre section table ul".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 # Words in class, id and role by what they announce.
@@ -55,7 +61,7 @@ ROLE_WORDS = {
     "share": "share sharing social",
 }
 ROLE_OF = {w: role for role, ws in ROLE_WORDS.items() for w in ws.split()}
-BAD_TAGS = frozenset("nav aside header footer form head button menu dialog figcaption label".split())
+BAD_TAGS = frozenset("nav aside header footer form head button menu dialog label noscript select".split())
 GOOD_TAGS = frozenset("article main".split())
 
 
@@ -74,6 +80,8 @@ def blocks(page: str | None) -> list[Block]:
     open_: list[tuple[str, frozenset[str]]] = []
     text: list[str] = []
     linked, at = 0, 0
+    foreign: list[str] = []  # open elements of drawings and formulas; these cut no block
+    endless: set[str] = set()  # elements that no end tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -91,7 +99,7 @@ def blocks(page: str | None) -> list[Block]:
     while at < len(page):
         start = page.find("<", at)
         stop = len(page) if start < 0 else start
-        if stop > at:
+        if stop > at and not (foreign and foreign[-1] in UNSEEN):
             text.append(page[at:stop])
             if any(t == "a" for t, _ in open_):
                 linked += stop - at
@@ -99,14 +107,29 @@ def blocks(page: str | None) -> list[Block]:
             break
         m = TAG.match(page, start)
         if m is None:  # a sign that opens no tag
-            text.append("<")
+            if not (foreign and foreign[-1] in UNSEEN):
+                text.append("<")
             at = start + 1
             continue
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag == "br":
+        if foreign and tag not in RAW:
+            if m[1] and tag in foreign:
+                del foreign[len(foreign) - 1 - foreign[::-1].index(tag) :]
+                continue
+            if foreign[-1] != "foreignobject":
+                outer = m[1] and tag not in INLINE and any(t == tag for t, _ in open_)
+                if not (outer or (not m[1] and tag in BREAKS)):
+                    if not m[1] and tag in FOREIGN and not m[3].endswith("/"):
+                        foreign.append(tag)
+                    continue
+                foreign.clear()
+        if tag in ("svg", "math"):
+            if not m[1] and not m[3].endswith("/"):
+                foreign.append(tag)
+        elif tag == "br":
             text.append(" ")
         elif tag in INLINE:
             if not m[1]:
@@ -124,11 +147,21 @@ def blocks(page: str | None) -> list[Block]:
             if tag in names:
                 close(len(names) - 1 - names[::-1].index(tag))
         else:
-            flush()
+            if foreign and m[3].endswith("/"):
+                continue
+            if not foreign:
+                flush()
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(tag)
                 continue
+            if foreign:
+                flush()
             if tag in VOID:
                 continue
             names = [t for t, _ in open_]
@@ -152,7 +185,7 @@ def structural_labels(page: list[Block]) -> list[int]:
     out = []
     for b in page:
         tags = set(b.path)
-        bad = bool(tags & BAD_TAGS) or bool(b.roles - {"good"}) or b.linked > 0.6
+        bad = bool(tags & BAD_TAGS) or bool(b.roles - {"good"}) or (b.linked > 0.6 and "article" not in tags)
         good = bool(tags & GOOD_TAGS) if named else "good" in b.roles or bool(tags & {"p", "pre", "blockquote", "h1", "h2"})
         out.append(int(good and not bad))
     return out
@@ -240,7 +273,8 @@ class Field:
 
 def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 150, ridge: float = 1e-3) -> Field:
     """Maximum likelihood by forward and backward sums over all pages at once, with Adam."""
-    pages = [(r[:MAX_TRAIN_BLOCKS], y[:MAX_TRAIN_BLOCKS]) for r, y in pages if r]
+    begins = np.array([i == 0 for r, _ in pages for i in range(0, len(r), MAX_TRAIN_BLOCKS)], bool)
+    pages = [(r[i : i + MAX_TRAIN_BLOCKS], y[i : i + MAX_TRAIN_BLOCKS]) for r, y in pages for i in range(0, len(r), MAX_TRAIN_BLOCKS)]
     if not pages:
         return Field()
     names = sorted({n for rows, _ in pages for r in rows for n in r})
@@ -265,7 +299,7 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 150, ridge:
     for t in range(1, steps + 1):
         w, step, start = theta[: 2 * len(names)].reshape(-1, 2), theta[-6:-2].reshape(2, 2), theta[-2:]
         e = np.stack([np.bincount(rows, w[cols, k], len(pages) * long) for k in (0, 1)], axis=1).reshape(len(pages), long, 2)
-        e[:, 0] += start
+        e[begins, 0] += start
         f = np.zeros_like(e)
         f[:, 0] = e[:, 0]
         for i in range(1, long):
@@ -281,7 +315,7 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 150, ridge:
         q = np.exp(np.minimum(f + g - z[:, None, None], 0)) * real[..., None]
         off = (q - hot).reshape(-1, 2)
         gw = np.stack([np.bincount(cols, off[rows, k], len(names)) for k in (0, 1)], axis=1)
-        grad = np.concatenate([gw.ravel(), (expected - pairs).ravel(), (q[:, 0] - hot[:, 0]).sum(axis=0)]) / total + ridge * theta
+        grad = np.concatenate([gw.ravel(), (expected - pairs).ravel(), (q[:, 0] - hot[:, 0])[begins].sum(axis=0)]) / total + ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     w = theta[: 2 * len(names)].reshape(-1, 2)

@@ -82,6 +82,30 @@ def test_blocks():
     assert [b.text for b in html.blocks("<ul><li>x<li>y<p>z<table><tr><td>q<td>r<p unfinished")] == ["x", "y", "z", "q", "r"]
 
 
+def test_drawings_formulas_and_odd_ends_lose_no_text():
+    def said(page):
+        return [b.text for b in html.blocks(page)]
+
+    assert said('<p>a <svg width="1"/> b<p>c') == ["a b", "c"] and said("<p>a <math/>b</p><p>c") == ["a b", "c"]
+    assert said("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> hold.</p>") == ["Let x=1 hold."]
+    assert said("<p>a<svg><title/><g><text>no</text></g></svg>b<p>c") == ["ab", "c"]
+    assert said("<div><svg><path><p>a</p></div><p>b<svg></svg>") == ["a", "b"] and said("<p>a<svg></p>b") == ["a", "b"]
+    assert said("<svg><foreignObject><p>a</p></foreignObject></svg>b") == ["a", "b"]
+    assert said("<p>a <object data=x>b</object> c") == ["a b c"]
+    assert said("<noscript><p>a</p><p>b") == ["a", "b"] and said("<iframe src=x><p>a") == ["a"] and said("<select><option>x</select>y") == ["x", "y"]
+
+
+def test_captions_and_links_in_articles_are_content():
+    page = html.blocks('<nav><a href=x>Menu</a></nav><article><figure><figcaption>Cap</figcaption></figure><p><a href=x>Linked words</a></p></article>')
+    assert list(zip([b.text for b in page], html.structural_labels(page))) == [("Menu", 0), ("Cap", 1), ("Linked words", 1)]
+
+
+def test_fit_sees_whole_pages():
+    n = html.MAX_TRAIN_BLOCKS
+    model = html.fit([([["early"]] * n + [["late"]] * n, [0] * n + [1] * n)])
+    assert "late" in model.weights and model.decode([["late"]] * 3) == [1, 1, 1]
+
+
 def expected(page):
     if page is None or "<article>" not in page:
         return ""
