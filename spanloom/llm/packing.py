@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import logging
 import sys
+import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..session import scratch_path
 from .tokens import Encoder, slices
 
-PIECES = "doc_id long, piece int, start long, length long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 DIVES = 4  # steps of the search per length: a dive takes about one
 
@@ -243,37 +244,44 @@ def places(patterns: list[tuple[int, Filling]]) -> dict[str, np.ndarray]:
 # ---- Spark -------------------------------------------------------------------------------------------------------
 
 
-def _cut(tokenizer: str, size: int, end_id: int):
+def _cut(tokenizer: str, size: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         for part in slices(batches):
             ids, ends = encoder.encode(part.column("text"))
-            doc_ids = part.column("doc_id").to_pylist()
-            rows: list[tuple] = []
-            for i, doc_id in enumerate(doc_ids):
-                own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id))
-                for piece, start in enumerate(range(0, len(own), size)):
-                    cut = own[start : start + size]
-                    rows.append((doc_id, piece, start, len(cut), cut.astype("<u4").tobytes()))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                names=["doc_id", "piece", "start", "length", "ids"],
-            )
+            ids = np.insert(ids, ends[1:], np.uint32(end_id)).astype("<u4")
+            ends = ends + np.arange(len(ends))
+            pieces = -(-np.diff(ends) // size)
+            row = np.repeat(np.arange(len(pieces)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = ends[:-1][row] + piece * size
+            stop = np.minimum(first + size, ends[1:][row])
+            data = memoryview(ids).cast("B")
+            cuts = [data[4 * a : 4 * b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+            columns = {
+                "doc_id": part.column("doc_id").take(pa.array(row)),
+                "piece": pa.array(piece, pa.int32()),
+                "start": pa.array(piece * size),
+                "length": pa.array(stop - first),
+                "ids_crc32": pa.array([zlib.crc32(c) for c in cuts], pa.int64()),
+            }
+            if keep_ids:
+                columns["ids"] = pa.array([bytes(c) for c in cuts], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row per piece, written to the shared folder: ids as little-endian unsigned 32-bit binary, and their crc32.
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
+    """One row per piece, written to the shared folder: ids as little-endian unsigned 32-bit binary if they are kept, and
+    their crc32.
 
     ``part`` is the task that wrote the row; (part, length) groups are as small as a task's output.
     """
     path = scratch_path(docs.sparkSession, "pieces")
     (
-        docs.select("doc_id", "text")
-        .mapInArrow(_cut(tokenizer, size, end_id), PIECES)
-        .withColumn("ids_crc32", F.crc32("ids"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .mapInArrow(_cut(tokenizer, size, end_id, keep_ids), PIECES + (", ids binary" if keep_ids else ""))
         .withColumn("part", F.spark_partition_id())
         .write.option("compression", "zstd").parquet(path)
     )
@@ -326,7 +334,7 @@ def place_pieces(pieces: DataFrame, size: int = 2048, **limits) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, **limits) -> DataFrame:
     """Tokenise, cut and place all documents; one row per piece."""
-    return place_pieces(token_pieces(docs, tokenizer, size, end_id), size, **limits)
+    return place_pieces(token_pieces(docs, tokenizer, size, end_id, keep_ids=False), size, **limits)
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

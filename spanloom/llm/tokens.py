@@ -1,16 +1,18 @@
 """Fast, exact use of the `tokenizers` library inside tasks.
 
-The public vocabulary drops white space, lower-cases, and splits letters from signs before merging, so a text's ids are
-the ids of its space-separated chunks in a row, and a chunk of letters with signs after it is the two in a row.  Texts
-are split with Arrow kernels, each distinct part is encoded once by the library, and ids are gathered with numpy.
+Both public vocabularies split a text with a fixed pattern before merging.  Texts are cut with numpy where every such
+pattern begins a new part whatever stands around: before a space that stands next to a printable character, between a
+letter and a sign, and around a single line's end.  A text's ids are then the ids of its parts in a row.  The distinct parts of
+a slice are encoded by the library in a few long strings, with a special token between them, and their ids are gathered.
+What a task has encoded it remembers within a bound, and forgets at its end.
 Special-token strings in a text are treated as the library treats them by default.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +22,10 @@ from pyspark import cloudpickle
 
 from .wordhash import text_bytes
 
-SLICE_BYTES = 2 << 20
-MEMORY_PARTS = 400_000
+SLICE_BYTES = 8 << 20
+REMEMBERED = 16 << 20  # bytes of parts and ids in each of two generations; their objects take about six times as much
 LONGEST_REMEMBERED = 48
-SIGNS = ".,;:?!#$%&*|"  # no apostrophe: "'s" and its like are parts of their own
+TOGETHER = 1000  # parts in one string
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -38,42 +40,41 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+
+
 SAME = np.arange(256, dtype=np.uint8)
-SAME[10] = 32  # a line's end is white space like any other
 LOWERED = SAME.copy()
 LOWERED[65:91] = np.arange(97, 123)
-
-
-def _simple(letters: str) -> bool:
-    """Letters whose class no Unicode version disputes."""
-    return letters.isalpha() and (letters.isascii() or max(letters) < "\u0250")
-
-
-class Memory:
-    """Ids of parts seen by this process, one after another in ``pool``."""
-
-    def __init__(self):
-        self.at: dict[str, int] = {"": 0}
-        self.first, self.size, self.pool = array("q", [0]), array("q", [0]), array("I")
-
-    def add(self, part: str, ids: list[int]) -> None:
-        self.at[part] = len(self.first)
-        self.first.append(len(self.pool))
-        self.size.append(len(ids))
-        self.pool.extend(ids)
-
-
-def _of_this_process(path: str):
-    """The library's tokenizer and the memory, kept between the tasks of a worker."""
-    kept = sys.__dict__.setdefault("_corpus_tokenizers", {})
-    if path not in kept:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark fills the cores already
-        from tokenizers import Tokenizer
-
-        kept[path] = [Tokenizer.from_file(path), Memory()]
-    if len(kept[path][1].at) > MEMORY_PARTS:
-        kept[path][1] = Memory()
-    return kept[path]
+LOWERED[10] = 32  # a vocabulary that lower-cases drops white space: a line's end is like any other
+PRINTED = np.zeros(256, bool)
+PRINTED[33:127] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+SIGN = PRINTED & ~LETTER
+SIGN[48:58] = False
+LATIN = 0xC3  # leads the two bytes of U+00C0 to U+00FF, all letters but the two signs below
+LATIN_SIGNS = (0x97, 0xB7)
+BEGINS = PRINTED.copy()
+BEGINS[0xC3:0xCA] = True  # leads of letters up to U+027F: no white space among them, one sign apart from letters
+
+
+def cut_points(data: np.ndarray, ends: np.ndarray, signs: bool = True) -> np.ndarray:
+    """Offsets of the parts, the texts' own ``ends`` among them; ``signs``: also between a letter and a sign."""
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        left, right = data[:-1], data[1:]
+        here = (right == 10) & PRINTED[left]
+        here[1:] |= here[:-1] & BEGINS[right[1:]]  # after a single line's end; several in a row are merged in part
+        space = right == 32
+        here |= space & PRINTED[left]
+        here[:-1] |= space[:-1] & BEGINS[right[1:]]
+        if signs:
+            ended = LETTER[left]
+            ended[1:] |= (left[:-1] == LATIN) & (left[1:] != LATIN_SIGNS[0]) & (left[1:] != LATIN_SIGNS[1])
+            here |= ended & SIGN[right]
+        cut[1:-1] = here
+    cut[ends] = True
+    return np.flatnonzero(cut)
 
 
 def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,41 +84,72 @@ def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.n
 
 
 class Encoder:
-    """Texts to ids, with a bounded memory of parts already seen."""
+    """Texts to ids; made within a task, so that its memory of parts ends with the task."""
 
     def __init__(self, path: str):
-        self.path = path
-
-    def _ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        library, memory = _of_this_process(self.path)
-        stems = [c.rstrip(SIGNS) for c in chunks]
-        pairs = [(s, c[len(s) :]) if len(s) < len(c) and _simple(s) else (c, "") for s, c in zip(stems, chunks, strict=True)]
-        known = memory.at
-        new = list(dict.fromkeys(p for pair in pairs for p in pair if p not in known))
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for p, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memory.add(p, e.ids)
-        which = np.array([known[p] for pair in pairs for p in pair], np.int64)
-        first, size = np.array(memory.first), np.array(memory.size)
-        ids, ends = _gather(np.array(memory.pool, np.uint32), first[which], size[which])
-        for p in new:
-            if len(p) > LONGEST_REMEMBERED:
-                del known[p]
-        return ids, ends[::2]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark fills the cores already
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.lowers = "Lowercase" in json.dumps(described["normalizer"])
+        last = described["added_tokens"][-1]
+        self.between, self.between_id = last["content"], last["id"]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        """Little-endian ids of each part, from the library."""
+        out: list[bytes] = []
+        whole = [self.between.join(parts[lo : lo + TOGETHER]) for lo in range(0, len(parts), TOGETHER)]
+        for e in self.library.encode_batch_fast(whole, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for stop in [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)]:
+                out.append(data[4 * at : 4 * stop])
+                at = stop + 1
+        return out
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts; short ones are remembered, those of the last two generations at most."""
+        young, old = self.young, self.old
+        found = [young.get(p) for p in parts]
+        missing = [i for i, f in enumerate(found) if f is None]
+        fresh = []
+        for i in missing:
+            found[i] = known = old.get(parts[i])
+            if known is None:
+                fresh.append(i)
+        special = [i for i in fresh if "<|" in parts[i]]  # might be the token that stands between the others
+        plain = [i for i in fresh if "<|" not in parts[i]] if special else fresh
+        for i, ids in zip(plain, self._new([parts[i] for i in plain]), strict=True):
+            found[i] = ids
+        for i in special:
+            found[i] = np.array(self.library.encode(parts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        for i in missing:
+            p, ids = parts[i], found[i]
+            if len(p) <= LONGEST_REMEMBERED:
+                young[p] = ids
+                self.held += len(p) + len(ids)
+                if self.held > REMEMBERED:
+                    self.young, self.old, self.held = {}, young, 0
+                    young = self.young
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, n + 1 offsets); a null text has none."""
-        data, at = text_bytes(texts)
-        plain = not pc.any(pc.match_substring(texts, "<|")).as_py()  # else a special token's case would matter
-        data = (LOWERED if plain else SAME)[data]
-        texts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(data))
-        parts = pc.split_pattern(texts, " ")
-        coded = parts.flatten().dictionary_encode()
-        pool, runs = self._ids_of(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        ids, ends = _gather(pool, runs[:-1][which], np.diff(runs)[which])
-        return ids, ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        data, ends = text_bytes(texts)
+        plain = not pc.any(pc.match_substring(texts, "<|")).as_py()  # else a special token's case and signs would matter
+        data = np.ascontiguousarray((LOWERED if plain and self.lowers else SAME)[data])
+        at = cut_points(data, ends, plain)
+        parts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        known = self._ids_of(parts.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        which = parts.indices.to_numpy(zero_copy_only=False)
+        ids, runs = _gather(np.frombuffer(b"".join(known), "<u4"), (np.cumsum(size) - size)[which], size[which])
+        return ids, runs[np.searchsorted(at, ends)]
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
