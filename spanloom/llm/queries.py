@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, decontaminate, html, minhash, mtree, packing, pii, quality, suffix, tokenfile
+from . import chat, curve, decontaminate, html, minhash, mtree, packing, pii, quality, suffix, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -130,3 +130,8 @@ def suffix_repeats(spark, d):
     rows = suffix.remove_repeats(table(spark, d, "documents"))
     n_removed = F.col("n_bytes") - F.octet_length("kept")
     return rows.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op13_curve_packing")
+def curve_packing(spark, d):
+    return curve.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
