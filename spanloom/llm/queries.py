@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, curve, decontaminate, html, minhash, mtree, packing, pii, quality, suffix, tokenfile
+from . import chat, curve, decontaminate, html, minhash, mtree, negatives, packing, pii, quality, spelling, suffix, tokenfile
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,29 @@ def suffix_repeats(spark, d):
 @register("op13_curve_packing")
 def curve_packing(spark, d):
     return curve.pack(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op12_spelling_variants")
+def spelling_variants(spark, d):
+    return spelling.variants(table(spark, d, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@register("op11_bond_negatives", """
+WITH d AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT *, row_number() OVER () AS a FROM d),
+s AS (
+  SELECT q.a, q.vec_id AS anchor_id, v.vec_id, v.label = q.label AS same, CAST(list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+p AS (
+  SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS k
+  FROM s WHERE same QUALIFY k <= 5),
+n AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY a, k ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (a, anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""")
+def bond_negatives(spark, d):
+    return negatives.hard_negatives(table(spark, d, "embeddings"))
