@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from ..session import scratch_path
 
-BROADCAST_ROWS = 500_000  # rows of a few numbers each: some tens of MB at most
+BROADCAST_BYTES = 16 << 20
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -16,9 +17,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bytes(kind: DataType, c: Column) -> Column:
+    """About the size of a value in a row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, e: a + _bytes(kind.elementType, e)), F.lit(0)) + 24
+    if isinstance(kind, StructType):
+        return sum((_bytes(f.dataType, c[f.name]) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
 def join_sized(large: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a stored ``side``: broadcast if it was counted small, else by a shuffle that AQE can split."""
-    return large.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
+    """Join with a stored ``side``: broadcast if its rows were measured to be small together, else by a shuffle that AQE can
+    split."""
+    size = side.agg(F.sum(sum((_bytes(f.dataType, F.col(f.name)) for f in side.schema.fields), F.lit(16)))).first()[0] or 0
+    return large.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, on, how)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -11,13 +11,14 @@
 5. Each connected part is cut into blocks in the same way, and pairs of blocks are verified on full sets.  Only edges
    that connect are returned, never all pairs of a group; their components are the result.
 
-A pair at the threshold shares no band with a probability below 1e-8, and its estimate falls below the bound in step 4,
+The registers in a band follow from the threshold: a pair at it shares no band with a probability below 1e-8, and its estimate falls below the bound in step 4,
 five and a half standard errors under the threshold, with one below 1e-7.
 
 Defined cases: a document without words has an empty set, links with nothing and is its own component; fewer words than a
 shingle are one shingle; equal texts and repeated rows are one class, so rows with one doc_id and different texts may
-connect their classes by that id; a null doc_id can't name a component: it is kept as a component of its own; an empty
-table gives no rows; columns other than doc_id and text are ignored, or returned by ``keep_one``.
+connect their classes by that id; a null doc_id can't name a component: it is kept as a component of its own (``keep_one``
+treats both cases by row); an empty table gives no rows; columns other than doc_id and text are ignored, or returned by
+``keep_one``.
 """
 
 from __future__ import annotations
@@ -35,13 +36,18 @@ from .components import components
 from .tokens import slices
 from .wordhash import mix, shingle_sets
 
-BANDS, ROWS = 40, 6
 REGISTERS = 256
+MISSED = 1e-8  # how likely a pair at the threshold may share no band
 MANTISSA = 11
 BLOCK = 128  # classes per block
 BLOCK_SHINGLES = 200_000
 _seeds = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_band_places = mix(np.arange(7, 7 + ROWS, dtype=np.uint64)) | np.uint64(1)
+_band_places = mix(np.arange(7, 7 + REGISTERS, dtype=np.uint64)) | np.uint64(1)
+
+
+def band_rows(threshold: float) -> int:
+    """The most registers in a band such that a pair at ``threshold`` surely shares one of the bands."""
+    return max(r for r in range(1, REGISTERS + 1) if r == 1 or (1 - threshold**r) ** (REGISTERS // r) < MISSED)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -61,9 +67,11 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return (zeros.astype(np.uint16) << MANTISSA) | np.floor((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    rows = registers[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    return mix((rows * _band_places).sum(axis=1, dtype=np.uint64) + mix(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
+def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
+    """One key for each band of ``rows`` registers."""
+    bands = REGISTERS // rows
+    values = registers[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    return mix((values * _band_places[:rows]).sum(axis=1, dtype=np.uint64) + mix(np.arange(bands, dtype=np.uint64))).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -88,14 +96,14 @@ def fingerprint(shingles: np.ndarray) -> bytes | None:
     return int(shingles.sum(dtype=np.uint64)).to_bytes(8, "little") + int(np.bitwise_xor.reduce(mix(shingles))).to_bytes(8, "little")
 
 
-def _sketches(size: int):
+def _sketches(size: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), size)
             regs = [sketch(s) if len(s) else np.empty(0, np.uint16) for s in sets]
-            bands = np.concatenate([band_keys(r) for r in regs if len(r)] or [np.empty(0, np.int64)])
+            bands = np.concatenate([band_keys(r, rows) for r in regs if len(r)] or [np.empty(0, np.int64)])
             n = np.array([len(s) for s in sets], np.int64)
-            at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+            at = np.concatenate([[0], np.cumsum(np.where(n > 0, REGISTERS // rows, 0))]).astype(np.int32)
             prints = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n), pa.array(prints, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(bands))],
@@ -105,10 +113,10 @@ def _sketches(size: int):
     return run
 
 
-def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
+def sketches(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, print (of the set), registers, bands; stored.  A set's print is its size and two 64-bit sums."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(rows.mapInArrow(_sketches(size), "doc_id long, n_shingles long, print binary, registers binary, bands array<long>"), "sketches")
+    return stored(rows.mapInArrow(_sketches(size, band_rows(threshold / 100)), "doc_id long, n_shingles long, print binary, registers binary, bands array<long>"), "sketches")
 
 
 class _Parts:
@@ -287,7 +295,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> Data
     Documents are linked if 100 * intersection >= ``threshold`` * union of their shingle sets.  class_id is the smallest
     doc_id with the same set, component_id the smallest one that links reach, kept marks that document.
     """
-    rows = sketches(docs, size)
+    rows = sketches(docs, threshold, size)
     full = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(
         full.groupBy("n_shingles", "print").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("registers", "bands"), "doc_id").alias("s"))
@@ -313,12 +321,40 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> Data
     )
 
 
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``docs`` with ``__rep``, a number for each pair of doc_id and text, the __rep of more than one row).
+
+    It is the doc_id; null ids, and further texts of one id, get a number beyond 2^62 from a hash of both.
+    """
+    row = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mix": F.xxhash64("text")})
+    keys = stored(row.groupBy("__id", "__mix").agg(F.count(F.lit(1)).alias("__n")), "row-keys")
+    first = stored(keys.filter("__id is not null").groupBy("__id").agg(F.min("__mix").alias("__first"), F.count(F.lit(1)).alias("__texts")).filter("__texts > 1").drop("__texts"), "ids")
+    made_up = F.xxhash64(F.lit("row"), "__id", "__mix").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    further = join_sized(keys.filter("__id is not null"), first, ["__id"]).filter("__mix <> __first").select("__id", "__mix")
+    named = stored(further.union(keys.filter("__id is null").select("__id", "__mix")).withColumn("__made", made_up), "made-up")
+    # Null ids join by a flag: equality does not see them.
+    on = ["__null", "__low", "__mix"]
+    flagged = lambda df: df.withColumns({"__null": F.isnull("__id"), "__low": F.coalesce("__id", F.lit(0).cast("long"))}).drop("__id")
+    rep = F.coalesce("__made", "__low").alias("__rep")
+    tagged = join_sized(flagged(row), flagged(named), on, "left").select(*(docs[c] for c in docs.columns), rep)
+    return tagged, join_sized(flagged(keys.filter("__n > 1")), flagged(named), on, "left").select(rep)
+
+
 def keep_one(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept; rows without a doc_id stay."""
-    gone = stored(near_duplicates(docs, threshold, size).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    if gone.count() <= 500_000:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component, all columns kept: a row of its smallest doc_id.
+
+    Each text of a doc_id counts by itself, so a text without copies stays even where another one of its id goes.  Rows
+    without a doc_id come last: they stay only where nobody else holds their component.  Of rows equal in doc_id and text
+    one stays, also if they have no words.
+    """
+    tagged, repeated = _told_apart(docs)
+    found = near_duplicates(tagged.select(F.col("__rep").alias("doc_id"), "text"), threshold, size)
+    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("__rep")).distinct(), "gone")
+    left = join_sized(tagged, gone, ["__rep"], "left_anti")
+    repeated = stored(repeated, "repeated")
+    once = join_sized(left, repeated, ["__rep"], "left_anti")
+    one = join_sized(left, repeated, ["__rep"], "left_semi").dropDuplicates(["__rep"])
+    return once.union(one).select(*docs.columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

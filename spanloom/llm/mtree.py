@@ -11,8 +11,8 @@ takes nodes by their bound, and by the triangle inequality skips those, and thos
 rule out.  Each query first searches the shard of its nearest routing vector; its k-th score there bounds the search of all
 other shards, in blocks of queries.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id; rows
-equal in vec_id and vector count once; a query's own vec_id is no candidate; equal scores go to the smaller vec_id; fewer
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id, nor
+vectors whose squares, after scaling, sum to 2^62 or more, since their scores need not fit in 64 bits; rows equal in vec_id and vector count once; a query's own vec_id is no candidate; equal scores go to the smaller vec_id; fewer
 candidates than k are all returned; shorter vectors count as if they ended in zeros; an empty table gives no rows; columns
 other than vec_id and embedding are ignored.
 """
@@ -45,6 +45,7 @@ def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
+    rows = rows.filter(F.aggregate(x, F.lit(0.0), lambda a, e: a + (e * scale) * (e * scale)) < float(1 << 62))
     rows = rows.select("vec_id", F.transform(x, lambda e: F.floor(e * scale)).alias("v")).dropDuplicates()
     return rows.withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e))
 
@@ -205,7 +206,7 @@ def _search(dim: int, largest: float, k: int):
 
 def _blocks(queries: DataFrame, keys: list[str], blocks: int) -> DataFrame:
     """One row per block of about QUERIES queries."""
-    block = F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(blocks)).alias("block")
+    block = F.pmod(F.xxhash64(F.lit("query"), "vec_id", "v"), F.lit(blocks)).alias("block")
     return queries.groupBy(*keys, block).agg(F.collect_list(F.struct("vec_id", "v", "least")).alias("asked"))
 
 
@@ -226,7 +227,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     sizes = routed.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("long").alias("parts")).orderBy("route").collect()
     ends = np.cumsum([r["parts"] for r in sizes]).tolist()
     parts = spark.createDataFrame([(r["route"], r["parts"], e - r["parts"]) for r, e in zip(sizes, ends, strict=True)], "route long, parts long, base long")
-    shard = F.col("base") + F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.col("parts"))
+    shard = F.col("base") + F.pmod(F.xxhash64(F.lit("shard"), "vec_id", "v"), F.col("parts"))
     sharded = routed.join(F.broadcast(parts), "route").select("vec_id", "v", shard.alias("shard"))
     trees = stored(sharded.groupBy("shard").applyInArrow(_grow(dim, largest), "shard long, tree binary"), "trees")
 

@@ -30,12 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import BROADCAST_ROWS, stored
+from .common import stored
 from .tokens import slices
 from .wordhash import BASE, TABLE, UNBASE, mix, text_bytes
 
+SHARED_IDS = 500_000  # ids broadcast, of 30 bytes each
 TOKEN = 32
 PIECE = 1 << 20  # bytes handled at once
 CROWDED = 1000  # different stretches of one token that are compared in one task
@@ -363,7 +364,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, spans, kept = data.tobytes(), [], []
         for i, covered in enumerate(b.column("covered").to_pylist()):
             own: list[list[int]] = []
-            for lo, hi in sorted((c >> 8, (c >> 8) + (c & 255)) for c in covered or ()):
+            for lo, hi in sorted((c["lo"], c["hi"]) for c in covered or ()):
                 if own and lo <= own[-1][1]:
                     own[-1][1] = max(own[-1][1], hi)
                 else:
@@ -384,7 +385,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), "text", F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"))
     shared = stored(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", F.lit(True).alias("shared")), "shared-ids")
-    if shared.count() > BROADCAST_ROWS:  # no join of all texts: every row carries its hash
+    if shared.count() > SHARED_IDS:  # no join of all texts: every row carries its hash
         return rows.withColumn("version", F.xxhash64("text"))
     version = F.when(F.col("shared"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
     return rows.join(F.broadcast(shared), "doc", "left").select("doc_id", "text", "doc", version.alias("version"))
@@ -451,10 +452,9 @@ def covered_intervals(texts: DataFrame, length: int = 100) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, spans (removed, maximal), kept (the remaining bytes) of every row."""
-    packed: Column = F.shiftleft("lo", 8).bitwiseOR(F.col("hi") - F.col("lo")).alias("c")
     keyed = _keyed(docs)
-    rows = covered_intervals(keyed, length).select("doc", "version", packed)
-    lists = stored(rows.groupBy("doc", "version").agg(F.collect_set("c").alias("covered")), "covered")
+    rows = covered_intervals(keyed, length)
+    lists = stored(rows.groupBy("doc", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("covered")), "covered")
     texts = keyed.join(lists, ["doc", "version"], "left").select("doc_id", "text", "covered")
     return texts.mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
 

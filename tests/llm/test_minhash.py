@@ -87,6 +87,28 @@ def test_keep_one_keeps_columns(spark, frame):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 5]
 
 
+def test_keep_one_goes_by_rows(spark, frame):
+    a, b, c, d = "a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"
+    rows = [(1, a), (1, a), (1, a), (2, "A B C D E F"), (2, b), (3, b.upper()), (None, c), (None, c), (None, "C D E F G H"), (4, d), (4, None), (4, None), (None, ""), (None, a)]
+    df = frame(rows, n_shingles=F.lit(1))
+    out = sorted((str(r.doc_id), (r.text or "").lower()) for r in minhash.keep_one(df).collect())
+    assert out == sorted([("1", a), ("2", b), ("None", c), ("None", "c d e f g h"), ("4", d), ("4", ""), ("None", "")])
+
+
+def test_keep_one_with_a_third_of_all_rows_equal(spark, frame):
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for i in range(200)]
+    out = minhash.keep_one(frame(docs + [(7, docs[7][1])] * 60 + [(None, docs[8][1])] * 60)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(200))
+
+
+def test_bands_follow_from_the_threshold():
+    for t in (0.5, 0.7, 0.8, 0.85, 0.95):
+        rows = minhash.band_rows(t)
+        assert (1 - t**rows) ** (minhash.REGISTERS // rows) < 1e-8
+    assert minhash.band_rows(0.8) == 5 and minhash.band_rows(0.85) == 6
+
+
 def test_sets_and_estimates():
     a = " ".join(f"w{i}" for i in range(1000))
     b = " ".join(f"w{i}" if i % 60 else "new" for i in range(1000))

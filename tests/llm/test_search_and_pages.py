@@ -46,6 +46,23 @@ def brute_top(rows, every, k):
     return out
 
 
+def test_large_components_and_a_hot_id(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([1e6, -2e5, 3.5]) * rng.random() for _ in range(3)]) for i in range(120)] + [(200, [2e7, 1.0]), (250, [1e300]), (300, [8e6, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fits = [(i, v) for i, v in rows if i not in (200, 250)]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in fits}  # Python integers: doubles don't hold these scores
+    want = set()
+    for q in (i for i in whole if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=False)), i) for i, w in whole.items() if i != q)[:5]
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    assert set(map(tuple, mtree.top_k(df).collect())) == want
+    hot = spark.createDataFrame([(100 if i % 3 == 0 else i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(600)], "vec_id long, embedding array<float>")
+    rows = mtree.integer_vectors(hot)
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "vec_id", "v"), F.lit(12))
+    assert rows.groupBy(shard).count().agg(F.max("count")).first()[0] < 90
+
+
 @pytest.mark.parametrize("shard", [4096, 40])
 def test_top_k(spark, monkeypatch, shard):
     monkeypatch.setattr(mtree, "SHARD", shard)

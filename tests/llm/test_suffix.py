@@ -52,7 +52,7 @@ def found(df, length):
     return [(r[0], tuple(r)[1:]) for r in rows.collect()]
 
 
-@pytest.mark.parametrize("length, crowded", [(100, 1000), (100, 10), (100, 1), (60, 1000)])
+@pytest.mark.parametrize("length, crowded", [(100, 1000), (100, 10), (100, 1), (60, 1000), (33, 1000), (143, 1000), (144, 10), (200, 1000), (251, 1)])
 def test_equals_brute_force(spark, frame, monkeypatch, length, crowded):
     monkeypatch.setattr(suffix, "CROWDED", crowded)
     docs = corpus()
