@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from .tokens import Encoder, slices
+from .tokens import ENCODED_BYTES, Encoder, slices
 from .wordhash import hash_words, text_bytes, word_bounds
 
 BUCKETS = 256
@@ -162,7 +162,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _pack(tokenizer: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, run_of_ids = Encoder(tokenizer), _Range(size, TaskContext.get().partitionId())
-        for b in slices(batches):
+        for b in slices(batches, most=ENCODED_BYTES):
             ids, ends = encoder.encode(b.column("text"))
             ids = np.insert(ids, ends[1:], np.uint32(end_id)).astype("<u4")
             ends = (ends + np.arange(len(ends))).tolist()

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
-from .tokens import Encoder, slices
+from .tokens import ENCODED_BYTES, Encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -247,7 +247,7 @@ def places(patterns: list[tuple[int, Filling]]) -> dict[str, np.ndarray]:
 def _cut(tokenizer: str, size: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        for part in slices(batches):
+        for part in slices(batches, most=ENCODED_BYTES):
             ids, ends = encoder.encode(part.column("text"))
             ids = np.insert(ids, ends[1:], np.uint32(end_id)).astype("<u4")
             ends = ends + np.arange(len(ends))

@@ -22,8 +22,9 @@ from pyspark import cloudpickle
 
 from .wordhash import text_bytes
 
-SLICE_BYTES = 8 << 20
-REMEMBERED = 16 << 20  # bytes of parts and ids in each of two generations; their objects take about six times as much
+SLICE_BYTES = 2 << 20
+ENCODED_BYTES = 4 << 20  # of texts at a time
+REMEMBERED = 4 << 20  # bytes of parts and ids in each of two generations; their objects take about six times as much
 LONGEST_REMEMBERED = 48
 TOGETHER = 1000  # parts in one string
 
