@@ -18,7 +18,7 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Texts are long: smaller batches bound what a task's two processes hold at once.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216b",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608b",
     # Call-site capture costs a stack walk per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
