@@ -3,6 +3,11 @@
 A plain window puts every row of a key on one task.  Here a key's rows are cut
 into pieces (by time, or by sequence number); rows are processed per piece and
 only one summary row per piece is carried across.
+
+The input is read and shuffled once: summaries and rows are made from the same
+exchange, which Spark reuses as long as both need all of its columns.  So each
+row travels as one struct, and a piece's summary holds its whole last row.
+Select the columns that are needed before the scan.
 """
 
 from __future__ import annotations
@@ -31,41 +36,33 @@ def ordered_scan(
     """
     lag, running_sum, last_value = lag or {}, running_sum or {}, last_value or {}
     group = ["__key", "__piece"]
-    order = F.struct(ts, tie)
-    work = (
-        df.withColumn("__key", F.struct(*keys))
-        # Rows without a time come first, in a piece of their own.
-        .withColumn("__piece", F.coalesce(F.floor(F.unix_seconds(ts) / piece_seconds), F.lit(-(1 << 62))))
-        .withColumns({f"__sum_{o}": e for o, e in running_sum.items()})
-        .withColumns({f"__val_{o}": e for o, e in last_value.items()})
-    )
+    work = in_pieces(df, keys, ts, {**{f"__sum_{o}": e for o, e in running_sum.items()}, **{f"__val_{o}": e for o, e in last_value.items()}}, piece_seconds)
+    of = lambda name: F.col("__row")[name]
+    order = F.struct(of(ts), of(tie))
 
-    local = Window.partitionBy(*group).orderBy(ts, tie)
+    local = Window.partitionBy(*group).orderBy(of(ts), of(tie))
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = work.withColumn("__n", F.row_number().over(local).cast("long"))
-    for out, src in lag.items():
-        rows = rows.withColumn(f"__lag_{out}", F.lag(src).over(local))
-    for out in running_sum:
-        rows = rows.withColumn(f"__run_{out}", F.sum(f"__sum_{out}").over(upto))
-    for out in last_value:
-        rows = rows.withColumn(f"__last_{out}", F.last(f"__val_{out}", ignorenulls=True).over(upto))
-
-    facts = [F.count(F.lit(1)).alias("__c")]
-    facts += [F.max_by(F.struct(src), order)[src].alias(f"__end_{o}") for o, src in lag.items()]
-    facts += [F.sum(f"__sum_{o}").alias(f"__tot_{o}") for o in running_sum]
-    facts += [
-        F.max_by(f"__val_{o}", F.when(F.col(f"__val_{o}").isNotNull(), order)).alias(f"__fin_{o}")
-        for o in last_value
-    ]
+    # The row itself, as a window's result: so Spark doesn't prune it before the exchange, and the exchanges stay alike.
+    own = {"__n": F.row_number().over(local).cast("long"), "__self": F.lag("__row", 0).over(local)}
+    own |= {f"__lag_{out}": F.lag(of(src)).over(local) for out, src in lag.items()}
+    own |= {f"__run_{out}": F.sum(of(f"__sum_{out}")).over(upto) for out in running_sum}
+    own |= {f"__last_{out}": F.last(of(f"__val_{out}"), ignorenulls=True).over(upto) for out in last_value}
+    rows = work.withColumns(own)
+
+    # The whole last row, counted on, keeps every column of the exchange in use here as well.
+    facts = [F.count(F.lit(1)).alias("__c"), F.max_by("__row", order).alias("__end")]
+    facts += [F.sum(of(f"__sum_{o}")).alias(f"__tot_{o}") for o in running_sum]
+    facts += [F.max_by(of(f"__val_{o}"), F.when(of(f"__val_{o}").isNotNull(), order)).alias(f"__fin_{o}") for o in last_value]
     across = Window.partitionBy("__key").orderBy("__piece")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carries = [F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c0")]
-    carries += [F.lag(f"__end_{o}").over(across).alias(f"__end0_{o}") for o in lag]
+    counted = F.when(F.col("__end").isNotNull(), F.col("__c"))
+    carries = [F.coalesce(F.sum(counted).over(before), F.lit(0)).alias("__c0")]
+    carries += [F.lag(F.col("__end")[src]).over(across).alias(f"__end0_{o}") for o, src in lag.items()]
     carries += [F.sum(f"__tot_{o}").over(before).alias(f"__tot0_{o}") for o in running_sum]
     carries += [F.last(f"__fin_{o}", ignorenulls=True).over(before).alias(f"__fin0_{o}") for o in last_value]
     carry = work.groupBy(*group).agg(*facts).select(*group, *carries)
 
-    joined = rows.join(carry, group)
+    joined = rows.join(carry, group).filter("__c0 >= 0")
     outs: list[Column] = []
     if row_number:
         outs.append((F.col("__n") + F.col("__c0")).alias(row_number))
@@ -75,7 +72,16 @@ def ordered_scan(
         outs.append((F.col(f"__run_{o}") + F.coalesce(F.col(f"__tot0_{o}"), F.lit(0))).alias(o))
     for o in last_value:
         outs.append(F.coalesce(F.col(f"__last_{o}"), F.col(f"__fin0_{o}")).alias(o))
-    return joined.select(*df.columns, *outs)
+    return joined.select(*(F.col("__self")[c].alias(c) for c in df.columns), *outs)
+
+
+def in_pieces(df: DataFrame, keys: list[str], ts: str, more: dict[str, Column], piece_seconds: int) -> DataFrame:
+    """__row (all columns of ``df`` and ``more``), __key, __piece; shuffled by key and piece."""
+    # Rows without a time come first, in a piece of their own.
+    piece = F.coalesce(F.floor(F.unix_seconds(ts) / piece_seconds), F.lit(-(1 << 62)))
+    row = F.struct(*df.columns, *(e.alias(o) for o, e in more.items()))
+    work = df.select(F.struct(*keys).alias("__key"), piece.alias("__piece"), row.alias("__row"))
+    return work.repartition("__key", "__piece")
 
 
 def blocked_frame(
