@@ -8,8 +8,9 @@ from ..functions.keys import alert_fingerprint
 from ..functions.text import fmt_pct, fmt_ts, map_severity, rule_threshold, safe_ratio, truncate
 from ..functions.times import as_ts, ttl_epoch
 from ..schema import lookup
-from ..session import cut_lineage, scratch_path
+from ..session import written
 from .events import filter_by
+from .ordered import ordered_scan
 
 
 def with_fingerprint(alerts: DataFrame) -> DataFrame:
@@ -30,61 +31,45 @@ def with_topic(alerts: DataFrame) -> DataFrame:
 # ---- deduplication: send, then suppress for a window counted from the last one sent ----
 
 
-def _greedy_sends(times: Column, window: Column, last: Column) -> Column:
-    """Times sent out of a sorted array: each at least ``window`` after the one before."""
+def _next_sends(slots: DataFrame) -> DataFrame:
+    """``slots`` (fp, w, t) with nxt: the time that is sent next if t is sent, the first at least w later.
 
-    def step(acc: Column, t: Column) -> Column:
-        free = acc["last"].isNull() | (t - acc["last"] >= window)
-        grown = F.struct(F.concat(acc["sent"], F.array(t)).alias("sent"), t.alias("last"))
-        return F.when(free, grown).otherwise(acc)
-
-    start = F.struct(F.array().cast("array<bigint>").alias("sent"), last.cast("bigint").alias("last"))
-    return F.aggregate(times, start, step, lambda acc: acc["sent"])
-
-
-def _sends_small(slots: DataFrame, cache: DataFrame) -> DataFrame:
-    rows = slots.groupBy("fp", "w").agg(F.array_sort(F.collect_list("t")).alias("times"))
-    rows = rows.join(cache, "fp", "left")
-    return rows.select("fp", "w", F.explode(_greedy_sends(F.col("times"), F.col("w"), F.col("last"))).alias("sent"))
+    Questions (t + w) and times are put in one descending order; a question's answer is the last time before it.
+    """
+    times = slots.select("fp", "w", "t", F.col("t").alias("at"), F.lit(False).alias("asks"))
+    asked = slots.select("fp", "w", "t", (F.col("t") + F.col("w")).alias("at"), F.lit(True).alias("asks"))
+    both = times.unionByName(asked).withColumn("back", F.timestamp_micros(-F.col("at"))).drop("at")
+    # Of a question and a time at one moment the time comes first.
+    rows = ordered_scan(both, ["fp", "w"], "back", "asks", last_value={"nxt": F.when(~F.col("asks"), F.col("t"))}, piece_seconds=3600)
+    return rows.filter("asks").select("fp", "w", "t", "nxt")
 
 
-def _sends_hot(slots: DataFrame, cache: DataFrame, window: int) -> DataFrame:
-    """Sends of very frequent fingerprints, one window-sized slice of time per step.
+def _sends(slots: DataFrame, seen: DataFrame) -> DataFrame:
+    """(fp, w, sent): the first time of each fingerprint and width that is free, and from there the path along _next_sends.
 
-    A slice as wide as the window holds at most one send per fingerprint: the
-    first alert a full window after the last send.  That is a plain minimum, so
-    each step is one partially aggregated group-by over one folder of the
-    sliced table, and every row is read once in total.
+    The path is found by pointer doubling: each round every reached time reaches its pointer's target as well, and every
+    pointer is replaced by its target's.  Rounds grow with the logarithm of the longest path, whatever the width.
     """
-    spark = slots.sparkSession
-    path = scratch_path(spark, "dedup")
-    sliced = slots.select("fp", "t", F.floor(F.col("t") / window).alias("slice"))
-    sliced.hint("rebalance", F.col("slice")).write.partitionBy("slice").parquet(path)
-    table = spark.read.schema("fp string, t bigint, slice bigint").parquet(path)
-    steps = [r["slice"] for r in table.select("slice").distinct().orderBy("slice").toLocalIterator()]
-    known = cache.select("fp", F.col("last").alias("sent"))
-    sends = known.limit(0)
-    for i, step in enumerate(steps):
-        last = known.unionByName(sends).groupBy("fp").agg(F.max("sent").alias("last"))
-        here = table.filter(F.col("slice") == step).join(last, "fp", "left")
-        free = F.col("last").isNull() | (F.col("t") - F.col("last") >= window)
-        # Materialised once: later steps and the result read it.
-        sends = sends.unionByName(cut_lineage(here.filter(free).groupBy("fp").agg(F.min("t").alias("sent"))))
-        if i % 16 == 15:
-            sends = cut_lineage(sends)
-    return sends.select("fp", F.lit(window).cast("bigint").alias("w"), "sent")
+    begun = slots.join(seen, "fp", "left").filter(F.col("last").isNull() | (F.col("t") - F.col("last") >= F.col("w")))
+    first = begun.groupBy("fp", "w").agg(F.min("t").alias("first"))
+    steps = written(_next_sends(slots).join(first, ["fp", "w"]).select("fp", "w", "t", "nxt", (F.col("t") == F.col("first")).alias("sent")), "next-sends")
+    while not steps.filter("sent AND nxt IS NOT NULL").isEmpty():
+        # One row for each target: whether a sent time points to it.
+        hit = steps.filter("nxt IS NOT NULL").groupBy("fp", "w", F.col("nxt").alias("t")).agg(F.max("sent").alias("hit")).filter("hit")
+        beyond = steps.select("fp", "w", F.col("t").alias("nxt"), F.col("nxt").alias("then"))
+        moved = steps.join(hit, ["fp", "w", "t"], "left").join(beyond, ["fp", "w", "nxt"], "left")
+        steps = written(moved.select("fp", "w", "t", F.col("then").alias("nxt"), (F.col("sent") | F.coalesce("hit", F.lit(False))).alias("sent")), "next-sends")
+    return steps.filter("sent").select("fp", "w", F.col("t").alias("sent"))
 
 
 def dedup_alerts(
-    alerts: DataFrame, hours: float | Column = 24, cache: DataFrame | None = None, ts: str = "ts", tie: str = "alert_id", hot: int = 50_000
+    alerts: DataFrame, hours: float | Column = 24, cache: DataFrame | None = None, ts: str = "ts", tie: str = "alert_id"
 ) -> DataFrame:
     """Each alert with ``sent`` and, if suppressed, the send that suppressed it.
 
     ``hours`` may be a column that is constant per fingerprint.  ``cache``
     (alert_fingerprint, last_sent) carries state from earlier runs.  An alert
-    exactly one window after the last send is sent again.  Fingerprints with at
-    most ``hot`` distinct alert times are folded in one expression; more frequent
-    ones go through time slices.  Both ways give the same result.
+    exactly one window after the last send is sent again.
 
     An alert older than the cached last send is ``late``.  Less than a window older,
     it is suppressed by that send.  Otherwise it is decided among the late ones alone,
@@ -106,18 +91,8 @@ def dedup_alerts(
             "covered_by": F.when(late & ~apart, F.col("last")),
             "fp": F.when(apart, F.concat("fp", F.lit("|late"))).otherwise(F.col("fp")),
         }).drop("last")
-    slots = cut_lineage(rows.filter("covered_by IS NULL").select("fp", "t", "w").distinct())
-    busy = slots.groupBy("fp", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("fp", "w")
-    widths = [r["w"] for r in busy.select("w").distinct().toLocalIterator()]
-    if not widths:
-        sends = _sends_small(slots, seen)
-    else:
-        busy = cut_lineage(busy)
-        sends = _sends_small(slots.join(busy, ["fp", "w"], "left_anti"), seen)
-        for width in widths:
-            mine = slots.join(busy.filter(F.col("w") == width), ["fp", "w"], "left_semi")
-            sends = sends.unionByName(_sends_hot(mine, seen, width))
-    return _mark_sent(rows, sends, seen, tie).drop("fp", "t", "w")
+    slots = written(rows.filter("covered_by IS NULL").select("fp", "t", "w").distinct(), "alert-times")
+    return _mark_sent(rows, _sends(slots, seen), seen, tie).drop("fp", "t", "w")
 
 
 def _mark_sent(rows: DataFrame, sends: DataFrame, seen: DataFrame, tie: str) -> DataFrame:
@@ -254,7 +229,7 @@ def rule_windows(events: DataFrame, width: str = "300 seconds") -> DataFrame:
 def rule_alerts(breaches: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """Breaches with ``sent``: a rule stays silent for its cooldown after firing for an agent."""
     # Breaches are few next to the events they come from: compute them once.
-    rows = cut_lineage(breaches).withColumns(
+    rows = written(breaches, "breaches").withColumns(
         {
             "alert_fingerprint": F.sha2(F.concat_ws("|", "rule_id", "agent_id"), 256),
             "ts": F.col("window_start"),

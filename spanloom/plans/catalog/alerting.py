@@ -137,7 +137,7 @@ def deduplicated_alerts(spark, d):
 
 @query("ST-03", DEDUP)
 def deduplicated_alerts_by_slices(spark, d):
-    return A.dedup_alerts(A.with_fingerprint(S.alerts(spark, d)), hot=40).select("alert_id", "sent", "sent_by")
+    return A.dedup_alerts(A.with_fingerprint(S.alerts(spark, d)), F.lit(24.0)).select("alert_id", "sent", "sent_by")
 
 
 @query("ST-03 P-16")

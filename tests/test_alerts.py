@@ -27,15 +27,14 @@ def _greedy(times, window, last=None):
     return sent
 
 
-@pytest.mark.parametrize("hot", [50_000, 0])
-def test_window_counts_from_the_last_send(spark, hot):
+def test_window_counts_from_the_last_send(spark):
     """A chain of 23-hour gaps sends every second alert; exactly 24 hours later is sent."""
-    got = A.dedup_alerts(_alerts(spark, [0, 23, 46, 69, 93, 117]), hot=hot)
+    got = A.dedup_alerts(_alerts(spark, [0, 23, 46, 69, 93, 117]))
     assert _sent(got) == [T0 + timedelta(hours=h) for h in (0, 46, 93, 117)]
 
 
-@pytest.mark.parametrize("hot", [50_000, 3])
-def test_equals_sequential_pass(spark, hot):
+@pytest.mark.parametrize("hours", [24, 1.5, 0])
+def test_equals_sequential_pass(spark, hours):
     import random
 
     rnd = random.Random(5)
@@ -44,13 +43,22 @@ def test_equals_sequential_pass(spark, hot):
     for fp, hs in times.items():
         part = _alerts(spark, hs, fp)
         df = part if df is None else df.unionByName(part)
-    got = A.dedup_alerts(df, hot=hot)
+    got = A.dedup_alerts(df, hours)
     assert got.count() == 113
     for fp, hs in times.items():
-        want = _greedy([T0 + timedelta(hours=h) for h in hs], timedelta(hours=24))
+        want = _greedy([T0 + timedelta(hours=h) for h in hs], timedelta(hours=hours))
         assert _sent(got.filter(f"alert_fingerprint = '{fp}'")) == want
 
 
+def test_many_times_of_one_rule(spark):
+    """One fingerprint with 100,000 times, and cooldowns of 0 and of an hour: rounds grow with the logarithm of the path."""
+    df = spark.range(100_000).selectExpr("'f' AS alert_fingerprint", "lpad(string(id), 6, '0') AS alert_id", "timestamp_seconds(1704067200 + id * 7) AS ts")
+    assert A.dedup_alerts(df, 0).filter("sent").count() == 100_000
+    got = [r["t"] for r in A.dedup_alerts(df, 1).filter("sent").selectExpr("unix_seconds(ts) - 1704067200 AS t").orderBy("t").collect()]
+    step = -(-3600 // 7) * 7
+    assert got == list(range(0, 7 * 100_000, step))
+
+
 def test_cache_carries_over(spark):
     cache = spark.createDataFrame([("f", T0 - timedelta(hours=10))], "alert_fingerprint string, last_sent timestamp")
     got = A.dedup_alerts(_alerts(spark, [0, 13, 14, 20]), cache=cache)
