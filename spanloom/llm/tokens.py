@@ -10,7 +10,6 @@ Special-token strings in a text are treated as the library treats them by defaul
 
 from __future__ import annotations
 
-import json
 import os
 import sys
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from .wordhash import text_bytes
 
 SLICE_BYTES = 2 << 20
 ENCODED_BYTES = 4 << 20  # of texts at a time
-REMEMBERED = 4 << 20  # bytes of parts and ids in each of two generations; their objects take about six times as much
+REMEMBERED = 6 << 20  # bytes of parts and ids in each of two generations; their objects take about six times as much
 LONGEST_REMEMBERED = 48
 TOGETHER = 1000  # parts in one string
 
@@ -92,11 +91,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            described = json.load(f)
-        self.lowers = "Lowercase" in json.dumps(described["normalizer"])
-        last = described["added_tokens"][-1]
-        self.between, self.between_id = last["content"], last["id"]
+        rule = self.library.normalizer
+        self.lowers = rule is not None and rule.normalize_str("A") == "a"
+        self.between_id, last = max(self.library.get_added_tokens_decoder().items())
+        self.between = last.content
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
