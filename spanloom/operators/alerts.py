@@ -36,9 +36,8 @@ def _next_sends(slots: DataFrame) -> DataFrame:
 
     Questions (t + w) and times are put in one descending order; a question's answer is the last time before it.
     """
-    times = slots.select("fp", "w", "t", F.col("t").alias("at"), F.lit(False).alias("asks"))
-    asked = slots.select("fp", "w", "t", (F.col("t") + F.col("w")).alias("at"), F.lit(True).alias("asks"))
-    both = times.unionByName(asked).withColumn("back", F.timestamp_micros(-F.col("at"))).drop("at")
+    both = slots.select("fp", "w", "t", F.explode(F.array(F.lit(False), F.lit(True))).alias("asks"))
+    both = both.withColumn("back", F.timestamp_micros(-(F.col("t") + F.when(F.col("asks"), F.col("w")).otherwise(F.lit(0)))))
     # Of a question and a time at one moment the time comes first.
     rows = ordered_scan(both, ["fp", "w"], "back", "asks", last_value={"nxt": F.when(~F.col("asks"), F.col("t"))}, piece_seconds=3600)
     return rows.filter("asks").select("fp", "w", "t", "nxt")
