@@ -5,11 +5,12 @@
    of its own hash over the whole set, so small sets are sketched as well as large ones.
 2. Documents with one fingerprint are one class; its smallest member stands for it from here on.
 3. Bands of registers are hashed.  Buckets with one class go; so do buckets that repeat another's members.
-4. In each bucket classes are first compared with the least one; the collision-corrected estimate decides.  Buckets that
-   this leaves in several parts are cut into blocks, and pairs of blocks are compared, so that every pair of classes that
-   share a band is either connected by estimates or has been found too far apart.
-5. Each connected part is cut into blocks in the same way, and pairs of blocks are verified on full sets.  Only edges
-   that connect are returned, never all pairs of a group; their components are the result.
+4. In each bucket classes are first compared with its most central one.  Pairs that the collision-corrected estimate leaves
+   are verified on full sets, each class's closest one first, and collapse into components.
+5. Only members of buckets that still hold several components go on.  A shingle that none of them shares is in no
+   intersection; with the sizes this rules out most pairs of the rest, and those left are estimated and verified in the same
+   way.  So every pair of classes that share a band is connected or has been found too far apart; its components are the
+   result.
 
 The registers in a band follow from the threshold: a pair at it shares no band with a probability below 1e-8, and its estimate falls below the bound in step 4,
 five and a half standard errors under the threshold, with one below 1e-7.
@@ -39,8 +40,6 @@ from .wordhash import mix, shingle_sets
 REGISTERS = 256
 MISSED = 1e-8  # how likely a pair at the threshold may share no band
 MANTISSA = 11
-BLOCK = 128  # classes per block
-BLOCK_SHINGLES = 200_000
 _seeds = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _band_places = mix(np.arange(7, 7 + REGISTERS, dtype=np.uint64)) | np.uint64(1)
 
@@ -119,174 +118,143 @@ def sketches(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     return stored(rows.mapInArrow(_sketches(size, band_rows(threshold / 100)), "doc_id long, n_shingles long, print binary, registers binary, bands array<long>"), "sketches")
 
 
-class _Parts:
-    """Union-find over the rows of one group."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def _compare_stars(threshold: float):
+def _estimate_pairs(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("x", "y"))
             n, m = (b.column(c).to_numpy() for c in ("n", "m"))
-            near = estimate(x, y, n, m) >= lowest_estimate(threshold)
-            yield b.select(["rep", "pivot"]).filter(pa.array(near))
+            close = estimate(x, y, n, m)
+            rows = pa.RecordBatch.from_arrays([b.column("rep"), b.column("pivot"), pa.array(close)], names=["rep", "pivot", "close"])
+            yield rows.filter(pa.array(close >= lowest_estimate(threshold)))
 
     return run
 
 
-def _blocks(df: DataFrame, group: list[str], blocks: str) -> DataFrame:
-    """Every row once for each pair of blocks that holds its block: lo <= hi number the pair."""
-    own = F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col(blocks)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("lo"), F.greatest(j, F.col("block")).alias("hi")))
-    return df.withColumn("block", own).select("*", F.inline(pairs))
-
-
-def _estimate_blocks(threshold: float):
-    """Edges that connect parts of one pair of blocks, by estimates; pairs of one part already need no edge."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
-        block, lo, hi = (table.column(c).to_numpy() for c in ("block", "lo", "hi"))
-        n = table.column("n_shingles").to_numpy()
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        parts, least, edges = _Parts(len(rep)), lowest_estimate(threshold), []
-        first: dict[int, int] = {}
-        for i, known in enumerate(label.tolist()):
-            parts.join(first.setdefault(known, i), i)
-        for i in range(len(rep)):
-            others = np.arange(i) if lo[0] == hi[0] else np.flatnonzero(block[:i] != block[i])
-            for j in others[estimate(regs[others], regs[i], n[others], n[i]) >= least] if len(others) else ():
-                if parts.join(int(j), i):
-                    edges.append((rep[i], rep[j]))
-        return pa.table({"rep": pa.array([e[0] for e in edges], pa.int64()), "pivot": pa.array([e[1] for e in edges], pa.int64())})
+def estimated(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """(rep, pivot, close) of the pairs whose estimate doesn't rule them out."""
+    side = reps.select("rep", F.col("n_shingles").alias("n"), F.col("registers").alias("x"))
+    other = reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("m"), F.col("registers").alias("y"))
+    return pairs.join(side, "rep").join(other, "pivot").mapInArrow(_estimate_pairs(threshold / 100), "rep long, pivot long, close double")
 
-    return run
 
+def _shingles(size: int):
+    """rep and shingles of the rows whose text has the wanted print."""
 
-def _verify_blocks(threshold: int):
-    """Edges that connect parts of one pair of blocks, by 100 * intersection >= threshold * union on full sets."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rep, block, lo, hi = (table.column(c).to_numpy() for c in ("rep", "block", "lo", "hi"))
-        sets = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
-        size = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), size)
-        values, where = np.concatenate(sets), None
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-        ends = np.append(starts[1:], len(values))
-        where = np.empty(len(values), np.int64)
-        where[order] = np.repeat(np.arange(len(starts)), ends - starts)  # each element's value number, in set order
-        at = np.concatenate([[0], np.cumsum(size)])
-        parts, edges = _Parts(len(sets)), []
-        member = np.zeros(len(starts), bool)
-        within = lo[0] == hi[0]
-        for i in range(len(sets)):
-            others = np.arange(i) if within else np.flatnonzero(block[:i] != block[i])
-            # Sizes alone bound the similarity.
-            others = others[100 * np.minimum(size[others], size[i]) >= threshold * np.maximum(size[others], size[i])]
-            if not len(others):
-                continue
-            own = where[at[i] : at[i + 1]]
-            member[own] = True
-            for j in others.tolist():
-                if parts.find(j) == parts.find(i):
-                    continue
-                both = int(np.count_nonzero(member[where[at[j] : at[j + 1]]]))
-                if 100 * both >= threshold * (int(size[i]) + int(size[j]) - both):
-                    parts.join(j, i)
-                    edges.append((rep[i], rep[j]))
-            member[own] = False
-        return pa.table({"rep": pa.array([e[0] for e in edges], pa.int64()), "pivot": pa.array([e[1] for e in edges], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = shingle_sets(b.column("text"), size)
+            own = pa.array([fingerprint(s) == p for s, p in zip(sets, b.column("print").to_pylist(), strict=True)], pa.bool_())
+            at = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
+            values = pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(at, values)], names=["rep", "shingles"]).filter(own)
 
     return run
 
 
-def _shingles(size: int):
-    """Rows whose text has the wanted print, with the shingles in the text's place."""
+def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(rep, shingles) of the wanted classes, stored; equal rows of one doc_id are one set."""
+    named = stored(wanted.join(reps.select("rep", "print"), "rep"), "wanted")
+    texts = join_sized(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), named, ["rep"])
+    return stored(texts.mapInArrow(_shingles(size), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
+
+
+def _verify(threshold: int):
+    """The pairs with 100 * intersection >= threshold * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            kept = ["rep", "root", "blocks"]
-            sets = shingle_sets(b.column("text"), size)
-            own = pa.array([fingerprint(s) == p for s, p in zip(sets, b.column("print").to_pylist(), strict=True)], pa.bool_())
-            rows = [*(b.column(c) for c in kept), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(rows, names=[*kept, "shingles"]).filter(own)
+        for b in batches:
+            x, y, linked = b.column("x"), b.column("y"), []
+            for i in range(b.num_rows):
+                s, t = x[i].values.to_numpy(), y[i].values.to_numpy()
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                linked.append(100 * both >= threshold * (len(s) + len(t) - both))
+            yield b.select(["rep", "pivot"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
-def candidate_parts(reps: DataFrame, threshold: int) -> DataFrame:
-    """(node, root) of the classes that bands and estimates connect with others.  ``reps``: rep, n_shingles, registers, bands."""
-    t = threshold / 100
+def _labelled(rows: DataFrame, node: str, parts: DataFrame, label: str) -> DataFrame:
+    """``rows`` with the component of ``node``, itself if it has no edge."""
+    named = parts.select(F.col("node").alias(node), F.col("root").alias("__root"))
+    return rows.join(named, node, "left").withColumn(label, F.coalesce("__root", node)).drop("__root")
+
+
+def connecting_edges(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, threshold: int) -> DataFrame:
+    """Edges (rep, pivot), stored, that connect with ``known`` ones what the links among ``pairs`` connect.
+
+    First every class's closest pair is verified; then the pairs that still lie in two components.
+    """
+    x, y = sets.select("rep", F.col("shingles").alias("x")), sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("y"))
+    verified = lambda p, label: stored(p.select("rep", "pivot").join(x, "rep").join(y, "pivot").mapInArrow(_verify(threshold), "rep long, pivot long"), label)
+    closest = verified(pairs.groupBy("rep").agg(F.max_by("pivot", F.struct("close", "pivot")).alias("pivot")), "closest")
+    edges = closest if known is None else known.union(closest)
+    parts = stored(components(edges, "closest-parts"), "closest-roots")
+    rest = _labelled(_labelled(pairs, "rep", parts, "a"), "pivot", parts, "b").filter("a <> b")
+    return edges.union(verified(rest, "links"))
+
+
+def banded_members(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, rep) of the buckets with several classes, those with equal members once; (key, pivot) of each.
+
+    The pivot is the member that meets most others in all its buckets: near the middle of a group, so most links lead to it.
+    """
     banded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = (
         banded.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"), F.max("rep").alias("most"), F.bit_xor(F.xxhash64("rep")).alias("mixed"))
+        .agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.bit_xor(F.xxhash64("rep")).alias("mixed"))
         .filter("size > 1")
-        .groupBy("size", "pivot", "most", "mixed")
-        .agg(F.min("key").alias("key"))
-        .select("key", "pivot")
+        .groupBy("size", "least", "most", "mixed")
+        .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times"))
+        .select("key", (F.col("size") * F.col("times")).alias("met"))
     )
     members = stored(banded.join(buckets, "key"), "buckets")
-    side = reps.select("rep", "n_shingles", "registers")
-    stars = (
-        members.select("rep", "pivot").filter("rep <> pivot").distinct()
-        .join(side.select("rep", F.col("n_shingles").alias("n"), F.col("registers").alias("x")), "rep")
-        .join(side.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("m"), F.col("registers").alias("y")), "pivot")
-        .mapInArrow(_compare_stars(t), "rep long, pivot long")
-    )
-    edges = stored(stars, "star-edges")
-    parts = components(edges, "star-parts")
-    labelled = stored(
-        members.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("label")),
-        "labelled",
-    )
-    # Buckets still in several parts: all pairs of their blocks.
-    split = (
-        labelled.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("mixed"))
-        .filter("a <> b")
-        .select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    )
-    more = (
-        _blocks(labelled.join(split, "key").join(side, "rep"), ["key"], "blocks")
-        .groupBy("key", "lo", "hi")
-        .applyInArrow(_estimate_blocks(t), "rep long, pivot long")
-    )
-    return components(edges.union(stored(more, "block-edges")), "candidates")
+    weights = members.groupBy("rep").agg(F.sum("met").alias("weight"))
+    pivots = members.select("key", "rep").join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("pivot"))
+    return members.select("key", "rep"), stored(pivots, "pivots")
+
+
+def _open_members(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, rep, label, main of the buckets whose members, but for the pivot, lie in several components; main is the largest."""
+    rows = _labelled(members.filter("rep <> pivot").select("key", "rep"), "rep", parts, "label")
+    counted = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counted.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).filter("labels > 1")
+    return stored(rows.join(main.drop("labels"), "key"), "open-members")
 
 
-def verified_edges(docs: DataFrame, reps: DataFrame, parts: DataFrame, threshold: int, size: int = 5) -> DataFrame:
-    """Edges (rep, pivot) that connect what is linked within each candidate part."""
-    sized = (
-        parts.join(reps.withColumnRenamed("rep", "node"), "node")
-        .groupBy("root")
-        .agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+def _open_pairs(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs in two components of a bucket that may be linked by their sizes and by how many shingles others share.
+
+    A shingle that no other open class holds is in no intersection, so the ``shared`` ones bound it.  Every such pair holds a
+    member outside its bucket's main component.
+    """
+    alone = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter("n = 1")
+    alone = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    bounds = sets.select("rep", F.size("shingles").cast("long").alias("n")).join(alone, "rep", "left")
+    bounds = bounds.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).filter(f"100 * shared >= {threshold} * n").drop("alone")
+    able = stored(rows.join(bounds, "rep"), "able")
+    a, b = able.filter("label <> main").alias("a"), able.alias("b")
+    on = (
+        "a.key = b.key and a.label <> b.label and (b.label = b.main or a.rep < b.rep)"
+        f" and 100 * least(a.n, b.n) >= {threshold} * greatest(a.n, b.n)"
+        f" and {100 + threshold} * least(a.shared, b.shared) >= {threshold} * (a.n + b.n)"
     )
-    named = parts.join(sized, "root").join(reps.select(F.col("rep").alias("node"), "print"), "node")
-    wanted = stored(named.select(F.col("node").alias("rep"), "root", "blocks", "print"), "parts")
-    texts = join_sized(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted, ["rep"])
-    # Equal rows of one doc_id are one set.
-    sets = texts.mapInArrow(_shingles(size), "rep long, root long, blocks long, shingles binary").dropDuplicates()
-    return stored(_blocks(sets, ["root"], "blocks").groupBy("root", "lo", "hi").applyInArrow(_verify_blocks(threshold), "rep long, pivot long"), "links")
+    return a.join(b, F.expr(on)).select(F.col("a.rep").alias("rep"), F.col("b.rep").alias("pivot")).distinct()
+
+
+def linked_edges(docs: DataFrame, reps: DataFrame, threshold: int, size: int = 5) -> DataFrame:
+    """Edges (rep, pivot) that connect all links of classes that share a band.  ``reps``: rep, n_shingles, print, registers,
+    bands."""
+    members, pivots = banded_members(reps)
+    members = stored(members.join(pivots, "key"), "members")
+    stars = stored(estimated(members.filter("rep <> pivot").select("rep", "pivot").distinct(), reps, threshold), "stars")
+    wanted = stars.select("rep").union(stars.select("pivot")).distinct()
+    edges = connecting_edges(stars, full_sets(docs, reps, wanted, size), None, threshold)
+    rows = _open_members(members, stored(components(edges, "star-parts"), "star-roots"))
+    sets = full_sets(docs, reps, rows.select("rep").distinct(), size)
+    pairs = stored(estimated(_open_pairs(rows, sets, threshold), reps, threshold), "open-pairs")
+    return connecting_edges(pairs, sets, edges, threshold)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
@@ -302,9 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> Data
         .select("n_shingles", "print", "rep", "s.registers", "s.bands"),
         "classes",
     )
-    parts = stored(candidate_parts(classes.select("rep", "n_shingles", "registers", "bands"), threshold), "candidate-parts")
-    edges = verified_edges(docs, classes.select("rep", "n_shingles", "print"), parts, threshold, size)
-    linked = components(edges, "linked")
+    linked = components(linked_edges(docs, classes, threshold, size), "linked")
     named = stored(
         classes.select("n_shingles", "print", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
         .select("n_shingles", "print", "rep", F.coalesce("root", "rep").alias("root")),

@@ -62,10 +62,22 @@ def corpus(n=400):
     return docs | {n: None, n + 1: "  \n", n + 2: base[0].lower()}
 
 
-@pytest.mark.parametrize("threshold, block", [(85, 128), (80, 16)])
-def test_equals_exhaustive_search(spark, frame, monkeypatch, threshold, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)  # small blocks: groups are cut and compared pair by pair
-    docs = corpus()
+def near_copies(n=150):
+    """A third of the rows of one group: copies with up to eight words changed, many of them close to the threshold."""
+    rng = random.Random(5)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
+    docs = {}
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        docs[i] = " ".join(words[: rng.choice([200, 200, 190, 180])])
+    return docs | {n + i: " ".join(f"x{rng.randrange(10**6)}" for _ in range(60)) for i in range(2 * n)}
+
+
+@pytest.mark.parametrize("threshold, rows", [(85, corpus), (80, corpus), (85, near_copies), (80, near_copies)])
+def test_equals_exhaustive_search(spark, frame, threshold, rows):
+    docs = rows()
     want = brute(docs, threshold)
     rows = minhash.near_duplicates(frame(list(docs.items()), rep=F.lit(0), registers=F.lit("x")), threshold).collect()
     assert len(rows) == len(docs)
