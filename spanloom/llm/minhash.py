@@ -8,8 +8,8 @@
 4. In each bucket classes are first compared with its most central one.  Pairs that the collision-corrected estimate leaves
    are verified on full sets, each class's closest one first, and collapse into components.
 5. Only members of buckets that still hold several components go on.  A shingle that none of them shares is in no
-   intersection; with the sizes this rules out most pairs of the rest, and those left are estimated and verified in the same
-   way.  So every pair of classes that share a band is connected or has been found too far apart; its components are the
+   intersection, and near-copies differ by most of what sets each apart from its bucket's central class; with the sizes
+   this rules out most pairs of the rest, and those left are estimated and verified in the same way.  So every pair of classes that share a band is connected or has been found too far apart; its components are the
    result.
 
 The registers in a band follow from the threshold: a pair at it shares no band with a probability below 1e-8, and its estimate falls below the bound in step 4,
@@ -181,18 +181,25 @@ def _labelled(rows: DataFrame, node: str, parts: DataFrame, label: str) -> DataF
     return rows.join(named, node, "left").withColumn(label, F.coalesce("__root", node)).drop("__root")
 
 
-def connecting_edges(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, threshold: int) -> DataFrame:
-    """Edges (rep, pivot), stored, that connect with ``known`` ones what the links among ``pairs`` connect.
+def connected_parts(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, threshold: int) -> DataFrame:
+    """(node, root), stored, of what the links among ``pairs`` connect with the ``known`` parts.
 
     First every class's closest pair is verified; then the pairs that still lie in two components.
     """
     x, y = sets.select("rep", F.col("shingles").alias("x")), sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("y"))
     verified = lambda p, label: stored(p.select("rep", "pivot").join(x, "rep").join(y, "pivot").mapInArrow(_verify(threshold), "rep long, pivot long"), label)
+
+    def joined(parts: DataFrame | None, links: DataFrame, label: str) -> DataFrame:
+        if parts is None:
+            return stored(components(links, label), f"{label}-roots")
+        if links.isEmpty():
+            return parts
+        return stored(components(parts.select(F.col("node").alias("rep"), F.col("root").alias("pivot")).union(links), label), f"{label}-roots")
+
     closest = verified(pairs.groupBy("rep").agg(F.max_by("pivot", F.struct("close", "pivot")).alias("pivot")), "closest")
-    edges = closest if known is None else known.union(closest)
-    parts = stored(components(edges, "closest-parts"), "closest-roots")
+    parts = joined(known, closest, "closest-parts")
     rest = _labelled(_labelled(pairs, "rep", parts, "a"), "pivot", parts, "b").filter("a <> b")
-    return edges.union(verified(rest, "links"))
+    return joined(parts, verified(rest, "links"), "parts")
 
 
 def banded_members(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -216,45 +223,61 @@ def banded_members(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _open_members(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """key, rep, label, main of the buckets whose members, but for the pivot, lie in several components; main is the largest."""
-    rows = _labelled(members.filter("rep <> pivot").select("key", "rep"), "rep", parts, "label")
+    """key, rep, pivot, label, main of the buckets whose members, but for the pivot, lie in several components; main is the largest."""
+    rows = _labelled(members.filter("rep <> pivot"), "rep", parts, "label")
     counted = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).filter("labels > 1")
     return stored(rows.join(main.drop("labels"), "key"), "open-members")
 
 
-def _open_pairs(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs in two components of a bucket that may be linked by their sizes and by how many shingles others share.
+def _unshared(items: DataFrame, group: list[str]) -> DataFrame:
+    """For each rep of a group, how many ``s`` no other rep of the group holds."""
+    alone = items.groupBy(*group, "s").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter("n = 1")
+    return alone.groupBy(*group, "rep").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _open_pairs(rows: DataFrame, sets: DataFrame, stars: DataFrame, star_sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs in two components of a bucket that may be linked, by their sizes and by how many shingles others share.
 
-    A shingle that no other open class holds is in no intersection, so the ``shared`` ones bound it.  Every such pair holds a
-    member outside its bucket's main component.
+    A shingle that no other open class holds is in no intersection, so the ``shared`` ones bound it.  Of members near their
+    bucket's pivot the differences from it (``apart`` shingles) bound it more closely: two members differ in what one of them
+    has apart and the other hasn't, so by all that is apart but at most twice the ``common`` part that others have apart, too.
+    Every pair holds a member outside its bucket's main component.
     """
-    alone = sets.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).filter("n = 1")
-    alone = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    bounds = sets.select("rep", F.size("shingles").cast("long").alias("n")).join(alone, "rep", "left")
-    bounds = bounds.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).filter(f"100 * shared >= {threshold} * n").drop("alone")
-    able = stored(rows.join(bounds, "rep"), "able")
+    t = threshold
+    bounds = sets.select("rep", F.size("shingles").cast("long").alias("n"))
+    bounds = bounds.join(_unshared(sets.select("rep", F.explode("shingles").alias("s")), []), "rep", "left")
+    bounds = bounds.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).filter(f"100 * shared >= {t} * n").drop("alone")
+    near = stars.join(rows.select("rep", "pivot").distinct(), ["rep", "pivot"]).select("rep", "pivot")
+    near = near.join(star_sets.select("rep", F.col("shingles").alias("x")), "rep").join(star_sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("y")), "pivot")
+    near = stored(near.select("rep", "pivot", F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("items")), "differences")
+    alone = _unshared(near.select("pivot", "rep", F.explode("items").alias("s")), ["pivot"])
+    apart = near.select("pivot", "rep", F.size("items").cast("long").alias("apart")).join(alone, ["pivot", "rep"], "left")
+    apart = apart.withColumn("common", F.col("apart") - F.coalesce("alone", F.lit(0))).drop("alone")
+    able = stored(rows.join(bounds, "rep").join(apart, ["pivot", "rep"], "left"), "able")
     a, b = able.filter("label <> main").alias("a"), able.alias("b")
     on = (
         "a.key = b.key and a.label <> b.label and (b.label = b.main or a.rep < b.rep)"
-        f" and 100 * least(a.n, b.n) >= {threshold} * greatest(a.n, b.n)"
-        f" and {100 + threshold} * least(a.shared, b.shared) >= {threshold} * (a.n + b.n)"
+        f" and 100 * least(a.n, b.n) >= {t} * greatest(a.n, b.n)"
+        f" and {100 + t} * least(a.shared, b.shared) >= {t} * (a.n + b.n)"
+        f" and coalesce({100 + t} * (a.apart + b.apart - 2 * least(a.common, b.common)) <= {100 - t} * (a.n + b.n), true)"
     )
     return a.join(b, F.expr(on)).select(F.col("a.rep").alias("rep"), F.col("b.rep").alias("pivot")).distinct()
 
 
-def linked_edges(docs: DataFrame, reps: DataFrame, threshold: int, size: int = 5) -> DataFrame:
-    """Edges (rep, pivot) that connect all links of classes that share a band.  ``reps``: rep, n_shingles, print, registers,
-    bands."""
+def linked_parts(docs: DataFrame, reps: DataFrame, threshold: int, size: int = 5) -> DataFrame:
+    """(node, root) of the classes that links of classes sharing a band connect with others.  ``reps``: rep, n_shingles,
+    print, registers, bands."""
     members, pivots = banded_members(reps)
     members = stored(members.join(pivots, "key"), "members")
     stars = stored(estimated(members.filter("rep <> pivot").select("rep", "pivot").distinct(), reps, threshold), "stars")
     wanted = stars.select("rep").union(stars.select("pivot")).distinct()
-    edges = connecting_edges(stars, full_sets(docs, reps, wanted, size), None, threshold)
-    rows = _open_members(members, stored(components(edges, "star-parts"), "star-roots"))
+    star_sets = full_sets(docs, reps, wanted, size)
+    parts = connected_parts(stars, star_sets, None, threshold)
+    rows = _open_members(members, parts)
     sets = full_sets(docs, reps, rows.select("rep").distinct(), size)
-    pairs = stored(estimated(_open_pairs(rows, sets, threshold), reps, threshold), "open-pairs")
-    return connecting_edges(pairs, sets, edges, threshold)
+    pairs = stored(estimated(_open_pairs(rows, sets, stars, star_sets, threshold), reps, threshold), "open-pairs")
+    return connected_parts(pairs, sets, parts, threshold)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
@@ -270,7 +293,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5) -> Data
         .select("n_shingles", "print", "rep", "s.registers", "s.bands"),
         "classes",
     )
-    linked = components(linked_edges(docs, classes, threshold, size), "linked")
+    linked = linked_parts(docs, classes, threshold, size)
     named = stored(
         classes.select("n_shingles", "print", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
         .select("n_shingles", "print", "rep", F.coalesce("root", "rep").alias("root")),
