@@ -8,8 +8,9 @@ The tree's upper level is a bounded list of routing vectors; every vector goes t
 vector are split by hash into shards of bounded size (equal vectors too), and each shard is a tree of pages: a node keeps its
 routing vector, its covering radius and the distance to its parent's routing vector; leaf entries keep theirs.  A search
 takes nodes by their bound, and by the triangle inequality skips those, and those entries, that the stored distances already
-rule out.  Each query first searches the shard of its nearest routing vector; its k-th score there bounds the search of all
-other shards, in blocks of queries.
+rule out; a block of queries goes through a page at once.  Each query first searches the shard of its nearest routing
+vector; its k-th score there bounds the rest.  The shards' roots lie in upper pages, which decide for blocks of queries
+which shards a query still has to be sent to, before any vectors are shuffled for it.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id, nor
 vectors whose squares, after scaling, sum to 2^62 or more, since their scores need not fit in 64 bits; rows equal in vec_id and vector count once; a query's own vec_id is no candidate; equal scores go to the smaller vec_id; fewer
@@ -36,6 +37,8 @@ LEAF = 64
 FANOUT = 16
 MAX_ROUTES = 256
 QUERIES = 512  # per block
+PAGE = 256  # shards per upper page
+NOBODY, NOTHING = np.iinfo(np.int64).max, -np.iinfo(np.int64).max  # an empty place's vec_id and score
 EXACT = 2.0**53  # doubles hold smaller integers exactly; beyond it scores are computed as 64-bit integers
 
 
@@ -120,42 +123,85 @@ class Tree:
             return cls(**{n: z[n] for n in cls.FIELDS})
 
     def search(self, q: np.ndarray, own: int, k: int, largest: float, least: float = -np.inf) -> tuple[list[tuple[int, int]], int]:
-        """((score, -vec_id) of the best k that score at least ``least``, best first; how many distances were computed)."""
-        whole = q @ q + largest
-        slack = 1e-7 * (whole + 1)
-        best: list[tuple[int, int]] = []  # the worst of them first
-        computed = 1
-        upper = lambda d: (whole - np.maximum(d, 0) ** 2) / 2 + slack
-        to = lambda rows: np.sqrt(np.maximum(whole - 2 * (self.x[rows] @ q), 0))
-        d0 = float(to(self.route[:1])[0])
-        heap = [(-float(upper(d0 - self.radius[0])), 0, d0)]
+        """((score, -vec_id) of the best k that score at least ``least``, best first; how many distances were needed)."""
+        score, ids, needed = self.search_block(q[None, :], np.array([own]), k, largest, np.array([least]))
+        found = ids[0] != NOBODY
+        return [(s, -i) for s, i in zip(score[0][found].tolist(), ids[0][found].tolist(), strict=True) if s >= least], needed
+
+    def search_block(self, q: np.ndarray, own: np.ndarray, k: int, largest: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(scores, vec_ids, how many distances were needed) of the best k for each row of ``q``, best first.
+
+        Places that nobody takes hold NOBODY; entries that score less than a query's ``least`` may be missing.  The page with
+        the highest bound of any query comes first, and takes along only the queries that may find something in it.
+        """
+        bounds = Bounds(q, largest)
+        score, ids = np.full((len(q), k), NOTHING), np.full((len(q), k), NOBODY)
+        floor = least.astype(float)
+        asked = np.arange(len(q))
+        d = bounds.distances(self.x[self.route[:1]], asked)[:, 0]
+        needed, turn = len(q), 0
+        heap = [(-np.inf, turn, 0, asked, d, bounds.upper(d - self.radius[0], asked))]
         while heap:
-            bound, node, d = heapq.heappop(heap)
-            floor = best[0][0] if len(best) == k else least
-            if -bound < floor:
-                break
+            _, _, node, asked, d, bound = heapq.heappop(heap)
+            still = bound >= floor[asked]
+            asked, d = asked[still], d[still]
+            if not len(asked):
+                continue
             rows = np.arange(self.first[node], self.first[node] + self.count[node])
+            stored = self.toward[rows] if self.leaf[node] else self.parent[rows]
+            around = 0.0 if self.leaf[node] else self.radius[rows][None, :]
+            able = bounds.between(d, stored, around, asked) >= floor[asked, None]
             if self.leaf[node]:
-                rows = rows[upper(np.abs(d - self.toward[rows]) - slack / np.sqrt(whole + 1)) >= floor]
-                rows = rows[self.ids[rows] != own]
-                computed += len(rows)
-                score = self.x[rows] @ q if largest < EXACT else self.x[rows].astype(np.int64) @ q.astype(np.int64)
-                near = np.flatnonzero(score >= floor)
-                for s, i in zip(score[near].tolist(), self.ids[rows[near]].tolist(), strict=True):
-                    one = (int(s), -i)
-                    if len(best) < k:
-                        heapq.heappush(best, one)
-                    elif one > best[0]:
-                        heapq.heapreplace(best, one)
-            else:
-                rows = rows[upper(np.abs(d - self.parent[rows]) - self.radius[rows] - slack / np.sqrt(whole + 1)) >= floor]
-                if len(rows):
-                    computed += len(rows)
-                    near = to(self.route[rows])
-                    for b, r, e in zip(upper(near - self.radius[rows]).tolist(), rows.tolist(), near.tolist(), strict=True):
-                        if b >= floor:
-                            heapq.heappush(heap, (-b, r, e))
-        return sorted(best, reverse=True), computed
+                able &= self.ids[rows][None, :] != own[asked, None]
+            on, at = able.any(axis=1), able.any(axis=0)
+            asked, rows, able = asked[on], rows[at], able[np.ix_(on, at)]
+            if not len(asked):
+                continue
+            needed += int(able.sum())
+            if not self.leaf[node]:
+                near = bounds.distances(self.x[self.route[rows]], asked)
+                reach = np.where(able, bounds.upper(near - self.radius[rows][None, :], asked), -np.inf)
+                able &= reach >= floor[asked, None]
+                for j, row in enumerate(rows.tolist()):
+                    for_it = np.flatnonzero(able[:, j])
+                    if len(for_it):
+                        turn += 1
+                        heapq.heappush(heap, (-float(reach[for_it, j].max()), turn, row, asked[for_it], near[for_it, j], reach[for_it, j]))
+                continue
+            got = q[asked] @ self.x[rows].T if largest < EXACT else q[asked].astype(np.int64) @ self.x[rows].astype(np.int64).T
+            able &= got >= floor[asked, None] - bounds.slack[asked, None]
+            better = able.any(axis=1)
+            if better.any():
+                asked = asked[better]
+                both = np.concatenate([score[asked], np.where(able, got.astype(np.int64), NOTHING)[better]], axis=1)
+                who = np.concatenate([ids[asked], np.where(able, self.ids[rows][None, :], NOBODY)[better]], axis=1)
+                order = np.lexsort((who, -both), axis=1)[:, :k]
+                score[asked], ids[asked] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+                full = ids[asked, -1] != NOBODY
+                floor[asked[full]] = np.maximum(floor[asked[full]], score[asked[full], -1].astype(float) - bounds.slack[asked[full]])
+        return score, ids, needed
+
+
+class Bounds:
+    """Distances of a block of queries, and the highest products they leave possible, with slack for rounding."""
+
+    def __init__(self, q: np.ndarray, largest: float):
+        self.q, self.whole = q, (q * q).sum(axis=1) + largest
+        self.slack = 1e-7 * (self.whole + 1)
+        self.inexact = self.slack / np.sqrt(self.whole + 1)
+
+    def distances(self, x: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Of each query to each row of ``x``."""
+        return np.sqrt(np.maximum(self.whole[asked, None] - 2 * (self.q[asked] @ x.T), 0))
+
+    def upper(self, d: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """The highest product with a vector no nearer than ``d``."""
+        shape = (-1,) + (1,) * (d.ndim - 1)
+        return (self.whole[asked].reshape(shape) - np.maximum(d, 0) ** 2) / 2 + self.slack[asked].reshape(shape)
+
+    def between(self, d: np.ndarray, stored: np.ndarray, around: np.ndarray | float, asked: np.ndarray) -> np.ndarray:
+        """The same by the triangle inequality alone, for entries ``stored`` away from a routing vector at distance ``d``."""
+        return self.upper(np.abs(d[:, None] - stored[None, :]) - around - self.inexact[asked, None], asked)
 
 
 # ---- Spark -------------------------------------------------------------------------------------------------------
@@ -181,25 +227,68 @@ def _grow(dim: int, largest: float):
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         tree = Tree.build(t.column("vec_id").to_numpy(), _matrix(t.column("v").chunk(0), dim), largest)
-        return pa.table({"shard": t.column("shard").slice(0, 1), "tree": pa.array([tree.packed()], pa.binary())})
+        root = pa.array([tree.x[tree.route[0]].astype(np.int64)], pa.list_(pa.int64()))
+        return pa.table({"shard": t.column("shard").slice(0, 1), "root": root, "radius": tree.radius[:1], "tree": pa.array([tree.packed()], pa.binary())})
+
+    return run
+
+
+def _upper_page(dim: int, largest: float):
+    """One upper page: the roots of its shards, their distances to the page's routing vector, and its covering radius."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        x = _matrix(t.column("root").chunk(0), dim)
+        more = np.sqrt(np.maximum(largest - (x * x).sum(axis=1), 0))
+        toward = np.sqrt(((x - x[0]) ** 2).sum(axis=1) + (more - more[0]) ** 2)
+        columns = [pa.array([t.column(c).chunk(0)], pa.list_(t.schema.field(c).type)) for c in ("shard", "root", "radius")]
+        whole = pa.array([(toward + t.column("radius").to_numpy()).max()])
+        return pa.table([t.column("page").slice(0, 1), *columns, pa.array([toward], pa.list_(pa.float64())), whole], names=["page", "shards", "roots", "radii", "toward", "whole"])
+
+    return run
+
+
+def _choose(dim: int, largest: float):
+    """For every block of queries and upper page: (shard, asked) of the shards that may hold something for a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                block = b.column("asked")[i].values
+                bounds = Bounds(_matrix(block.field("v"), dim), largest)
+                least = block.field("least").to_numpy(zero_copy_only=False)
+                floor = np.where(np.isfinite(least), least, -np.inf)
+                shards, radii, toward = (b.column(c)[i].values.to_numpy() for c in ("shards", "radii", "toward"))
+                x = _matrix(b.column("roots")[i].values, dim)
+                everyone = np.arange(len(least))
+                d = bounds.distances(x[:1], everyone)[:, 0]
+                asked = everyone[bounds.upper(d - b.column("whole")[i].as_py(), everyone) >= floor]
+                able = bounds.between(d[asked], toward, radii[None, :], asked) >= floor[asked, None]
+                able &= block.field("home").to_numpy()[asked, None] != shards[None, :]
+                near = np.flatnonzero(able.any(axis=0))
+                able = able[:, near] & (bounds.upper(bounds.distances(x[near], asked) - radii[None, near], asked) >= floor[asked, None])
+                for j, shard in enumerate(shards[near].tolist()):
+                    chosen = block.take(pa.array(asked[able[:, j]]))
+                    if len(chosen):
+                        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.ListArray.from_arrays([0, len(chosen)], chosen)], names=["shard", "asked"])
 
     return run
 
 
 def _search(dim: int, largest: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, tree = None, None
         for b in batches:
-            out: list[tuple[int, int, int]] = []
             for i in range(b.num_rows):
+                if b.column("shard")[i].as_py() != shard:
+                    shard, tree = b.column("shard")[i].as_py(), Tree.unpacked(b.column("tree")[i].as_py())
                 asked = b.column("asked")[i].values
-                tree = Tree.unpacked(b.column("tree")[i].as_py())
-                q = _matrix(asked.field("v"), dim)
                 least = asked.field("least").to_numpy(zero_copy_only=False)
-                for j, own in enumerate(asked.field("vec_id").to_pylist()):
-                    floor = least[j] if np.isfinite(least[j]) else -np.inf
-                    out += [(own, -s[1], s[0]) for s in tree.search(q[j], own, k, largest, floor)[0]]
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                own = asked.field("vec_id").to_numpy()
+                score, ids, _ = tree.search_block(_matrix(asked.field("v"), dim), own, k, largest, np.where(np.isfinite(least), least, -np.inf))
+                found = ids != NOBODY
+                columns = [np.repeat(own, found.sum(axis=1)), ids[found], score[found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -207,7 +296,21 @@ def _search(dim: int, largest: float, k: int):
 def _blocks(queries: DataFrame, keys: list[str], blocks: int) -> DataFrame:
     """One row per block of about QUERIES queries."""
     block = F.pmod(F.xxhash64(F.lit("query"), "vec_id", "v"), F.lit(blocks)).alias("block")
-    return queries.groupBy(*keys, block).agg(F.collect_list(F.struct("vec_id", "v", "least")).alias("asked"))
+    return queries.groupBy(*keys, block).agg(F.collect_list(F.struct("vec_id", "v", "least", F.col("shard").alias("home"))).alias("asked"))
+
+
+def chosen_shards(asked: DataFrame, trees: DataFrame, shards: int, dim: int, largest: float) -> DataFrame:
+    """(shard, asked): the queries of each block that a shard, other than their home, may still hold something for.
+
+    Blocks meet the upper pages, of PAGE shards each, not the shards: a query goes on to a shard only if neither the page's
+    radius, nor the root's stored distance, nor the root's own radius rule it out.
+    """
+    page = F.floor(F.col("shard") / PAGE).alias("page")
+    kinds = "page long, shards array<long>, roots array<array<long>>, radii array<double>, toward array<double>, whole double"
+    upper = stored(trees.select("shard", "root", "radius", page).groupBy("page").applyInArrow(_upper_page(dim, largest), kinds), "upper-pages")
+    meets = asked.select("asked", F.explode(F.expr(f"sequence(0L, {(shards - 1) // PAGE}L)")).alias("page")).join(upper, "page")
+    schema = "shard long, asked array<struct<vec_id: long, v: array<long>, least: double, home: long>>"
+    return stored(meets.mapInArrow(_choose(dim, largest), schema), "chosen-shards")
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
@@ -229,19 +332,19 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     parts = spark.createDataFrame([(r["route"], r["parts"], e - r["parts"]) for r, e in zip(sizes, ends, strict=True)], "route long, parts long, base long")
     shard = F.col("base") + F.pmod(F.xxhash64(F.lit("shard"), "vec_id", "v"), F.col("parts"))
     sharded = routed.join(F.broadcast(parts), "route").select("vec_id", "v", shard.alias("shard"))
-    trees = stored(sharded.groupBy("shard").applyInArrow(_grow(dim, largest), "shard long, tree binary"), "trees")
+    trees = stored(sharded.groupBy("shard").applyInArrow(_grow(dim, largest), "shard long, root array<long>, radius double, tree binary"), "trees")
 
     queries = stored(sharded.filter(F.col("vec_id") % every == 0), "queries")
     blocks = max(1, -(-queries.count() // QUERIES))
     found = "query_id long, vec_id long, score long"
     at_home = _blocks(queries.withColumn("least", F.lit(None).cast("double")), ["shard"], blocks)
-    first = stored(at_home.join(trees, "shard").mapInArrow(_search(dim, largest, k), found), "home-results")
+    pages = trees.select("shard", "tree")
+    first = stored(at_home.join(pages, "shard").mapInArrow(_search(dim, largest, k), found), "home-results")
 
     # The k-th score at home; a query that found fewer has no bound.
     bound = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
     asked = _blocks(queries.join(bound, "vec_id", "left"), [], blocks)
-    # Every block meets every shard; at home a query finds the same entries again.
-    pairs = asked.select("asked", F.explode(F.expr(f"sequence(0L, {ends[-1] - 1}L)")).alias("shard")).join(trees, "shard")
+    pairs = chosen_shards(asked, trees, ends[-1], dim, largest).join(pages, "shard")
     rest = pairs.mapInArrow(_search(dim, largest, k), found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.union(rest).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -157,3 +157,26 @@ def test_chain_learns_steps():
     alone = np.mean([r[0] == f"word:{y}" for rows, labels in pages for r, y in zip(rows, labels)])
     assert right > alone + 0.03
     assert html.fit([]).decode([["x"]]) in ([0], [1]) and model.decode([]) == []
+
+
+def test_upper_pages_spare_shards(spark, monkeypatch):
+    for name, value in (("SHARD", 50), ("PAGE", 8), ("QUERIES", 16)):
+        monkeypatch.setattr(mtree, name, value)
+    sent = []
+    choose = mtree.chosen_shards
+
+    def counted(asked, trees, shards, dim, largest):
+        out = choose(asked, trees, shards, dim, largest)
+        meant = asked.select(F.explode("asked")).count()
+        sent.append((out.agg(F.sum(F.size("asked"))).first()[0] or 0, meant * (shards - 1)))
+        return out
+
+    monkeypatch.setattr(mtree, "chosen_shards", counted)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(20, 8))
+    middle *= 4 / np.linalg.norm(middle, axis=1)[:, None]
+    x = middle[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 8)) * 0.05
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = {tuple(r) for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_top(rows, 50, 5)
+    assert sent[0][0] < 0.3 * sent[0][1]
