@@ -23,6 +23,7 @@ import random
 import re
 import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -63,24 +64,72 @@ ROLE_WORDS = {
 ROLE_OF = {w: role for role, ws in ROLE_WORDS.items() for w in ws.split()}
 BAD_TAGS = frozenset("nav aside header footer form head button menu dialog label noscript select".split())
 GOOD_TAGS = frozenset("article main".split())
+TEXT_TAGS = frozenset("p pre blockquote h1 h2".split())
+
+
+@dataclass(frozen=True, eq=False)
+class Place:
+    """A spot between open block elements, shared by all that stands there: each element adds its tag and roles once."""
+
+    outer: Place | None
+    own: str  # the innermost block element
+    tags: frozenset[str]
+    roles: frozenset[str]
+    trail: object  # equal for equal lines of open block elements
+
+    def inside(self, tag: str, roles: frozenset[str], trail: object) -> Place:
+        tags = self.tags if tag in self.tags else self.tags | {tag}
+        return Place(self, tag, tags, self.roles if roles <= self.roles else self.roles | roles, trail)
+
+
+TOP = Place(None, "none", frozenset(), frozenset(), 0)
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
-    roles: frozenset[str]
+    place: Place
+    inline: frozenset[tuple[str, int]]  # open inline elements and how many of each
     linked: float  # share of its text inside links
 
+    @property
+    def roles(self) -> frozenset[str]:
+        return self.place.roles
+
+    def within(self, tags: frozenset[str]) -> bool:
+        return not tags.isdisjoint(self.place.tags) or any(t in tags for t, _ in self.inline)
+
+
+class Line:
+    """Open elements, outermost first; the innermost of a tag is found, and elements are closed, at constant cost each."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.where: dict[str, list[int]] = {}
+
+    def add(self, tag: str) -> None:
+        self.where.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost ``tag`` stands, or -1."""
+        return (self.where.get(tag) or (-1,))[-1]
+
+    def cut(self, at: int) -> None:
+        while len(self.tags) > at:
+            self.where[self.tags.pop()].pop()
+
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order."""
+    """The page's leaf blocks in order.  The work grows with the page's length, however deep its elements lie."""
     page = page or ""
     out: list[Block] = []
-    open_: list[tuple[str, frozenset[str]]] = []
+    solid, places = Line(), [TOP]  # block elements, and the place inside each
+    inline: Counter[str] = Counter()  # inline elements open inside the innermost block element; they end with it
+    trails: dict[tuple[object, str], int] = {}
     text: list[str] = []
     linked, at = 0, 0
-    foreign: list[str] = []  # open elements of drawings and formulas; these cut no block
+    foreign = Line()  # open elements of drawings and formulas; these cut no block
     endless: set[str] = set()  # elements that no end tag follows
 
     def flush() -> None:
@@ -88,26 +137,28 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             said = " ".join(entities.unescape("".join(text)).split())
             if said:
-                roles = frozenset().union(*(r for _, r in open_)) if open_ else frozenset()
-                out.append(Block(said, tuple(t for t, _ in open_), roles, min(1.0, linked / len(said))))
+                out.append(Block(said, places[-1], frozenset(inline.items()), min(1.0, linked / len(said))))
             text.clear()
         linked = 0
 
     def close(last: int) -> None:
-        del open_[last:]
+        solid.cut(last)
+        del places[last + 1 :]
+        inline.clear()
 
     while at < len(page):
         start = page.find("<", at)
         stop = len(page) if start < 0 else start
-        if stop > at and not (foreign and foreign[-1] in UNSEEN):
+        unseen = bool(foreign.tags) and foreign.tags[-1] in UNSEEN
+        if stop > at and not unseen:
             text.append(page[at:stop])
-            if any(t == "a" for t, _ in open_):
+            if inline["a"]:
                 linked += stop - at
         if start < 0:
             break
         m = TAG.match(page, start)
         if m is None:  # a sign that opens no tag
-            if not (foreign and foreign[-1] in UNSEEN):
+            if not unseen:
                 text.append("<")
             at = start + 1
             continue
@@ -115,41 +166,34 @@ def blocks(page: str | None) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if foreign and tag not in RAW:
-            if m[1] and tag in foreign:
-                del foreign[len(foreign) - 1 - foreign[::-1].index(tag) :]
+        if foreign.tags and tag not in RAW:
+            if m[1] and foreign.last(tag) >= 0:
+                foreign.cut(foreign.last(tag))
                 continue
-            if foreign[-1] != "foreignobject":
-                outer = m[1] and tag not in INLINE and any(t == tag for t, _ in open_)
+            if foreign.tags[-1] != "foreignobject":
+                outer = m[1] and tag not in INLINE and solid.last(tag) >= 0
                 if not (outer or (not m[1] and tag in BREAKS)):
                     if not m[1] and tag in FOREIGN and not m[3].endswith("/"):
-                        foreign.append(tag)
+                        foreign.add(tag)
                     continue
-                foreign.clear()
+                foreign.cut(0)
         if tag in ("svg", "math"):
             if not m[1] and not m[3].endswith("/"):
-                foreign.append(tag)
+                foreign.add(tag)
         elif tag == "br":
             text.append(" ")
         elif tag in INLINE:
-            if not m[1]:
-                open_.append((tag, frozenset()))
-            else:
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == tag:
-                        del open_[i]
-                        break
-                    if open_[i][0] not in INLINE:
-                        break
+            inline[tag] += -1 if m[1] else 1
+            if inline[tag] <= 0:
+                del inline[tag]
         elif m[1]:
             flush()
-            names = [t for t, _ in open_]
-            if tag in names:
-                close(len(names) - 1 - names[::-1].index(tag))
+            if solid.last(tag) >= 0:
+                close(solid.last(tag))
         else:
-            if foreign and m[3].endswith("/"):
+            if foreign.tags and m[3].endswith("/"):
                 continue
-            if not foreign:
+            if not foreign.tags:
                 flush()
             if tag in RAW:
                 end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -160,33 +204,33 @@ def blocks(page: str | None) -> list[Block]:
                 else:
                     endless.add(tag)
                 continue
-            if foreign:
+            if foreign.tags:
                 flush()
             if tag in VOID:
                 continue
-            names = [t for t, _ in open_]
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in SIBLINGS.get(tag, ()) or (names[i] == "p" and tag in CLOSES_P):
+            for i in range(len(solid.tags) - 1, -1, -1):
+                if solid.tags[i] in SIBLINGS.get(tag, ()) or (solid.tags[i] == "p" and tag in CLOSES_P):
                     close(i)
                     break
-                if names[i] not in INLINE and names[i] != "p":
+                if solid.tags[i] != "p":
                     break
-            while open_ and open_[-1][0] in INLINE:  # an inline element left open ends with its block
-                open_.pop()
+            inline.clear()  # an inline element left open ends with its block
             said = " ".join(x for g in NAMES.findall(m[3]) for x in g).lower()
-            open_.append((tag, frozenset(ROLE_OF[w] for w in WORD.findall(said) if w in ROLE_OF)))
+            roles = frozenset(ROLE_OF[w] for w in WORD.findall(said) if w in ROLE_OF)
+            trail = trails.setdefault((places[-1].trail, tag), len(trails) + 1)
+            solid.add(tag)
+            places.append(places[-1].inside(tag, roles, trail))
     flush()
     return out
 
 
 def structural_labels(page: list[Block]) -> list[int]:
     """1 for content by the elements' own names, where a page names any main element; else by tag and length."""
-    named = any(GOOD_TAGS & set(b.path) for b in page)
+    named = any(b.within(GOOD_TAGS) for b in page)
     out = []
     for b in page:
-        tags = set(b.path)
-        bad = bool(tags & BAD_TAGS) or bool(b.roles - {"good"}) or (b.linked > 0.6 and "article" not in tags)
-        good = bool(tags & GOOD_TAGS) if named else "good" in b.roles or bool(tags & {"p", "pre", "blockquote", "h1", "h2"})
+        bad = b.within(BAD_TAGS) or bool(b.roles - {"good"}) or (b.linked > 0.6 and "article" not in b.place.tags)
+        good = b.within(GOOD_TAGS) if named else "good" in b.roles or b.within(TEXT_TAGS)
         out.append(int(good and not bad))
     return out
 
@@ -196,16 +240,19 @@ def wrapped(page: list[Block], rng: random.Random, groups: int = 4) -> list[Bloc
     content = [b for b, y in zip(page, structural_labels(page), strict=True) if y]
     out = list(page)
     for _ in range(groups if content else 0):
-        path, roles = [t for t in rng.choice(content).path if t not in INLINE][:-1], frozenset()
+        around = rng.choice(content).place.outer or TOP
+        tags, roles = around.tags, frozenset()
         if rng.random() < 0.5:
-            path = [t for t in path if t not in GOOD_TAGS]
+            tags -= GOOD_TAGS
         if rng.random() < 0.5:
-            path.append(rng.choice(sorted(BAD_TAGS)))
+            wrapper = rng.choice(sorted(BAD_TAGS))
         else:
-            path.append(rng.choice(("div", "section", "ul")))
+            wrapper = rng.choice(("div", "section", "ul"))
             roles = frozenset({rng.choice(sorted(set(ROLE_WORDS) - {"good"}))})
+        outer = Place(None, around.own, tags, frozenset(), object()).inside(wrapper, roles, object())
         at = rng.randrange(len(out) + 1)
-        out[at:at] = [Block(b.text, (*path, rng.choice(("p", "div", "li"))), roles, b.linked) for b in rng.choices(content, k=rng.randrange(1, 4))]
+        again = rng.choices(content, k=rng.randrange(1, 4))
+        out[at:at] = [Block(b.text, outer.inside(t, frozenset(), (outer.trail, t)), frozenset(), b.linked) for b in again for t in (rng.choice(("p", "div", "li")),)]
     return out
 
 
@@ -213,11 +260,8 @@ def describe(page: list[Block], hide: bool = False) -> list[list[str]]:
     """Feature names of each block; ``hide`` leaves out the elements that name their role."""
     rows = []
     for i, b in enumerate(page):
-        tags = set(b.path)
-        if hide:
-            tags -= GOOD_TAGS | BAD_TAGS
-        own = next((t for t in reversed(b.path) if t not in INLINE), "none")
-        names = ["bias", f"own:{own}", *(f"in:{t}" for t in tags if t not in INLINE)]
+        tags = b.place.tags - (GOOD_TAGS | BAD_TAGS) if hide else b.place.tags
+        names = ["bias", f"own:{b.place.own}", *(f"in:{t}" for t in tags if t not in INLINE)]
         if not hide:
             names += [f"role:{r}" for r in b.roles]
         names.append(f"length:{min(11, int(math.log2(len(b.text) + 1)))}")
@@ -229,7 +273,7 @@ def describe(page: list[Block], hide: bool = False) -> list[list[str]]:
             names.append("first")
         if i == len(page) - 1:
             names.append("last")
-        if i and page[i - 1].path == b.path:
+        if i and (page[i - 1].place.trail, page[i - 1].inline) == (b.place.trail, b.inline):
             names.append("as before")
         rows.append(names)
     return rows

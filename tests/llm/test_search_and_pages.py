@@ -1,6 +1,8 @@
 """M-trees and page extraction."""
 
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -94,7 +96,7 @@ def test_blocks():
         "Menu", "Buy & win", "Head line", "One two <3 a < b.", "Three four five, six seven.",
         "First! A long comment by a reader, with some words.", "Your name, please, and your address.", "© 2020",
     ]
-    assert found[0].linked == 1 and "ad" in found[1].roles and "talk" in found[5].roles and "form" in found[6].path
+    assert found[0].linked == 1 and "ad" in found[1].roles and "talk" in found[5].roles and "form" in found[6].place.tags
     assert html.blocks(None) == [] and html.blocks("") == [] and [b.text for b in html.blocks("a<p>b<script>c")] == ["a", "b"]
     assert [b.text for b in html.blocks("<ul><li>x<li>y<p>z<table><tr><td>q<td>r<p unfinished")] == ["x", "y", "z", "q", "r"]
 
@@ -112,6 +114,18 @@ def test_drawings_formulas_and_odd_ends_lose_no_text():
     assert said("<noscript><p>a</p><p>b") == ["a", "b"] and said("<iframe src=x><p>a") == ["a"] and said("<select><option>x</select>y") == ["x", "y"]
 
 
+def test_deep_pages_cost_their_length():
+    deep = "<div>a" * 100_000
+    for page, n in ((deep, 100_000), (deep + "</div>" * 100_000, 100_000), ("<p>" + "<b>a" * 100_000 + "</i>" * 100_000, 1), ("<b>a</x>" * 100_000, 100_000)):
+        tracemalloc.start()
+        began = time.process_time()
+        found = html.blocks(page)
+        took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == n and took < 20 and peak < 150 << 20
+    assert html.describe(found[:3])[2].count("as before") == 0 and html.describe(html.blocks("<ul><li>a<li>b"))[1].count("as before") == 1
+
+
 def test_captions_and_links_in_articles_are_content():
     page = html.blocks('<nav><a href=x>Menu</a></nav><article><figure><figcaption>Cap</figcaption></figure><p><a href=x>Linked words</a></p></article>')
     assert list(zip([b.text for b in page], html.structural_labels(page))) == [("Menu", 0), ("Cap", 1), ("Linked words", 1)]
