@@ -117,12 +117,13 @@ def test_drawings_formulas_and_odd_ends_lose_no_text():
 def test_deep_pages_cost_their_length():
     deep = "<div>a" * 100_000
     for page, n in ((deep, 100_000), (deep + "</div>" * 100_000, 100_000), ("<p>" + "<b>a" * 100_000 + "</i>" * 100_000, 1), ("<b>a</x>" * 100_000, 100_000)):
-        tracemalloc.start()
         began = time.process_time()
         found = html.blocks(page)
-        took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
-        tracemalloc.stop()
-        assert len(found) == n and took < 20 and peak < 150 << 20
+        assert len(found) == n and time.process_time() - began < 10
+    tracemalloc.start()  # tracing slows the work, so it isn't timed
+    found = html.blocks(deep)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
     assert html.describe(found[:3])[2].count("as before") == 0 and html.describe(html.blocks("<ul><li>a<li>b"))[1].count("as before") == 1
 
 
