@@ -13,7 +13,7 @@ positives.
 
 Defined cases: a null or empty text is scored by the same model, as a text without words; a document whose labels
 disagree is no trusted positive; labels for missing documents are ignored; without any positives every score is the
-prior, 0.5; null doc_id is never labelled nor held out; repeated rows are scored each; an empty table gives no rows;
+prior, 0.5; null doc_id is never labelled nor held out; repeated rows are scored each, but drawn for the fit once; an empty table gives no rows;
 columns other than doc_id and text are not read.
 """
 
@@ -175,8 +175,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("positive"), b.column("sampled"), flat], names=["positive", "sampled", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fit on at most about ``max_positives`` trusted positives and ``max_unlabelled`` other texts, sampled by hash."""
+def sample(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> tuple[DataFrame, float | None]:
+    """(text, positive, sampled of the rows to fit on; the share of label 1, if the training folds hold both labels).
+
+    Rows are drawn by hash of doc_id and text together, and of rows equal in both one is drawn, so an id or a row that
+    many rows share takes no more of the sample than its due.
+    """
     agreed = (
         labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -186,16 +190,27 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     trusted = agreed.filter("quality = 1").select("doc_id")
     n, n_trusted = agreed.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
     prior = n_trusted / n if 0 < n_trusted < n else None
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
     portion = lambda most, of: int(min(1.0, most / max(of, 1)) * (1 << 30))
-    chosen = trusted.filter(place < portion(max_positives, n_trusted)).withColumn("positive", F.lit(True))
+    drawn = lambda label, most, of, *by: F.pmod(F.xxhash64(F.lit(label), *by), F.lit(1 << 30)) < portion(most, of)
+    chosen = trusted.filter(drawn("sample", max_positives, n_trusted, "doc_id")).withColumn("positive", F.lit(True))
     # ``chosen`` is bounded by max_positives (the sample's size varies by a few per cent), so it may be broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left").select(
+    marked = lambda *columns: docs.select(*columns).join(F.broadcast(chosen), "doc_id", "left")
+    # An id may stand on many rows: rows are counted, too.
+    rows, on_chosen = marked("doc_id").agg(F.count(F.lit(1)), F.count("positive")).first()
+    texts = marked("doc_id", "text").select(
+        "doc_id",
         "text",
-        F.coalesce("positive", F.lit(False)).alias("positive"),
-        (F.pmod(F.xxhash64(F.lit("texts"), "doc_id"), F.lit(1 << 30)) < portion(max_unlabelled, docs.count())).alias("sampled"),
+        (F.coalesce("positive", F.lit(False)) & drawn("rows", max_positives, on_chosen, "doc_id", "text")).alias("positive"),
+        drawn("texts", max_unlabelled, rows, "doc_id", "text").alias("sampled"),
     )
-    rows = texts.filter("positive or sampled").mapInArrow(_describe, "positive boolean, sampled boolean, x array<double>").toArrow()
+    kept = texts.filter("positive or sampled").withColumn("print", F.xxhash64("text")).dropDuplicates(["doc_id", "print"])
+    return kept.select("text", "positive", "sampled"), prior
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+    """Fit on at most about ``max_positives`` rows of trusted positives and ``max_unlabelled`` other texts."""
+    texts, prior = sample(docs, labels, max_positives, max_unlabelled)
+    rows = texts.mapInArrow(_describe, "positive boolean, sampled boolean, x array<double>").toArrow()
     if not rows.num_rows:
         return fit(np.empty((0, 1)), np.empty((0, 1)))
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)

@@ -186,3 +186,13 @@ def test_prior_without_negative_labels():
     model = quality.fit(good[:450], np.concatenate([good[450:], bad[:150]]))
     assert 0.65 < model.prior < 0.85
     assert (model.score(good) >= quality.CUT).mean() > 0.97 and (model.score(bad) < quality.CUT).mean() > 0.97
+
+
+def test_quality_sample_stays_bounded_with_a_hot_id(spark):
+    hot = spark.range(6000).selectExpr("if(id % 3 = 0, 13, if(id % 3 = 1, null, id)) as doc_id", "if(id % 9 < 4, 'same words', concat('text ', id)) as text")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (13, 14, 17, 20)], "doc_id long, quality int, toxic int")
+    rows, prior = quality.sample(hot, labels, max_positives=200, max_unlabelled=200)
+    found = rows.agg(F.count_if("positive"), F.count_if("sampled")).first()
+    assert prior is None and 0 < found[0] < 300 and 0 < found[1] < 300
+    everything, _ = quality.sample(hot, labels)
+    assert everything.count() == hot.distinct().count()
