@@ -41,3 +41,21 @@ def test_context_equals_a_plain_search_and_names_its_errors(spark):
             values = [p[3] for p in near if p[2] == name and p[3] is not None]
             wanted = (sum(values) / len(values), max(values), min(values)) if values else (None, None, None)
             assert tuple(s) == wanted
+
+
+def test_many_queries_find_what_a_plain_search_finds_without_pairs_in_a_shuffle(spark, monkeypatch):
+    rng = random.Random(4)
+    message = lambda: rng.choice([None, "", f"Record 4266{rng.randrange(60):03d} not found", f"Timeout for job {rng.randrange(9)}"])
+    cases = [(f"i{i:03d}", rng.choice(["A", "B", "C", None]), message(), "resolved") for i in range(120)] + [("z", "D", "unlike all", "resolved")]
+    asks = [(f"q{i}", rng.choice(["A", "B", "D", "E", None]), message()) for i in range(60)]
+    inv = spark.createDataFrame(cases, "investigation_id string, error_type string, error_message string, resolution_status string")
+    queries = spark.createDataFrame(asks, "query_id string, error_type string, error_message string")
+    monkeypatch.setattr(I, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(I, "BLOCK_QUERIES", 5)
+    met = []
+    nearest = I._nearest
+    monkeypatch.setattr(I, "_nearest", lambda *a, **kw: met.append(nearest(*a, **kw)) or met[-1])
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["investigation_id"], round(r["similarity_score"], 12)) for r in df.collect())
+    assert rows(I.similar_investigations(queries, inv, max_queries=0)) == rows(I.similar_investigations(queries, inv))
+    # Of every block a query gets at most five texts, whatever it shares with the others.
+    assert met and all(m.groupBy("qid").count().agg(F.max("count")).first()[0] <= 5 * 18 for m in met if not m.isEmpty())

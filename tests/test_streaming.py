@@ -53,3 +53,42 @@ def test_router_is_idempotent_and_counts(spark, tmp_path):
     assert spark.read.parquet(f"{base}/errors").count() == 1
     assert spark.read.parquet(f"{base}/points").count() == 1
     assert spark.read.parquet(f"{base}/index").count() == 3
+
+
+def test_stream_of_messages_keeps_no_pairs(spark, tmp_path):
+    from spanloom.operators import alerts as A
+    from spanloom.streaming import alerts as SA
+
+    subs = spark.createDataFrame(
+        [(f"c{i % 30}" if i else None, "t" if i % 3 else "u", f"a{i % 4}" if i % 2 else None) for i in range(60)],
+        "connection_id string, subscription_type string, agent_filter string",
+    )
+    rows = [(f"m{i}", "t" if i % 5 else None, f"a{i % 6}" if i % 7 else None) for i in range(40)]
+    schema = "message_id string, message_type string, agent_id string"
+    stream = _feed(spark, str(tmp_path / "in"), schema, [rows[:11], rows[11:]])
+    base = str(tmp_path / "fanout")
+    SA.start_fanout(stream, subs, base, str(tmp_path / "ckpt"), trigger={"availableNow": True}).awaitTermination()
+    pairs = lambda df: sorted((r["message_id"], r["connection_id"] or "") for r in df.collect())
+    wanted = sorted(
+        (m[0], s["connection_id"] or "") for m in rows for s in subs.collect()
+        if m[1] == s["subscription_type"] and (m[2] is None or s["agent_filter"] in (None, m[2]))
+    )
+    assert pairs(SA.read_fanout(spark, base)) == wanted == pairs(A.route_to_subscriptions(spark.createDataFrame(rows, schema), subs))
+    assert spark.read.parquet(f"{base}/addressed").count() <= 2 * len(rows)
+
+
+def test_health_of_checks_without_outcome_id_or_time(spark, tmp_path):
+    rows = [("r", T0 + timedelta(minutes=i), i, i % 5 != 0) for i in range(30)]
+    rows += [("r", T0 + timedelta(minutes=40), None, True), ("r", T0 + timedelta(minutes=40), 31, None), ("r", None, 32, False), (None, T0, 33, True)]
+    stream = _feed(spark, str(tmp_path / "in"), "region_id string, ts timestamp, check_id long, ok boolean", [rows])
+    out = SR.drain(SP.stream_health(stream), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = {r["check_id"]: (r["region_id"], r["ts"], r["ok"], r["run_length"], r["status"]) for r in out.collect()}
+    at = T0 + timedelta(minutes=40)
+    assert len(got) == 34 and got[29] == ("r", T0 + timedelta(minutes=29), True, 4, "healthy")
+    assert got[31] == ("r", at, None, 1, "degraded") and got[None] == ("r", at, True, 1, "degraded")
+    assert got[32] == ("r", None, False, 1, "degraded") and got[33][0] is None
+    # Numbers alone are kept of a check while its region is put in order.
+    import pandas as pd
+
+    kept = SP._numbers(pd.DataFrame({"ts": pd.to_datetime([T0]), "check_id": [1], "ok": [True]}))
+    assert sum(x.nbytes for x in kept) == 18
