@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .tokens import ENCODED_BYTES, Encoder, slices
+from .tokens import ENCODED_BYTES, kept_encoder, slices
 
 COLUMNS = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
 
 def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, written = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, written = kept_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in slices(batches, most=ENCODED_BYTES):
             ids, ends = encoder.encode(b.column("text"))
             n = len(ends) - 1

@@ -4,7 +4,10 @@ Both public vocabularies split a text with a fixed pattern before merging.  Text
 pattern begins a new part whatever stands around: before a space that stands next to a printable character, between a
 letter and a sign, and around a single line's end.  A text's ids are then the ids of its parts in a row.  The distinct parts of
 a slice are encoded by the library in a few long strings, with a special token between them, and their ids are gathered.
-What a task has encoded it remembers within a bound, and forgets at its end.
+Where the vocabulary marks the ends of words, parts of a space and a word need no such token: they follow each other in
+the string, and each must have given one end.
+What has been encoded is remembered within a bound: by an ``Encoder`` made in a task until the task's end, by one from
+``kept_encoder`` in a Python worker also for its next tasks.
 Special-token strings in a text are treated as the library treats them by default.
 """
 
@@ -13,6 +16,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +88,7 @@ def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.n
 
 
 class Encoder:
-    """Texts to ids; made within a task, so that its memory of parts ends with the task."""
+    """Texts to ids; made within a task, so that its memory of parts ends with the task, unless it is kept."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark fills the cores already
@@ -95,12 +99,28 @@ class Encoder:
         self.lowers = rule is not None and rule.normalize_str("A") == "a"
         self.between_id, last = max(self.library.get_added_tokens_decoder().items())
         self.between = last.content
+        self.closing = None  # by id: whether it ends a word
+        mark = getattr(self.library.model, "end_of_word_suffix", None)
+        if mark:
+            vocabulary = self.library.get_vocab()
+            self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closing[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
 
     def _new(self, parts: list[str]) -> list[bytes]:
         """Little-endian ids of each part, from the library."""
+        if self.closing is None:
+            return self._apart(parts)
+        words = [p for p in parts if p[0] == " " and p[1:].isalpha()]
+        found = dict(zip(words, self._words(words), strict=True))
+        others = [p for p in parts if p not in found]
+        found.update(zip(others, self._apart(others), strict=True))
+        return [found[p] for p in parts]
+
+    def _apart(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts with the special token between them."""
         out: list[bytes] = []
         whole = [self.between.join(parts[lo : lo + TOGETHER]) for lo in range(0, len(parts), TOGETHER)]
         for e in self.library.encode_batch_fast(whole, add_special_tokens=False):
@@ -111,6 +131,22 @@ class Encoder:
                 at = stop + 1
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of parts that are a space and letters; where a string's words and ends differ in number, one by one."""
+        out: list[bytes] = []
+        groups = [words[lo : lo + TOGETHER] for lo in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+            if len(stops) != len(group):  # a letter that becomes several characters, some no letters
+                out += self._apart(group)
+                continue
+            data, at = ids.tobytes(), 0
+            for stop in stops:
+                out.append(data[4 * at : 4 * stop])
+                at = stop
+        return out
+
     def _ids_of(self, parts: list[str]) -> list[bytes]:
         """Ids of distinct parts; short ones are remembered, those of the last two generations at most."""
         young, old = self.young, self.old
@@ -144,11 +180,23 @@ class Encoder:
         data = np.ascontiguousarray((LOWERED if plain and self.lowers else SAME)[data])
         at = cut_points(data, ends, plain)
         parts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
-        known = self._ids_of(parts.dictionary.to_pylist())
+        known = self._ids_of(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         which = parts.indices.to_numpy(zero_copy_only=False)
         ids, runs = _gather(np.frombuffer(b"".join(known), "<u4"), (np.cumsum(size) - size)[which], size[which])
         return ids, runs[np.searchsorted(at, ends)]
 
 
+def kept_encoder(path: str) -> Encoder:
+    """The one encoder of this Python process for a vocabulary, read once and with what it remembers from task to task.
+
+    Each task gets this module's globals anew, so the encoders are kept in a module that only the process has.
+    """
+    kept = sys.modules.setdefault("spanloom_kept_encoders", ModuleType("spanloom_kept_encoders")).__dict__
+    key = f"{path}:{os.stat(path).st_mtime_ns}"
+    if key not in kept:
+        kept[key] = Encoder(path)
+    return kept[key]
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,11 +6,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spanloom.llm import packing, tokenfile
-from spanloom.llm.tokens import Encoder, slices
+from spanloom.llm.tokens import Encoder, kept_encoder, slices
 from spanloom.session import scratch_path
 
 ODD = [
@@ -35,6 +36,24 @@ def test_encoder_equals_the_library(vocabulary):
         assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_words_in_a_row_equal_the_library(vocabulary):
+    rng, letters = random.Random(5), "abcdetxyzéßσςΣИЖ日ªºŉ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    odd = ["İstanbul", "aİ", "שׁ", "क़", "ǰ", "ﬃ", "ͅx", "Å", "e\u0301a"]  # more characters, or no letters, once normalised
+    for all_ in (words, words + odd):
+        library, texts_ = Tokenizer.from_file(vocabulary), [" ".join(all_[i::7]) for i in range(7)]
+        ids, ends = Encoder(vocabulary).encode(pa.array(texts_))
+        for i, t in enumerate(texts_):
+            assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_a_worker_keeps_its_encoder(vocabulary):
+    as_in_a_task = lambda: cloudpickle.loads(cloudpickle.dumps(kept_encoder))
+    first = as_in_a_task()(vocabulary)
+    first.encode(pa.array(["some words, kept"]))
+    assert as_in_a_task()(vocabulary) is first and " words" in first.young
+
+
 def test_slices_are_bounded_and_whole():
     b = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (5, 0, 30, 2, 2, 2)] + [None]})
     parts = list(slices([b], most=6))
