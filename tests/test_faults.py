@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import alerts as A, ordered as O, traces as R
 from spanloom.plans import daily, sample as S
-from spanloom.sources import streams as SS, tables
+from spanloom.sources import files, streams as SS, tables
 from spanloom.streaming import alerts as SA
 
 T0 = datetime(2024, 1, 1)
@@ -70,6 +70,14 @@ def test_daily_run_over_late_events(spark, sf, tmp_path):
     assert (again.count(), again.agg(F.sum("occurrence_count")).first()[0]) == (n, total)
 
 
+def test_documents_of_short_and_long_traces(spark):
+    rows = [(t, f"a{i % 2}", f"{t}-{i // 2}", T0 + timedelta(seconds=(i * 37) % 400) if i % 9 else None) for t, n in (("long", 90), ("short", 12), (None, 50)) for i in range(n)]
+    events = spark.createDataFrame(rows, "trace_id string, agent_id string, event_id string, ts timestamp")
+    events = files.to_event_schema(events)
+    outs = [sorted(map(str, R.trace_documents(events, 10, most).collect())) for most in (0, 40, 1000)]
+    assert outs[0] == outs[1] == outs[2] and sum(r["items"] for r in R.trace_documents(events, 10, 40).collect()) == 152
+
+
 ALERT = "alert_id string, agent_id string, anomaly_type string, severity string, ts timestamp, metrics map<string,double>"
 
 
