@@ -10,7 +10,9 @@ routing vector, its covering radius and the distance to its parent's routing vec
 takes nodes by their bound, and by the triangle inequality skips those, and those entries, that the stored distances already
 rule out; a block of queries goes through a page at once.  Each query first searches the shard of its nearest routing
 vector; its k-th score there bounds the rest.  The shards' roots lie in upper pages, which decide for blocks of queries
-which shards a query still has to be sent to, before any vectors are shuffled for it.
+which shards a query still has to be sent to, before any vectors are shuffled for it.  The rest is searched in cells, of a
+range of blocks and a range of shards: a cell gets its queries and its trees once, and what a query finds in one tree bounds
+the next.  A tree whose leaf pages the bounds would hardly spare is multiplied as a whole.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id, nor
 vectors whose squares, after scaling, sum to 2^62 or more, since their scores need not fit in 64 bits; rows equal in vec_id and vector count once; a query's own vec_id is no candidate; equal scores go to the smaller vec_id; fewer
@@ -28,7 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import stored
 
@@ -38,30 +41,107 @@ FANOUT = 16
 MAX_ROUTES = 256
 QUERIES = 512  # per block
 PAGE = 256  # shards per upper page
+CELL_BYTES, CELL_SHARDS = 32 << 20, 64  # of a cell's queries as doubles, and its shards
+SCAN = 512  # queries that are multiplied with a whole tree at once
+SPARED = 0.75  # of a tree's entries, so that its pages are searched one by one
 NOBODY, NOTHING = np.iinfo(np.int64).max, -np.iinfo(np.int64).max  # an empty place's vec_id and score
 EXACT = 2.0**53  # doubles hold smaller integers exactly; beyond it scores are computed as 64-bit integers
+SINGLE = 2.0**24  # and so do floats; no sum of some of a product's terms exceeds the largest squared norm
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v: array<long>, norm of the rows that take part."""
+    """vec_id, v: 32-bit integers as bytes, norm: their squared norm; of the rows that take part."""
     x = F.col("embedding")
-    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
-    rows = rows.filter(F.aggregate(x, F.lit(0.0), lambda a, e: a + (e * scale) * (e * scale)) < float(1 << 62))
-    rows = rows.select("vec_id", F.transform(x, lambda e: F.floor(e * scale)).alias("v")).dropDuplicates()
-    return rows.withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e))
+    if vectors.schema["embedding"].dataType != ArrayType(FloatType()):
+        x = x.cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    return rows.mapInArrow(_integers(scale), "vec_id long, v binary, norm long").dropDuplicates()
 
 
-def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+def _integers(scale: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("embedding")
+            n = np.diff(lists.offsets.to_numpy())
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(float)  # nulls are not finite either
+            inside = np.arange(n.max(initial=0))[None, :] < n[:, None]
+            scaled = np.zeros(inside.shape)
+            scaled[inside] = np.where(np.isfinite(x), x, np.inf) * scale
+            with np.errstate(over="ignore"):
+                squares = np.zeros(len(n))
+                for column in scaled.T:  # in order: another order rounds otherwise
+                    squares += column * column
+            fits = squares < float(1 << 62)
+            whole = np.floor(scaled[fits]).astype("<i4")
+            at = np.concatenate([[0], np.cumsum(4 * n[fits])]).astype(np.int32)
+            v = pa.Array.from_buffers(pa.binary(), len(whole), [None, pa.py_buffer(at), pa.py_buffer(whole[inside[fits]])])
+            norm = (whole.astype(np.int64) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(fits)), v, pa.array(norm, pa.int64())], names=["vec_id", "v", "norm"])
+
+    return run
+
+
+def _matrix(packed: pa.Array, dim: int) -> np.ndarray:
     """Rows padded with zeros to ``dim``; doubles hold the products of such integers exactly up to 2^53."""
-    at = lists.offsets.to_numpy()
-    out = np.zeros((len(lists), dim))
-    n = np.diff(at)
-    out[np.repeat(np.arange(len(lists)), n), np.arange(at[-1] - at[0]) - np.repeat(at[:-1] - at[0], n)] = lists.flatten().to_numpy(zero_copy_only=False)
+    at = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
+    x = np.frombuffer(packed.buffers()[2] or b"", "<i4")[at[0] : at[-1]]
+    out = np.zeros((len(packed), dim))
+    out[np.arange(dim)[None, :] < np.diff(at)[:, None]] = x
     return out
 
 
+def _kind(largest: float) -> type:
+    """The smallest kind of numbers that holds all products exactly, or as good as doubles do."""
+    return np.float32 if largest < SINGLE else np.float64
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int16 if np.abs(x).max(initial=0) < 1 << 15 else np.int64)
+
+
+def _products(q: np.ndarray, x: np.ndarray, largest: float, room: np.ndarray | None = None) -> np.ndarray:
+    return np.matmul(q, x.T, out=room) if largest < EXACT else q.astype(np.int64) @ x.astype(np.int64).T
+
+
+class Best:
+    """The best ``k`` that each query has found, best first; places that nobody takes hold NOBODY."""
+
+    def __init__(self, own: np.ndarray, k: int, least: np.ndarray):
+        self.own, self.least = own, np.where(np.isfinite(least), least, -np.inf)
+        self.score, self.ids = np.full((len(own), k), NOTHING), np.full((len(own), k), NOBODY)
+
+    def take(self, rows: np.ndarray, value: np.ndarray, who: np.ndarray) -> None:
+        """Offers ``who`` with the products ``value`` to the queries ``rows``."""
+        value, new = value.astype(np.int64), who != self.own[rows]
+        while new.any():
+            rows, value, who = rows[new], value[new], who[new]
+            last = self.score[rows, -1]
+            new = (value > last) | ((value == last) & (who < self.ids[rows, -1]))
+            rows, value, who = rows[new], value[new], who[new]
+            # Of very many a part comes first, which rules out most of the others.
+            many = len(rows) > 32 * (1 + np.count_nonzero(np.diff(rows)))
+            first = np.arange(len(rows)) % 16 == 0 if many else np.ones(len(rows), bool)
+            self._merge(rows[first], value[first], who[first])
+            new = ~first
+
+    def _merge(self, rows: np.ndarray, value: np.ndarray, who: np.ndarray) -> None:
+        on, nth = np.unique(rows, return_inverse=True)
+        k = self.score.shape[1]
+        row = np.concatenate([np.repeat(np.arange(len(on)), k), nth])
+        score, ids = np.concatenate([self.score[on].ravel(), value]), np.concatenate([self.ids[on].ravel(), who])
+        order = np.lexsort((ids, -score, row))
+        order = order[(np.searchsorted(row[order], np.arange(len(on)))[:, None] + np.arange(k)).ravel()]
+        self.score[on], self.ids[on] = score[order].reshape(-1, k), ids[order].reshape(-1, k)
+        full = on[self.ids[on, -1] != NOBODY]
+        self.least[full] = np.maximum(self.least[full], self.score[full, -1])
+
+    def found(self) -> pa.RecordBatch:
+        taken = self.ids != NOBODY
+        columns = [np.repeat(self.own, taken.sum(axis=1)), self.ids[taken], self.score[taken]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+
 # ---- one shard ---------------------------------------------------------------------------------------------------
 
 
@@ -114,82 +194,101 @@ class Tree:
 
     def packed(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, **{n: getattr(self, n) for n in self.FIELDS})
+        np.savez(out, **{n: getattr(self, n) for n in self.FIELDS} | {"x": _narrow(self.x)})
         return out.getvalue()
 
     @classmethod
-    def unpacked(cls, data: bytes) -> Tree:
+    def unpacked(cls, data: bytes, kind: type = np.float64) -> Tree:
         with np.load(io.BytesIO(data)) as z:
-            return cls(**{n: z[n] for n in cls.FIELDS})
+            return cls(**{n: z[n] for n in cls.FIELDS} | {"x": z["x"].astype(kind)})
 
     def search(self, q: np.ndarray, own: int, k: int, largest: float, least: float = -np.inf) -> tuple[list[tuple[int, int]], int]:
         """((score, -vec_id) of the best k that score at least ``least``, best first; how many distances were needed)."""
-        score, ids, needed = self.search_block(q[None, :], np.array([own]), k, largest, np.array([least]))
-        found = ids[0] != NOBODY
-        return [(s, -i) for s, i in zip(score[0][found].tolist(), ids[0][found].tolist(), strict=True) if s >= least], needed
+        best = Best(np.array([own]), k, np.array([least]))
+        needed = self.search_block(Bounds(q[None, :], largest), best, np.array([0]))
+        found = best.ids[0] != NOBODY
+        return [(s, -i) for s, i in zip(best.score[0][found].tolist(), best.ids[0][found].tolist(), strict=True) if s >= least], needed
 
-    def search_block(self, q: np.ndarray, own: np.ndarray, k: int, largest: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(scores, vec_ids, how many distances were needed) of the best k for each row of ``q``, best first.
+    def search_block(self, bounds: Bounds, best: Best, asked: np.ndarray) -> int:
+        """Searches for the queries ``asked`` and brings ``best`` up to date; returns how many distances were needed.
 
-        Places that nobody takes hold NOBODY; entries that score less than a query's ``least`` may be missing.  The page with
-        the highest bound of any query comes first, and takes along only the queries that may find something in it.
+        Entries that score less than a query's ``least`` may be missing.  The page with the highest bound of any query comes
+        first, and takes along only the queries that may find something in it.
         """
-        bounds = Bounds(q, largest)
-        score, ids = np.full((len(q), k), NOTHING), np.full((len(q), k), NOBODY)
-        floor = least.astype(float)
-        asked = np.arange(len(q))
         d = bounds.distances(self.x[self.route[:1]], asked)[:, 0]
-        needed, turn = len(q), 0
-        heap = [(-np.inf, turn, 0, asked, d, bounds.upper(d - self.radius[0], asked))]
+        bound = bounds.upper(d - self.radius[0], asked)
+        still = bound >= bounds.floor(best, asked)
+        asked, d, bound = asked[still], d[still], bound[still]
+        needed, turn = len(still), 0
+        if len(asked) and not self._spares(bounds, best, asked):
+            self._scan(bounds, best, asked)
+            return needed + len(asked) * len(self.ids)
+        heap = [(-np.inf, turn, 0, asked, d, bound)]
         while heap:
             _, _, node, asked, d, bound = heapq.heappop(heap)
-            still = bound >= floor[asked]
+            still = bound >= bounds.floor(best, asked)
             asked, d = asked[still], d[still]
             if not len(asked):
                 continue
             rows = np.arange(self.first[node], self.first[node] + self.count[node])
             stored = self.toward[rows] if self.leaf[node] else self.parent[rows]
             around = 0.0 if self.leaf[node] else self.radius[rows][None, :]
-            able = bounds.between(d, stored, around, asked) >= floor[asked, None]
+            floor = bounds.floor(best, asked)
+            able = bounds.between(d, stored, around, asked) >= floor[:, None]
             if self.leaf[node]:
-                able &= self.ids[rows][None, :] != own[asked, None]
+                able &= self.ids[rows][None, :] != best.own[asked, None]
             on, at = able.any(axis=1), able.any(axis=0)
-            asked, rows, able = asked[on], rows[at], able[np.ix_(on, at)]
+            asked, rows, able, floor = asked[on], rows[at], able[np.ix_(on, at)], floor[on]
             if not len(asked):
                 continue
             needed += int(able.sum())
             if not self.leaf[node]:
                 near = bounds.distances(self.x[self.route[rows]], asked)
                 reach = np.where(able, bounds.upper(near - self.radius[rows][None, :], asked), -np.inf)
-                able &= reach >= floor[asked, None]
+                able &= reach >= floor[:, None]
                 for j, row in enumerate(rows.tolist()):
                     for_it = np.flatnonzero(able[:, j])
                     if len(for_it):
                         turn += 1
                         heapq.heappush(heap, (-float(reach[for_it, j].max()), turn, row, asked[for_it], near[for_it, j], reach[for_it, j]))
                 continue
-            got = q[asked] @ self.x[rows].T if largest < EXACT else q[asked].astype(np.int64) @ self.x[rows].astype(np.int64).T
-            able &= got >= floor[asked, None] - bounds.slack[asked, None]
-            better = able.any(axis=1)
-            if better.any():
-                asked = asked[better]
-                both = np.concatenate([score[asked], np.where(able, got.astype(np.int64), NOTHING)[better]], axis=1)
-                who = np.concatenate([ids[asked], np.where(able, self.ids[rows][None, :], NOBODY)[better]], axis=1)
-                order = np.lexsort((who, -both), axis=1)[:, :k]
-                score[asked], ids[asked] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
-                full = ids[asked, -1] != NOBODY
-                floor[asked[full]] = np.maximum(floor[asked[full]], score[asked[full], -1].astype(float) - bounds.slack[asked[full]])
-        return score, ids, needed
+            got = _products(bounds.q[asked], self.x[rows], bounds.largest)
+            i, j = np.nonzero(got >= floor[:, None])
+            best.take(asked[i], got[i, j], self.ids[rows[j]])
+        return needed
+
+    def _spares(self, bounds: Bounds, best: Best, asked: np.ndarray) -> bool:
+        """Whether the leaf pages' radii leave out most entries, for a few of many queries that have a bound."""
+        some = asked[:: max(1, len(asked) // 16)]
+        floor = bounds.floor(best, some)
+        if len(asked) < 16 or not np.isfinite(floor).all():
+            return True
+        leaves = np.flatnonzero(self.leaf)
+        able = bounds.upper(bounds.distances(self.x[self.route[leaves]], some) - self.radius[leaves], some) >= floor[:, None]
+        return (able * self.count[leaves]).sum() < (1 - SPARED) * len(some) * len(self.ids)
+
+    def _scan(self, bounds: Bounds, best: Best, asked: np.ndarray) -> None:
+        """All entries at once."""
+        room = np.empty((min(SCAN, len(asked)), len(self.ids)), self.x.dtype)  # fresh memory for each part would cost as much as its products
+        for part in (asked[i : i + SCAN] for i in range(0, len(asked), SCAN)):
+            got = _products(bounds.q[part], self.x, bounds.largest, room[: len(part)])
+            floor = bounds.floor(best, part)[:, None]
+            i, j = np.divmod(np.flatnonzero(got >= (floor.astype(got.dtype) if got.dtype.kind == "f" else floor)), len(self.ids))
+            best.take(part[i], got[i, j], self.ids[j])
 
 
 class Bounds:
     """Distances of a block of queries, and the highest products they leave possible, with slack for rounding."""
 
     def __init__(self, q: np.ndarray, largest: float):
-        self.q, self.whole = q, (q * q).sum(axis=1) + largest
+        self.q, self.largest, self.whole = q, largest, (q.astype(float) ** 2).sum(axis=1) + largest
         self.slack = 1e-7 * (self.whole + 1)
         self.inexact = self.slack / np.sqrt(self.whole + 1)
 
+    def floor(self, best: Best, asked: np.ndarray) -> np.ndarray:
+        """What products must reach at least; less for rounding."""
+        return best.least[asked] - self.slack[asked]
+
     def distances(self, x: np.ndarray, asked: np.ndarray) -> np.ndarray:
         """Of each query to each row of ``x``."""
         return np.sqrt(np.maximum(self.whole[asked, None] - 2 * (self.q[asked] @ x.T), 0))
@@ -208,17 +307,16 @@ class Bounds:
 
 
 def _nearest(routes: np.ndarray, largest: float):
-    """The number of the nearest routing vector."""
-    more = np.sqrt(np.maximum(largest - (routes * routes).sum(axis=1), 0))
+    """The number of the nearest routing vector: all squared norms are the same, so the one of the highest product."""
+    full = lambda x: np.hstack([x, np.sqrt(np.maximum(largest - (x * x).sum(axis=1), 0))[:, None]]).astype(_kind(largest))
+    toward = full(routes).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column("v"), routes.shape[1])
-            own = np.sqrt(np.maximum(largest - (x * x).sum(axis=1), 0))
-            near = ((routes * routes).sum(axis=1) + more**2)[None, :] - 2 * (x @ routes.T + own[:, None] * more[None, :])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "v")), pa.array(near.argmin(axis=1))], names=["vec_id", "v", "route"])
+            near = (full(_matrix(b.column("v"), routes.shape[1])) @ toward).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "v")), pa.array(near)], names=["vec_id", "v", "route"])
 
     return run
 
@@ -227,7 +325,7 @@ def _grow(dim: int, largest: float):
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         tree = Tree.build(t.column("vec_id").to_numpy(), _matrix(t.column("v").chunk(0), dim), largest)
-        root = pa.array([tree.x[tree.route[0]].astype(np.int64)], pa.list_(pa.int64()))
+        root = pa.array([tree.x[tree.route[0]].astype("<i4").tobytes()])
         return pa.table({"shard": t.column("shard").slice(0, 1), "root": root, "radius": tree.radius[:1], "tree": pa.array([tree.packed()], pa.binary())})
 
     return run
@@ -249,7 +347,7 @@ def _upper_page(dim: int, largest: float):
 
 
 def _choose(dim: int, largest: float):
-    """For every block of queries and upper page: (shard, asked) of the shards that may hold something for a query."""
+    """For every block of queries and upper page: (block, shard, asked) of the shards that may hold something for a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,7 +355,7 @@ def _choose(dim: int, largest: float):
                 block = b.column("asked")[i].values
                 bounds = Bounds(_matrix(block.field("v"), dim), largest)
                 least = block.field("least").to_numpy(zero_copy_only=False)
-                floor = np.where(np.isfinite(least), least, -np.inf)
+                floor = np.where(np.isfinite(least), least, -np.inf) - bounds.slack
                 shards, radii, toward = (b.column(c)[i].values.to_numpy() for c in ("shards", "radii", "toward"))
                 x = _matrix(b.column("roots")[i].values, dim)
                 everyone = np.arange(len(least))
@@ -267,87 +365,162 @@ def _choose(dim: int, largest: float):
                 able &= block.field("home").to_numpy()[asked, None] != shards[None, :]
                 near = np.flatnonzero(able.any(axis=0))
                 able = able[:, near] & (bounds.upper(bounds.distances(x[near], asked) - radii[None, near], asked) >= floor[asked, None])
-                for j, shard in enumerate(shards[near].tolist()):
-                    chosen = block.take(pa.array(asked[able[:, j]]))
-                    if len(chosen):
-                        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.ListArray.from_arrays([0, len(chosen)], chosen)], names=["shard", "asked"])
+                near, able = near[able.any(axis=0)], able[:, able.any(axis=0)]
+                if not len(near):
+                    continue
+                at = np.concatenate([[0], np.cumsum(able.sum(axis=0))])
+                chosen = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(asked[np.nonzero(able.T)[1]], pa.int32()))
+                number = np.full(len(near), b.column("block")[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(shards[near]), chosen], names=["block", "shard", "asked"])
 
     return run
 
 
 def _search(dim: int, largest: float, k: int):
+    """The best of their home shard for its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tree = None, None
         for b in batches:
             for i in range(b.num_rows):
-                if b.column("shard")[i].as_py() != shard:
-                    shard, tree = b.column("shard")[i].as_py(), Tree.unpacked(b.column("tree")[i].as_py())
+                tree = Tree.unpacked(b.column("tree")[i].as_py(), _kind(largest))
                 asked = b.column("asked")[i].values
+                best = Best(asked.field("vec_id").to_numpy(), k, np.full(len(asked), -np.inf))
+                bounds = Bounds(_matrix(asked.field("v"), dim).astype(_kind(largest)), largest)
+                tree.search_block(bounds, best, np.arange(len(asked)))
+                yield best.found()
+
+    return run
+
+
+def _pack(dim: int):
+    """Blocks as bytes, as cells get them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = []
+            for i in range(b.num_rows):
+                asked, out = b.column("asked")[i].values, io.BytesIO()
                 least = asked.field("least").to_numpy(zero_copy_only=False)
-                own = asked.field("vec_id").to_numpy()
-                score, ids, _ = tree.search_block(_matrix(asked.field("v"), dim), own, k, largest, np.where(np.isfinite(least), least, -np.inf))
-                found = ids != NOBODY
-                columns = [np.repeat(own, found.sum(axis=1)), ids[found], score[found]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+                np.savez(out, own=asked.field("vec_id").to_numpy(), least=least, x=_narrow(_matrix(asked.field("v"), dim)))
+                packed.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(packed, pa.binary())], names=["block", "data"])
 
     return run
 
 
-def _blocks(queries: DataFrame, keys: list[str], blocks: int) -> DataFrame:
-    """One row per block of about QUERIES queries."""
-    block = F.pmod(F.xxhash64(F.lit("query"), "vec_id", "v"), F.lit(blocks)).alias("block")
-    return queries.groupBy(*keys, block).agg(F.collect_list(F.struct("vec_id", "v", "least", F.col("shard").alias("home"))).alias("asked"))
+def _search_cells(largest: float, k: int):
+    """The best in each cell for its queries: blocks come first, then, for each shard, which queries are asked, and its tree."""
+
+    def finished(blocks: dict[int, dict]) -> tuple[Bounds, Best, dict[int, int]]:
+        at = np.cumsum([0] + [len(x["own"]) for x in blocks.values()]).tolist()
+        whole = {n: np.concatenate([x[n] for x in blocks.values()]) for n in ("own", "least", "x")}
+        return Bounds(whole["x"].astype(_kind(largest)), largest), Best(whole["own"], k, whole["least"]), dict(zip(blocks, at[:-1], strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, blocks, asked, ready = None, {}, [], None
+        for b in batches:
+            for i in range(b.num_rows):
+                now, block, data = (b.column(c)[i].as_py() for c in ("cell", "block", "data"))
+                if now != cell:
+                    if ready:
+                        yield ready[1].found()
+                    cell, blocks, asked, ready = now, {}, [], None
+                if data is None:
+                    asked.append((block, b.column("asked")[i].values.to_numpy()))
+                elif block is not None:
+                    with np.load(io.BytesIO(data)) as z:
+                        blocks[block] = {n: z[n] for n in z.files}
+                else:
+                    ready = ready or finished(blocks)
+                    bounds, best, first = ready
+                    Tree.unpacked(data, _kind(largest)).search_block(bounds, best, np.concatenate([first[n] + rows for n, rows in asked]))
+                    asked = []
+        if ready:
+            yield ready[1].found()
+
+    return run
+
+
+def _blocks(queries: DataFrame, *keys: Column) -> DataFrame:
+    """One row for the queries of the same keys."""
+    return queries.groupBy(*keys).agg(F.collect_list(F.struct("vec_id", "v", "least", F.col("shard").alias("home"))).alias("asked"))
 
 
 def chosen_shards(asked: DataFrame, trees: DataFrame, shards: int, dim: int, largest: float) -> DataFrame:
-    """(shard, asked): the queries of each block that a shard, other than their home, may still hold something for.
+    """(block, shard, asked): which queries of each block a shard, other than their home, may still hold something for.
 
     Blocks meet the upper pages, of PAGE shards each, not the shards: a query goes on to a shard only if neither the page's
     radius, nor the root's stored distance, nor the root's own radius rule it out.
     """
     page = F.floor(F.col("shard") / PAGE).alias("page")
-    kinds = "page long, shards array<long>, roots array<array<long>>, radii array<double>, toward array<double>, whole double"
+    kinds = "page long, shards array<long>, roots array<binary>, radii array<double>, toward array<double>, whole double"
     upper = stored(trees.select("shard", "root", "radius", page).groupBy("page").applyInArrow(_upper_page(dim, largest), kinds), "upper-pages")
-    meets = asked.select("asked", F.explode(F.expr(f"sequence(0L, {(shards - 1) // PAGE}L)")).alias("page")).join(upper, "page")
-    schema = "shard long, asked array<struct<vec_id: long, v: array<long>, least: double, home: long>>"
-    return stored(meets.mapInArrow(_choose(dim, largest), schema), "chosen-shards")
+    meets = asked.select("block", "asked", F.explode(F.expr(f"sequence(0L, {(shards - 1) // PAGE}L)")).alias("page")).join(upper, "page")
+    # Few rows with much work each.
+    meets = meets.repartition(4 * asked.sparkSession.sparkContext.defaultParallelism, "block", "page")
+    return stored(meets.mapInArrow(_choose(dim, largest), "block long, shard long, asked array<int>"), "chosen-shards")
+
+
+def _cells(chosen: DataFrame, asked: DataFrame, blocks: int, trees: DataFrame, shards: int, dim: int) -> DataFrame:
+    """Rows for _search_cells, each cell in a partition of its own.
+
+    Blocks and shards are cut into ranges; a cell is a range of either, and gets the blocks and trees that it has a chosen
+    pair of.  The cores' number decides into how many ranges the shards are cut; trees are sent once for each range of blocks,
+    which holds as many queries as CELL_BYTES allows.
+    """
+    wide = -(-blocks // max(1, -(-blocks * QUERIES * dim * 8 // CELL_BYTES)))
+    across = -(-blocks // wide)
+    cores = chosen.sparkSession.sparkContext.defaultParallelism
+    tall = max(1, min(CELL_SHARDS, shards * across // (8 * cores)))
+    down = -(-shards // tall)
+    cell = F.floor(F.col("block") / wide) * down + F.floor(F.col("shard") / tall)
+    pairs = chosen.withColumn("cell", cell.cast("int"))
+    nothing = {"shard": F.lit(-1).cast("long"), "block": F.lit(None).cast("long"), "asked": F.lit(None).cast("array<int>"), "data": F.lit(None).cast("binary")}
+    rows = lambda df, *own: df.select("cell", *(F.col(c) if c in own else e.alias(c) for c, e in nothing.items()))
+    packed = asked.select("block", "asked").mapInArrow(_pack(dim), "block long, data binary")
+    sent = rows(pairs.select("cell", "block").distinct().join(packed, "block"), "block", "data")
+    grown = rows(pairs.select("cell", "shard").distinct().join(trees.select("shard", F.col("tree").alias("data")), "shard"), "shard", "data")
+    dealt = sent.unionByName(grown).unionByName(rows(pairs, "shard", "block", "asked")).repartitionById(across * down, "cell")
+    return dealt.sortWithinPartitions("cell", "shard", F.col("data").isNotNull(), "block")
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of all other vectors for each vec_id divisible by ``every``."""
     rows = stored(integer_vectors(vectors, scale), "vectors")
     spark = rows.sparkSession
-    n, largest, dim = rows.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.size("v"))).first()
+    n, largest, dim = rows.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.octet_length("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    largest = float(largest)
+    largest, dim = float(largest), dim // 4
     wanted = min(MAX_ROUTES, -(-n // SHARD))
     sample = rows.orderBy(F.xxhash64(F.lit("route"), "vec_id"), "vec_id").limit(wanted).select("v").distinct().collect()
-    routes = _matrix(pa.array([r["v"] for r in sample], pa.list_(pa.int64())), dim)
+    routes = _matrix(pa.array([bytes(r["v"]) for r in sample], pa.binary()), dim)
 
-    routed = stored(rows.select("vec_id", "v").mapInArrow(_nearest(routes, largest), "vec_id long, v array<long>, route long"), "routed")
+    routed = stored(rows.select("vec_id", "v").mapInArrow(_nearest(routes, largest), "vec_id long, v binary, route long"), "routed")
     # At most MAX_ROUTES rows: how many shards each routing vector has, and the number of its first.
     sizes = routed.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("long").alias("parts")).orderBy("route").collect()
     ends = np.cumsum([r["parts"] for r in sizes]).tolist()
-    parts = spark.createDataFrame([(r["route"], r["parts"], e - r["parts"]) for r, e in zip(sizes, ends, strict=True)], "route long, parts long, base long")
-    shard = F.col("base") + F.pmod(F.xxhash64(F.lit("shard"), "vec_id", "v"), F.col("parts"))
-    sharded = routed.join(F.broadcast(parts), "route").select("vec_id", "v", shard.alias("shard"))
-    trees = stored(sharded.groupBy("shard").applyInArrow(_grow(dim, largest), "shard long, root array<long>, radius double, tree binary"), "trees")
+    parts, base = [1] * wanted, [0] * wanted
+    for r, end in zip(sizes, ends, strict=True):
+        parts[r["route"]], base[r["route"]] = r["parts"], end - r["parts"]
+    shard = F.lit(base)[F.col("route")] + F.pmod(F.xxhash64(F.lit("shard"), "vec_id", "v"), F.lit(parts)[F.col("route")])
+    sharded = routed.select("vec_id", "v", shard.alias("shard"))
+    trees = stored(sharded.groupBy("shard").applyInArrow(_grow(dim, largest), "shard long, root binary, radius double, tree binary"), "trees")
 
     queries = stored(sharded.filter(F.col("vec_id") % every == 0), "queries")
     blocks = max(1, -(-queries.count() // QUERIES))
     found = "query_id long, vec_id long, score long"
-    at_home = _blocks(queries.withColumn("least", F.lit(None).cast("double")), ["shard"], blocks)
-    pages = trees.select("shard", "tree")
-    first = stored(at_home.join(pages, "shard").mapInArrow(_search(dim, largest, k), found), "home-results")
+    at_home = _blocks(queries.withColumn("least", F.lit(None).cast("double")), F.col("shard"))
+    first = stored(at_home.join(trees.select("shard", "tree"), "shard").mapInArrow(_search(dim, largest, k), found), "home-results")
 
     # The k-th score at home; a query that found fewer has no bound.
     bound = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
-    asked = _blocks(queries.join(bound, "vec_id", "left"), [], blocks)
-    pairs = chosen_shards(asked, trees, ends[-1], dim, largest).join(pages, "shard")
-    rest = pairs.mapInArrow(_search(dim, largest, k), found)
+    block = F.pmod(F.xxhash64(F.lit("query"), "vec_id", "v"), F.lit(blocks)).alias("block")
+    asked = stored(_blocks(queries.join(bound, "vec_id", "left"), block), "blocks")
+    chosen = chosen_shards(asked, trees, ends[-1], dim, largest)
+    rest = _cells(chosen, asked, blocks, trees, ends[-1], dim).mapInArrow(_search_cells(largest, k), found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.union(rest).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return first.union(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
