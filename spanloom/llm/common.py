@@ -7,7 +7,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, Struc
 
 from ..session import scratch_path
 
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 500_000
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -31,8 +31,8 @@ def _bytes(kind: DataType, c: Column) -> Column:
 def join_sized(large: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join with a stored ``side``: broadcast if its rows were measured to be small together, else by a shuffle that AQE can
     split."""
-    size = side.agg(F.sum(sum((_bytes(f.dataType, F.col(f.name)) for f in side.schema.fields), F.lit(16)))).first()[0] or 0
-    return large.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, on, how)
+    size, rows = side.agg(F.sum(sum((_bytes(f.dataType, F.col(f.name)) for f in side.schema.fields), F.lit(16))), F.count(F.lit(1))).first()
+    return large.join(F.broadcast(side) if (size or 0) <= BROADCAST_BYTES and rows <= BROADCAST_ROWS else side, on, how)
 
 
 def ascii_lower(c: Column) -> Column:
